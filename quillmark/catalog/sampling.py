@@ -20,19 +20,20 @@ def stratified_split(spark, sf_dir):
     return SP.stratified_split(B.snippets(spark, sf_dir)).select("row_id", "label", "split")
 
 
-_LINES = (
-    "lines AS (SELECT l_orderkey || '-' || l_linenumber AS row_id, l_returnflag, l_quantity, l_extendedprice FROM lineitem)"
-)
+_ORDERS = "orders_in AS (SELECT o_orderkey AS row_id, o_orderstatus AS status FROM orders)"
 
 
-@B.register("stratified_split_lineitem", f"""
-WITH {_LINES}, {B.sql_split('lines', 'l_returnflag')} SELECT row_id, l_returnflag, split FROM parted""")
-def stratified_split_lineitem(spark, sf_dir):
-    """Three classes and a text key, on the largest table."""
-    lines = B.table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), "l_returnflag"
+def _orders(spark, sf_dir):
+    return B.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("status")
     )
-    return SP.stratified_split(lines, "l_returnflag").select("row_id", "l_returnflag", "split")
+
+
+@B.register("stratified_split_orders", f"""
+WITH {_ORDERS}, {B.sql_split('orders_in', 'status')} SELECT row_id, status, split FROM parted""")
+def stratified_split_orders(spark, sf_dir):
+    """Three classes, named by text, on a larger table."""
+    return SP.stratified_split(_orders(spark, sf_dir), "status")
 
 
 @B.register("split_quotas", f"""
@@ -59,11 +60,10 @@ def subsample(spark, sf_dir):
 
 
 @B.register("subsample_large", f"""
-WITH {_LINES} SELECT row_id FROM lines ORDER BY {B.sql_key('42')}, row_id LIMIT 15000""")
+WITH {_ORDERS} SELECT row_id FROM orders_in ORDER BY {B.sql_key('42')}, row_id LIMIT 12000""")
 def subsample_large(spark, sf_dir):
     """A sample too large for one task: selected by its exact border."""
-    lines = B.table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"))
-    return SP.subsample(lines, 15_000)
+    return SP.subsample(_orders(spark, sf_dir).select("row_id"), 12_000)
 
 
 @B.register("shuffle_epoch", f"""
@@ -151,19 +151,16 @@ def token_length_summary(spark, sf_dir):
 
 
 @B.register("global_rank", f"""
-WITH {_LINES} SELECT row_id, l_returnflag,
-  row_number() OVER (PARTITION BY l_returnflag ORDER BY {B.sql_key('42')}, row_id) - 1 AS rank FROM lines""")
+WITH {_ORDERS} SELECT row_id, status,
+  row_number() OVER (PARTITION BY status ORDER BY {B.sql_key('42')}, row_id) - 1 AS rank FROM orders_in""")
 def global_rank(spark, sf_dir):
-    lines = B.table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), "l_returnflag"
-    )
-    keyed = lines.withColumn("k", X.seeded_key(42, "row_id"))
-    return R.global_rank(keyed, "k", ["row_id"], X.HASH_BITS, by=["l_returnflag"]).drop("k")
+    keyed = _orders(spark, sf_dir).withColumn("k", X.seeded_key(42, "row_id"))
+    return R.global_rank(keyed, "k", ["row_id"], X.HASH_BITS, by=["status"]).drop("k")
 
 
 @B.register("exact_quantiles", f"""
-WITH {_LINES}, q AS (SELECT l_returnflag, unnest([0.05, 0.5, 0.99]) AS prob,
-  unnest(quantile_cont(l_extendedprice, [0.05, 0.5, 0.99])) AS quantile FROM lines GROUP BY l_returnflag)
+WITH q AS (SELECT l_returnflag, unnest([0.05, 0.5, 0.99]) AS prob,
+  unnest(quantile_cont(l_extendedprice, [0.05, 0.5, 0.99])) AS quantile FROM lineitem GROUP BY l_returnflag)
 SELECT l_returnflag, prob::DOUBLE AS prob, round(quantile, 4)::DOUBLE AS quantile FROM q""")
 def exact_quantiles(spark, sf_dir):
     lines = B.table(spark, sf_dir, "lineitem")

@@ -119,7 +119,7 @@ def stratified_split(
     df: DataFrame, stratum: str = "label", row_id: str = "row_id",
     ratios: Sequence[float] = (C.TRAIN_RATIO, C.VALIDATION_RATIO, C.TEST_RATIO), seed: int = C.SEED,
 ) -> DataFrame:
-    """Add ``split``: exact quotas per class, membership fixed by (seed, row_id).
+    """Add ``split``: exact quotas per class, membership fixed by (seed, row_id). Row ids must be unique.
 
     Rows of a class are ordered by a seeded hash; the first quota is test, the next validation. Instead
     of ranking all rows, the hash values at the two quota borders are found, and every row is then
