@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark import constants as C
 from quillmark.functions import text as X
+from quillmark.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as snippets without label."""
-    return table(spark, sf_dir, "documents").select(
+def documents(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """All documents as snippets without label; ``heavy`` deals a small input to all cores."""
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("text").alias("code"), F.col("lang").alias("language"), "source"
     )
+    return spread(rows) if heavy else rows
 
 
 def attach_label(snippets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,9 +48,9 @@ def attach_label(snippets: DataFrame, labels: DataFrame) -> DataFrame:
     return snippets.join(labels.select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label")), "row_id")
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snippets(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """(row_id, code, language, source, label) of the labelled documents."""
-    return attach_label(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return attach_label(documents(spark, sf_dir, heavy), table(spark, sf_dir, "labels"))
 
 
 def predictions(spark: SparkSession, sf_dir: str, threshold: float = C.THRESHOLD) -> DataFrame:

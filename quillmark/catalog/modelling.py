@@ -15,7 +15,7 @@ from quillmark.operators import metrics as M
 from quillmark.operators import model as MO
 from quillmark.operators import split as SP
 from quillmark.plans import phases as PH
-from quillmark.session import scratch_path
+from quillmark.session import scratch_path, stored
 from quillmark.sources import artifacts as A
 from quillmark.streaming import classify as ST
 
@@ -41,9 +41,10 @@ def _run(spark, sf_dir) -> tuple[str, str]:
 @B.register("fit_classifier")
 def fit_classifier(spark, sf_dir):
     """Measures of the fitted model on its own train rows."""
-    rows = B.snippets(spark, sf_dir)
+    rows = B.snippets(spark, sf_dir, heavy=True)
     model = MO.fit_classifier(rows, CONFIG, CANDIDATE)
-    return M.metric_bundle(MO.score(rows, model))
+    scored = MO.score(rows, model).select("label", "prob_ai")
+    return M.metric_bundle(stored(scored, "scores"))
 
 
 @B.register("score")
@@ -65,14 +66,14 @@ def score_function(spark, sf_dir):
 
         return 1 / (1 + np.exp(-(code.str.len() % 7 - 3.0)))
 
-    out = MO.score(B.snippets(spark, sf_dir), by_length)
+    out = MO.score(B.snippets(spark, sf_dir, heavy=True), by_length)
     return out.select("row_id", "label", *B.r6("prob_ai"), "prediction")
 
 
 @B.register("load_model", f"WITH {B.SNIPS} SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM snips")
 def load_model(spark, sf_dir):
     """A saved and loaded model scores every row as the fitted one does."""
-    rows, run = B.snippets(spark, sf_dir), scratch_path(spark, "run")
+    rows, run = B.snippets(spark, sf_dir, heavy=True), scratch_path(spark, "run")
     fitted = MO.fit_classifier(rows, CONFIG, CANDIDATE)
     A.save_model(fitted, run)
     A.write_config(spark, asdict(CONFIG), run)
@@ -131,7 +132,7 @@ def classify_files(spark, sf_dir):
 @B.register("classify_stream", f"WITH {B.SNIPS} SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM snips")
 def classify_stream(spark, sf_dir):
     """All rows scored as a stream of files get the verdicts of the batch."""
-    rows = B.snippets(spark, sf_dir).select("row_id", "label", "code")
+    rows = B.snippets(spark, sf_dir, heavy=True).select("row_id", "label", "code")
     model = MO.fit_classifier(rows, CONFIG, CANDIDATE)
     source, sink = scratch_path(spark, "in"), scratch_path(spark, "out")
     rows.write.parquet(source)

@@ -19,12 +19,12 @@ long AS (SELECT label_name, 'n_chars' AS metric, n_chars AS value FROM lens UNIO
 
 
 def _counts(spark, sf_dir):
-    return P.length_counts(P.length_features(P.with_label_name(B.snippets(spark, sf_dir))))
+    return P.length_counts(P.length_features(P.with_label_name(B.snippets(spark, sf_dir, heavy=True))))
 
 
 @B.register("length_features", f"WITH {B.DOCS} SELECT row_id, {B.sql_lengths()} FROM docs")
 def length_features(spark, sf_dir):
-    return P.length_features(B.documents(spark, sf_dir)).select("row_id", *C.LENGTH_METRICS)
+    return P.length_features(B.documents(spark, sf_dir, heavy=True)).select("row_id", *C.LENGTH_METRICS)
 
 
 @B.register("label_name", f"WITH {B.SNIPS} SELECT row_id, label, {_NAME} AS label_name FROM snips")

@@ -84,7 +84,7 @@ encoded AS (SELECT row_id, label, list_concat([0], coalesce(ids, []), [2]) AS in
 
 
 def _encoded(spark, sf_dir):
-    rows = B.snippets(spark, sf_dir)
+    rows = B.snippets(spark, sf_dir, heavy=True)
     return K.encode_ids(K.tokenize(rows, 128), K.build_vocab(rows, 500))
 
 
@@ -108,13 +108,13 @@ def assemble_batches(spark, sf_dir):
 WITH {B.DOCS}, t AS (SELECT row_id, ({B.SQL_TOKENS})[1:510] AS tokens FROM docs)
 SELECT row_id, (len(tokens) + 2)::INTEGER AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM t""")
 def tokenize(spark, sf_dir):
-    out = K.tokenize(B.documents(spark, sf_dir))
+    out = K.tokenize(B.documents(spark, sf_dir, heavy=True))
     return out.select("row_id", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 @B.register("build_vocab", f"WITH {B.SNIPS}, {_VOCAB} SELECT token, n, token_id FROM vocab")
 def build_vocab(spark, sf_dir):
-    return K.build_vocab(B.snippets(spark, sf_dir), 500)
+    return K.build_vocab(B.snippets(spark, sf_dir, heavy=True), 500)
 
 
 @B.register("encode_ids", f"""

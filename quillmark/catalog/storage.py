@@ -58,73 +58,61 @@ def scan_csv(spark, sf_dir):
 
 @B.register("scan_tsv", _SCANNED)
 def scan_tsv(spark, sf_dir):
-    """Spark names its files ``.csv``, so the separator is given instead of found."""
     path = scratch_path(spark, "tsv")
-    _source(spark, sf_dir).write.options(**_CSV, sep="\t").csv(path)
-    paths = [r["path"] for r in S.discover_files(spark, path).select("path").collect()]
-    raw = S.scan_delimited(spark, path, paths, ["row_id", "code", "language"], "\t")
-    return raw.select(F.col("row_id").cast("bigint").alias("row_id"), F.md5("code").alias("code_md5"), "language")
+    _source(spark, sf_dir).write.options(**_CSV, sep="\t", extension="tsv").csv(path)
+    return _scan(spark, path)
 
 
 @B.register("scan_json", _SCANNED)
 def scan_json(spark, sf_dir):
-    """One record per line in files named ``.json``."""
+    """Files named ``.json`` that hold one record per line."""
     path = scratch_path(spark, "json")
     _source(spark, sf_dir).write.json(path)
     return _scan(spark, path)
 
 
+@B.register("scan_jsonl", _SCANNED)
+def scan_jsonl(spark, sf_dir):
+    """The same lines, read as such without a look at the files."""
+    path = scratch_path(spark, "jsonl")
+    _source(spark, sf_dir).write.json(path)
+    return _scan_as(spark, path, "json_lines", "json")
+
+
+# Records per written document, so that none grows with the data.
+_PER_DOCUMENT = 500
+
+
+def _scan_as(spark, path: str, reader: str, suffix: str) -> DataFrame:
+    paths = tuple(r["path"] for r in S.discover_files(spark, path, [suffix]).select("path").collect())
+    raw = S.as_text(S.scan_layout(spark, path, S.Layout(reader, ("code", "language", "row_id"), paths)))
+    return raw.select(F.col("row_id").cast("bigint").alias("row_id"), F.md5("code").alias("code_md5"), "language")
+
+
+def _grouped(spark, sf_dir):
+    group = F.floor(F.col("row_id") / _PER_DOCUMENT).alias("g")
+    return _source(spark, sf_dir).groupBy(group)
+
+
 @B.register("scan_json_array", _SCANNED)
 def scan_json_array(spark, sf_dir):
-    """One array of records per file, a file per language and hash group."""
+    """Documents that are one array of records each."""
     path = scratch_path(spark, "json-array")
-    groups = _source(spark, sf_dir).groupBy("language", F.pmod(F.xxhash64("row_id"), F.lit(256)).alias("g"))
-    arrays = groups.agg(F.to_json(F.collect_list(F.struct("row_id", "code", "language"))).alias("value"))
-    _one_document_per_file(arrays, path)
-    return _scan(spark, path)
+    arrays = _grouped(spark, sf_dir).agg(F.to_json(F.collect_list(F.struct("row_id", "code", "language"))).alias("value"))
+    arrays.write.partitionBy("g").text(path)
+    return _scan_as(spark, path, "json_array", "txt")
 
 
 @B.register("scan_json_columns", _SCANNED)
 def scan_json_columns(spark, sf_dir):
-    """Documents {column: {index: value}}, a file per language and hash group."""
+    """Documents {column: {index: value}}; they are told from lines by their shape."""
     path = scratch_path(spark, "json-columns")
     index = F.col("row_id").cast("string")
-    groups = _source(spark, sf_dir).groupBy("language", F.pmod(F.xxhash64("row_id"), F.lit(256)).alias("g"))
-    columns = {
-        name: F.map_from_entries(F.collect_list(F.struct(index.alias("k"), F.col(name).alias("v")))).alias(name)
+    columns = [
+        F.map_from_entries(F.collect_list(F.struct(index.alias("k"), F.col(name).alias("v")))).alias(name)
         for name in ("row_id", "code", "language")
-    }
-    # The group key is also a data column, so it is carried under another name.
-    docs = groups.agg(*[c.alias(f"c_{n}") for n, c in columns.items()])
-    value = F.to_json(F.struct(*[F.col(f"c_{n}").alias(n) for n in columns]))
-    _one_document_per_file(docs.select("language", "g", value.alias("value")), path)
-    return _scan(spark, path)
-
-
-def _one_document_per_file(documents: DataFrame, path: str) -> None:
-    """Rows (language, g, value), each as a file ``*.json`` of its own."""
-    parts = documents.repartition("language", "g").select("language", "g", "value")
-    parts.write.partitionBy("language", "g").option("compression", "none").format("text").save(path)
-    _rename_suffix(documents.sparkSession, path, ".txt", ".json")
-
-
-def _rename_suffix(spark, path: str, old: str, new: str) -> None:
-    """Give files another suffix; names only, contents are not touched."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    filesystem = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = filesystem.listFiles(root, True)
-    while found.hasNext():
-        file = found.next().getPath()
-        if file.getName().endswith(old):
-            filesystem.rename(file, hadoop.Path(file.getParent(), file.getName()[: -len(old)] + new))
-
-
-@B.register("scan_jsonl", _SCANNED)
-def scan_jsonl(spark, sf_dir):
-    path = scratch_path(spark, "jsonl")
-    _source(spark, sf_dir).write.json(path)
-    _rename_suffix(spark, path, ".json", ".jsonl")
+    ]
+    _grouped(spark, sf_dir).agg(*columns).write.partitionBy("g").json(path)
     return _scan(spark, path)
 
 
@@ -203,7 +191,8 @@ def prepare(spark, sf_dir):
 
 
 @B.register("write_interim", f"""
-WITH {B.DOCS} SELECT row_id, language, md5(code) AS code_md5 FROM docs WHERE row_id IN (SELECT min(row_id) FROM docs GROUP BY code)""")
+WITH {B.DOCS} SELECT row_id, language, md5(code) AS code_md5 FROM docs
+WHERE row_id IN (SELECT min(row_id) FROM docs GROUP BY code) AND length(trim(code, {B.SQL_BLANK})) >= 3""")
 def write_interim(spark, sf_dir):
     path = scratch_path(spark, "interim")
     A.write_interim(CL.clean(B.documents(spark, sf_dir)), path)

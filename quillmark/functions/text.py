@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmark import constants as C
 
-_WORD = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in C.WHITESPACE) + "]+"
+# Runs of anything but whitespace, the same code points as in C.WHITESPACE; one property test per
+# character is several times faster than listing them.
+_WORD = r"(?U)[^\s\x1C-\x1F]+"
 
 # Identifiers, numbers, and every other visible character on its own.
 TOKEN_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\r\f\x0BA-Za-z_0-9]"

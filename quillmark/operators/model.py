@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.base import Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillmark import constants as C
 from quillmark.functions import text as X
 from quillmark.operators import metrics as M
-from quillmark.session import scratch_path
+from quillmark.session import stored
 from quillmark.sources import artifacts as A
 
 
@@ -45,31 +45,38 @@ DEFAULT_CANDIDATES = (Candidate(1e-1), Candidate(1e-2), Candidate(1e-3))
 Predictor = Transformer | Callable[[pd.Series], pd.Series]
 
 
-def feature_stages(config: RunConfig) -> list:
-    """Tokens, cut like the encoded table's, then hashed counts weighted by IDF."""
+def _hashing(config: RunConfig) -> list[Transformer]:
+    """Tokens, cut like the encoded table's, as hashed counts. Nothing to fit."""
     tokens = f"slice(regexp_extract_all(code, r'{X.TOKEN_PATTERN}', 0), 1, {config.max_tokens - 2}) AS tokens"
     return [
         SQLTransformer(statement=f"SELECT *, {tokens} FROM __THIS__"),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=config.num_features),
-        IDF(inputCol="tf", outputCol="features"),
     ]
 
 
+def _counts(df: DataFrame, config: RunConfig, name: str, label: str = "label") -> DataFrame:
+    """(label, tf) stored in the shared folder: fitting passes many times over these, once over texts."""
+    hashed = PipelineModel(_hashing(config)).transform(df)
+    return stored(hashed.select(F.col(label).cast("double").alias("label"), "tf"), name)
+
+
+def _fit_idf(train_counts: DataFrame) -> Transformer:
+    return IDF(inputCol="tf", outputCol="features").fit(train_counts)
+
+
 def _regression(candidate: Candidate) -> LogisticRegression:
     return LogisticRegression(
         featuresCol="features", labelCol="label", regParam=candidate.reg_param, maxIter=candidate.max_iter
     )
 
 
-def _with_label(df: DataFrame, label: str) -> DataFrame:
-    return df.withColumn("label", F.col(label).cast("double"))
-
-
 def fit_classifier(
     train: DataFrame, config: RunConfig = RunConfig(), candidate: Candidate = Candidate(), label: str = "label"
 ) -> PipelineModel:
-    """Features and regression fitted on the given rows only (give the train split)."""
-    return Pipeline(stages=[*feature_stages(config), _regression(candidate)]).fit(_with_label(train, label))
+    """Hashed tokens weighted by IDF, then a regression; all fitted on the given rows only (the train split)."""
+    counts = _counts(train, config, "train-counts", label)
+    idf = _fit_idf(counts)
+    return PipelineModel([*_hashing(config), idf, _regression(candidate).fit(idf.transform(counts))])
 
 
 def score(df: DataFrame, predictor: Predictor, threshold: float = C.THRESHOLD, code: str = "code") -> DataFrame:
@@ -103,35 +110,33 @@ def select_best_model(
 ) -> Selection:
     """Try the candidates in order, keep the one with the lowest validation loss, stop when patience ends.
 
-    A step improves only if it lowers the best loss by more than the tolerance. Features are fitted once
-    on the train rows and written to the shared folder, so each step reads vectors instead of texts.
-    With a ``run_dir`` every improvement is saved, and the full history at the end.
+    A step improves only if it lowers the best loss by more than the tolerance. Hashed counts are written
+    once, so each step reads vectors instead of texts. With a ``run_dir`` every improvement is saved, and
+    the full history at the end.
     """
     spark = train.sparkSession
-    features = Pipeline(stages=feature_stages(config)).fit(train)
-    place = scratch_path(spark, "features")
-    for name, part in (("train", train), ("validation", validation)):
-        vectors = features.transform(part).select(F.col("label").cast("double").alias("label"), "features")
-        vectors.write.parquet(f"{place}/{name}")
-    train_v, val_v = spark.read.parquet(f"{place}/train"), spark.read.parquet(f"{place}/validation")
+    train_counts = _counts(train, config, "train-counts")
+    val_counts = _counts(validation, config, "validation-counts")
+    idf = _fit_idf(train_counts)
 
     history: list[tuple] = []
     best, best_epoch, best_loss, bad = None, 0, float("inf"), 0
     for epoch, candidate in enumerate(candidates, start=1):
         started = time.time()
-        fitted = _regression(candidate).fit(train_v)
+        fitted = _regression(candidate).fit(idf.transform(train_counts))
 
-        def scored(vectors: DataFrame) -> DataFrame:
-            return fitted.transform(vectors).select("label", vector_to_array("probability")[1].alias("prob_ai"))
+        def scored(counts: DataFrame) -> DataFrame:
+            out = fitted.transform(idf.transform(counts))
+            return out.select(F.col("label").cast("int"), vector_to_array("probability")[1].alias("prob_ai"))
 
-        train_loss = M.mean_bce_loss(scored(train_v)).first()["loss"]
-        val_scored = scored(val_v)
+        train_loss = M.mean_bce_loss(scored(train_counts)).first()["loss"]
+        val_scored = stored(scored(val_counts), "validation-scores")
         M.validate_predictions(val_scored)
         val_loss = M.mean_bce_loss(val_scored).first()["loss"]
         bundle = M.nested_bundle(M.metric_bundle(val_scored, config.decision_threshold)).first()
         history.append((run_id, epoch, train_loss, val_loss, bundle, candidate.reg_param, time.time() - started))
         if val_loss < best_loss - C.MIN_IMPROVEMENT:
-            best, best_epoch, best_loss, bad = PipelineModel([*features.stages, fitted]), epoch, val_loss, 0
+            best, best_epoch, best_loss, bad = PipelineModel([*_hashing(config), idf, fitted]), epoch, val_loss, 0
             if run_dir:
                 A.save_model(best, run_dir)
                 A.write_config(spark, asdict(config), run_dir)

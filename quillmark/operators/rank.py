@@ -72,7 +72,9 @@ def prefix_sums(
     local = grouped.select(
         "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{n}") for n, c in values.items()]
     )
-    joined = local.join(offsets, (F.col("_g") == F.col("_o_g")) & (F.col(BUCKET) == F.col("_o_bucket")))
+    # Every bucket has its offset; as a left join this adds no null filter to one side only, so both
+    # sides share one shuffle of their common input.
+    joined = local.join(offsets, (F.col("_g") == F.col("_o_g")) & (F.col(BUCKET) == F.col("_o_bucket")), "left")
     return joined.select(
         *df_cols,
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).cast("bigint").alias(n) for n in values],

@@ -80,19 +80,19 @@ def validate_split(df: DataFrame, stratum: str, ratios: Sequence[float]) -> int:
     return classes
 
 
-def _cuts(keyed: DataFrame, positions: DataFrame, names: Sequence[str]) -> DataFrame:
+def _cuts(keyed: DataFrame, positions: DataFrame, names: Sequence[str], classes: int) -> DataFrame:
     """For each stratum and named position, the (key, id) of the row at that 0-based rank.
 
-    ``keyed`` has (stratum, _key, _id); ``positions`` has (stratum, names...). Only the rows of the
+    ``keyed`` has (_stratum, _key, _id); ``positions`` has (_stratum, names...). Only the rows of the
     buckets that hold a wanted position are ranked.
     """
     bucketed = R.with_hash_bucket(keyed, "_key", X.HASH_BITS)
-    before = Window.partitionBy("stratum").orderBy(R.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_stratum").orderBy(R.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        bucketed.groupBy("stratum", R.BUCKET).agg(F.count("*").alias("_n"))
+        bucketed.groupBy("_stratum", R.BUCKET).agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     )
-    spots = totals.join(positions, "stratum")
+    spots = totals.join(positions, "_stratum")
 
     def in_bucket(name: str) -> Column:
         return (F.col(name) >= F.col("_before")) & (F.col(name) < F.col("_before") + F.col("_n"))
@@ -101,15 +101,21 @@ def _cuts(keyed: DataFrame, positions: DataFrame, names: Sequence[str]) -> DataF
     for name in names[1:]:
         hit = hit | in_bucket(name)
     spots = spots.where(hit).select(
-        "stratum", R.BUCKET, *[F.when(in_bucket(n), F.col(n) - F.col("_before")).alias(n) for n in names]
+        "_stratum", R.BUCKET, *[F.when(in_bucket(n), F.col(n) - F.col("_before")).alias(n) for n in names]
     )
-    inside = Window.partitionBy("stratum", R.BUCKET).orderBy("_key", "_id")
-    ranked = bucketed.join(spots, ["stratum", R.BUCKET]).withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.groupBy("stratum").agg(
+    inside = Window.partitionBy("_stratum", R.BUCKET).orderBy("_key", "_id")
+    near = bucketed.join(_small(spots, classes), ["_stratum", R.BUCKET])
+    ranked = near.withColumn("_rank", F.row_number().over(inside) - 1)
+    return ranked.groupBy("_stratum").agg(
         *[F.max(F.when(F.col("_rank") == F.col(n), F.struct("_key", "_id"))).alias(n) for n in names]
     )
 
 
+def _small(table: DataFrame, classes: int) -> DataFrame:
+    """Broadcast a table of a few rows per class, unless there are very many classes."""
+    return F.broadcast(table) if classes <= BROADCAST_CLASSES else table
+
+
 def _below(cut: str) -> Column:
     """Row lies before the cut; a missing cut lies after every row."""
     return F.coalesce(F.struct("_key", "_id") < F.col(cut), F.lit(True))
@@ -126,18 +132,20 @@ def stratified_split(
     assigned by comparison: the table itself, texts included, is never shuffled.
     """
     classes = validate_split(df, stratum, ratios)
-    keyed = df.select(F.struct(stratum).alias("stratum"), X.seeded_key(seed, row_id).alias("_key"), F.col(row_id).alias("_id"))
-    quotas = split_quotas(keyed.groupBy("stratum").agg(F.count("*").alias("n")), ratios)
+    keys = {"_stratum": F.struct(stratum), "_key": X.seeded_key(seed, row_id), "_id": F.col(row_id)}
+    keyed = df.select(*[c.alias(n) for n, c in keys.items()])
+    counts = keyed.groupBy(F.col("_stratum").alias("stratum")).agg(F.count("*").alias("n"))
+    quotas = split_quotas(counts, ratios)
     borders = quotas.select(
-        "stratum", F.col("n_test").alias("_test"), (F.col("n_test") + F.col("n_validation")).alias("_validation")
+        F.col("stratum").alias("_stratum"),
+        F.col("n_test").alias("_test"),
+        (F.col("n_test") + F.col("n_validation")).alias("_validation"),
     )
-    cuts = _cuts(keyed, borders, ["_test", "_validation"])
-    if classes <= BROADCAST_CLASSES:
-        cuts = F.broadcast(cuts)
+    cuts = _cuts(keyed, borders, ["_test", "_validation"], classes)
     split = F.when(_below("_test"), "test").when(_below("_validation"), "validation").otherwise("train")
     return (
-        df.withColumns({"stratum": F.struct(stratum), "_key": X.seeded_key(seed, row_id), "_id": F.col(row_id)})
-        .join(cuts, "stratum")
+        df.withColumns(keys)
+        .join(_small(cuts, classes), "_stratum")
         .withColumn("split", split)
         .select(*[c for c in df.columns if c != "split"], "split")
     )
@@ -150,14 +158,11 @@ def subsample(df: DataFrame, n: int | None, seed: int = C.SEED, row_id: str = "r
     if n <= TOP_N_LIMIT:
         keyed = df.withColumn("_key", X.seeded_key(seed, row_id))
         return keyed.orderBy("_key", row_id).limit(n).drop("_key")
-    keyed = df.select(F.lit(0).alias("stratum"), X.seeded_key(seed, row_id).alias("_key"), F.col(row_id).alias("_id"))
-    spot = keyed.sparkSession.range(1).select(F.lit(0).alias("stratum"), F.lit(n).cast("bigint").alias("_cut"))
-    cut = _cuts(keyed, spot, ["_cut"]).select("_cut")  # no row if the table is smaller
-    return (
-        df.withColumns({"_key": X.seeded_key(seed, row_id), "_id": F.col(row_id), "_cut": cut.scalar()})
-        .where(_below("_cut"))
-        .select(*df.columns)
-    )
+    keys = {"_key": X.seeded_key(seed, row_id), "_id": F.col(row_id)}
+    keyed = df.select(F.lit(0).alias("_stratum"), *[c.alias(k) for k, c in keys.items()])
+    spot = df.sparkSession.range(1).select(F.lit(0).alias("_stratum"), F.lit(n).cast("bigint").alias("_cut"))
+    cut = _cuts(keyed, spot, ["_cut"], 1).select("_cut")  # no row if the table is smaller
+    return df.withColumns({**keys, "_cut": cut.scalar()}).where(_below("_cut")).select(*df.columns)
 
 
 def shuffle_epoch(df: DataFrame, epoch: int, seed: int = C.SEED, row_id: str = "row_id") -> DataFrame:
