@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark import constants as C
+from quillmark.sources import records as R
 
 SOURCE_FILE, BLOCK, SEQ = "__source_file", "__block", "__seq"
 META = (SOURCE_FILE, BLOCK, SEQ)
@@ -28,13 +29,14 @@ META = (SOURCE_FILE, BLOCK, SEQ)
 _HEAD_BYTES = 1 << 20
 _CSV = {"header": "true", "escape": '"', "enforceSchema": "true"}
 _SEPARATORS = {"csv": ",", "tsv": "\t"}
+_LARGE = "_large"  # reader suffix of delimited files with more than one split
 
 
 @dataclass(frozen=True)
 class Layout:
     """Files that can be read by one scan."""
 
-    reader: str  # csv, tsv, json_lines, json_array, json_columns or parquet
+    reader: str  # csv, tsv, csv_large, tsv_large, json_lines, json_array, json_columns or parquet
     columns: tuple[str, ...]
     paths: tuple[str, ...]
 
@@ -142,16 +144,29 @@ def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 reader = "json_lines"
             readers.append(reader)
             columns.append(names)
-        yield pd.DataFrame({"path": pdf["path"], "reader": readers, "columns": columns})
+        yield pd.DataFrame({"path": pdf["path"], "reader": readers, "columns": columns, "length": pdf["length"]})
+
+
+_SNIFFED = "path string, reader string, columns array<string>, length bigint"
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """Size of a file split, as configured (a number, or with a unit)."""
+    value = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", value.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
 def find_layouts(spark: SparkSession, root: str) -> list[Layout]:
     """Group the files below ``root`` by reader and columns. Only names travel to the driver."""
     files = discover_files(spark, root)
-    sniffed = files.select("path", "suffix").mapInPandas(_sniff, "path string, reader string, columns array<string>")
+    sniffed = files.select("path", "suffix", "length").mapInPandas(_sniff, _SNIFFED)
+    split_bytes = _split_bytes(spark)
     groups: dict[tuple, list[str]] = {}
     for row in sniffed.collect():
-        groups.setdefault((row["reader"], tuple(row["columns"])), []).append(row["path"])
+        large = row["reader"] in _SEPARATORS and row["length"] > split_bytes
+        reader = row["reader"] + (_LARGE if large else "")
+        groups.setdefault((reader, tuple(row["columns"])), []).append(row["path"])
     if not groups:
         raise FileNotFoundError(f"no supported files ({', '.join(C.SUFFIXES)}) below {root}")
     layouts = [Layout(r, c, tuple(sorted(p))) for (r, c), p in groups.items()]
@@ -195,10 +210,23 @@ def scan_delimited(spark: SparkSession, root: str, paths: Sequence[str], columns
     usual missing-value words as NULL."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
     raw = spark.read.options(**_CSV, sep=sep, multiLine="true").schema(schema).csv(_escaped(paths))
-    named = [
+    return raw.select(*_named(columns), *_position(root))
+
+
+def scan_large_delimited(spark: SparkSession, root: str, paths: Sequence[str], columns: Sequence[str], sep: str) -> DataFrame:
+    """The same rows as `scan_delimited`, from files of any size read by many tasks."""
+    records = R.scan_records(spark, _escaped(paths), source_file(root))
+    rows = R.parse_records(records, len(columns), sep)
+    return rows.select(
+        *_named(columns), F.col(R.FILE).alias(SOURCE_FILE), F.col(R.BLOCK).alias(BLOCK), F.col(R.SEQ).alias(SEQ)
+    )
+
+
+def _named(columns: Sequence[str]) -> list[Column]:
+    """Fields c0, c1, ... under their names, missing-value words as NULL."""
+    return [
         F.when(~F.col(f"c{i}").isin(*C.NA_TOKENS), F.col(f"c{i}")).alias(name) for i, name in _last_of_case(columns)
     ]
-    return raw.select(*named, *_position(root))
 
 
 def _json_rows(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
@@ -240,6 +268,9 @@ def scan_layout(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
     """One layout's columns under their own names, plus file and position."""
     if layout.reader in _SEPARATORS:
         return scan_delimited(spark, root, layout.paths, layout.columns, _SEPARATORS[layout.reader])
+    if layout.reader.endswith(_LARGE):
+        sep = _SEPARATORS[layout.reader.removesuffix(_LARGE)]
+        return scan_large_delimited(spark, root, layout.paths, layout.columns, sep)
     if layout.reader == "parquet":
         names = [c.split("\t")[0] for c in layout.columns]
         kept = [F.col(f"`{name}`") for _, name in _last_of_case(names)]
@@ -257,9 +288,7 @@ def load_file(spark: SparkSession, path: str) -> DataFrame:
     folder = path.rsplit("/", 1)[0]
     name = re.sub(r"([{}\[\]*?\\,])", r"\\\1", path.rsplit("/", 1)[-1])
     listing = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)
-    sniffed = listing.select("path", F.lit(suffix).alias("suffix")).mapInPandas(
-        _sniff, "path string, reader string, columns array<string>"
-    )
+    sniffed = listing.select("path", F.lit(suffix).alias("suffix"), "length").mapInPandas(_sniff, _SNIFFED)
     row = sniffed.first()
     if row is None:
         raise FileNotFoundError(path)

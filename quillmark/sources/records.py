@@ -1,0 +1,86 @@
+"""Large delimited files, read in splits although records may contain line breaks.
+
+A multi-line CSV scan gives a whole file to one task. Here lines are read in splits instead, and the
+number of quote characters before a line tells whether it starts a record or continues one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+FILE, BLOCK, SEQ = "_file", "_block", "_seq"
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], file: Column) -> DataFrame:
+    raw = spark.read.option("lineSep", "\n").text(list(paths))
+    return raw.select(
+        file.alias(FILE),
+        F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias(SEQ),
+        F.col("value").alias("line"),
+    )
+
+
+def scan_records(spark: SparkSession, paths: Sequence[str], file: Column) -> DataFrame:
+    """(record, file, block, seq): the text of every record, header included, and where it starts.
+
+    Lines are shuffled once, by file block. Only the fragments at block borders, two per block at most,
+    are brought together across blocks.
+    """
+    lines = _lines(spark, paths, file)
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("_odd", F.pmod(quotes, F.lit(2)))
+
+    # Parity of the quotes before each block: one row per block, windowed per file.
+    in_file = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(F.col(FILE).alias("_f"), F.col(BLOCK).alias("_b")).agg(F.sum("_odd").alias("_n"))
+    blocks = blocks.select("_f", "_b", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_before"))
+
+    in_block = Window.partitionBy(FILE, BLOCK).orderBy(SEQ)
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    local = lines.withColumn("_local", F.coalesce(F.sum("_odd").over(earlier), F.lit(0)))
+    joined = local.join(blocks, (F.col(FILE) == F.col("_f")) & (F.col(BLOCK) == F.col("_b")))
+    starts = F.pmod(F.col("_local") + F.col("_before"), F.lit(2)) == 0
+    # Lines ahead of the first start of a block have no start yet.
+    marked = joined.withColumn("_start", F.last(F.when(starts, F.col(SEQ)), ignorenulls=True).over(in_block))
+
+    pieces = marked.groupBy(FILE, BLOCK, "_start").agg(
+        F.array_sort(F.collect_list(F.struct(SEQ, "line"))).alias("_lines")
+    )
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    pieces = pieces.select(FILE, BLOCK, "_start", text.alias("record"))
+    last = F.max("_start").over(Window.partitionBy(FILE, BLOCK))
+    pieces = pieces.withColumn("_edge", F.col("_start").isNull() | (F.col("_start") == last))
+    whole = pieces.where(~F.col("_edge")).select("record", FILE, BLOCK, F.col("_start").alias(SEQ))
+    return whole.unionByName(_join_fragments(pieces.where("_edge")))
+
+
+def _join_fragments(edges: DataFrame) -> DataFrame:
+    """Last records of blocks with the fragments later blocks begin with."""
+    by_place = Window.partitionBy(FILE).orderBy(BLOCK, F.col("_start").asc_nulls_first())
+    key = F.when(F.col("_start").isNotNull(), F.struct(F.col(BLOCK).alias("b"), F.col("_start").alias("s")))
+    owned = edges.withColumn("_key", F.last(key, ignorenulls=True).over(by_place))
+    # A record that spans blocks has one fragment per block.
+    parts = F.array_sort(F.collect_list(F.struct(F.col(BLOCK), F.col("_start").isNull().alias("_rest"), "record")))
+    merged = owned.groupBy(FILE, "_key").agg(parts.alias("_parts"))
+    text = F.array_join(F.transform("_parts", lambda x: x["record"]), "\n")
+    return merged.select(text.alias("record"), FILE, F.col("_key.b").alias(BLOCK), F.col("_key.s").alias(SEQ))
+
+
+def parse_records(records: DataFrame, columns: int, sep: str) -> DataFrame:
+    """Fields ``c0, c1, ...`` of the records; the first record of every file, its header, and empty
+    records are left out."""
+    schema = ", ".join(f"c{i} string" for i in range(columns))
+    clean = F.regexp_replace("record", "\r$", "")
+    first = F.min(F.struct(BLOCK, SEQ))
+    headers = records.where(F.col(BLOCK) == 0).groupBy(F.col(FILE).alias("_f")).agg(first.alias("_header"))
+    # One row per file; these are few, as only files larger than a split come here.
+    body = records.join(F.broadcast(headers), F.col(FILE) == F.col("_f"), "left").where(
+        F.struct(BLOCK, SEQ) != F.col("_header")
+    )
+    options = {"sep": sep, "escape": '"', "multiLine": "true"}
+    parsed = body.where(F.length(clean) > 0).withColumn("_fields", F.from_csv(clean, F.lit(schema), options))
+    return parsed.select("_fields.*", FILE, BLOCK, SEQ)

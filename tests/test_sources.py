@@ -168,3 +168,41 @@ def test_resolve_column():
     assert N.resolve_column(["x"], C.LANGUAGE_COLUMNS, "language", required=False) is None
     with pytest.raises(KeyError):
         N.resolve_column(["x"], C.CODE_COLUMNS, "code")
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits so small that records cross their borders."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    yield
+    spark.conf.set(key, before)
+
+
+def _messy(i):
+    kinds = [f"plain {i}", f"two\nlines {i}", f'say ""{i}""', "x" * 150 + "\n" + "y" * 150 + str(i), f"comma, {i}", f'""\n""{i}\n']
+    return kinds[i % len(kinds)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_csv_is_read_in_splits(spark, tmp_path, small_splits, end):
+    body = "".join(f'"{_messy(i)}",{i % 2},{i}{end}' for i in range(60))
+    write(tmp_path / "big.csv", f"code,label,n{end}{body}")
+    write(tmp_path / "other.csv", f'code,label,n{end}"q\nr",1,60{end}"tail {"z" * 90}",0,61')
+    layouts = S.find_layouts(spark, str(tmp_path))
+    assert [x.reader for x in layouts] == ["csv_large"]
+    df = S.scan_layout(spark, str(tmp_path), layouts[0])
+    got = {int(r["n"]): (r["code"], r["label"]) for r in df.collect()}
+    expected = {i: (_messy(i).replace('""', '"'), str(i % 2)) for i in range(60)}
+    expected |= {60: ("q\nr", "1"), 61: ("tail " + "z" * 90, "0")}
+    assert got == expected
+    assert df.select(S.BLOCK).distinct().count() > 5
+
+
+def test_row_ids_of_large_csv_follow_the_file(spark, tmp_path, small_splits):
+    body = "".join(f'"{_messy(i)}",{i % 2},{i}\n' for i in range(60))
+    write(tmp_path / "raw" / "big.csv", f"code,label,language\n{body}")
+    N.load_canonical(spark, str(tmp_path / "raw")).write.parquet(str(tmp_path / "bronze"))
+    ids = N.mint_row_ids(spark.read.parquet(str(tmp_path / "bronze"))).orderBy("row_id")
+    assert [r["language"] for r in ids.collect()] == [str(i) for i in range(60)]
