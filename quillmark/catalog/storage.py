@@ -36,10 +36,15 @@ def _scan(spark, folder: str) -> DataFrame:
 
 
 @B.register("discover_files", """
-SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation',
-               'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS relative_path, 'parquet' AS suffix""")
+SELECT DISTINCT 'docs/lang=' || lang AS folder, 'json' AS suffix FROM documents UNION ALL
+SELECT DISTINCT 'turns/role=' || role, 'csv' FROM conversations""")
 def discover_files(spark, sf_dir):
-    return S.discover_files(spark, sf_dir).select("relative_path", "suffix")
+    """Folders and kinds of the files two tables were written to, in groups."""
+    path = scratch_path(spark, "raw")
+    B.table(spark, sf_dir, "documents").write.partitionBy("lang").json(f"{path}/docs")
+    B.table(spark, sf_dir, "conversations").write.partitionBy("role").options(**_CSV).csv(f"{path}/turns")
+    folder = F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1).alias("folder")
+    return S.discover_files(spark, path).select(folder, "suffix").distinct()
 
 
 @B.register("source_file", "SELECT doc_id AS row_id, 'documents.parquet' AS source_file FROM documents")

@@ -35,14 +35,10 @@ def build_vocab(df: DataFrame, size: int = VOCABULARY, code: str = "code") -> Da
 def _lookup(vocab: DataFrame) -> DataFrame:
     """One row: an array of small maps token -> id, the token's hash choosing the map."""
     slot = F.pmod(F.xxhash64("token"), F.lit(_SLOTS)).alias("slot")
-    maps = vocab.groupBy(slot).agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("ids"))
-    full = vocab.sparkSession.range(_SLOTS).withColumnRenamed("id", "slot").join(maps, "slot", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("slot", F.struct("ids").alias("b"))), _by_slot)
-    return full.agg(F.transform(ordered, lambda s: s["b"]["ids"]).alias("slots"))
-
-
-def _by_slot(a, b):
-    return F.when(a["slot"] < b["slot"], -1).when(a["slot"] > b["slot"], 1).otherwise(0)
+    entries = vocab.groupBy(slot).agg(F.collect_list(F.struct("token", "token_id")).alias("entries"))
+    full = vocab.sparkSession.range(_SLOTS).withColumnRenamed("id", "slot").join(entries, "slot", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "entries")))
+    return full.agg(F.transform(ordered, lambda s: F.map_from_entries(s["entries"])).alias("slots"))
 
 
 def encode_ids(df: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -39,13 +39,15 @@ def prepare(
     resolve: str = "file",
 ) -> Prepared:
     """Raw files -> canonical table -> one language, cleaned -> stratified splits."""
-    # Written once: text formats are parsed a single time, and positions become stable. Partitioned by
-    # language, so the language filter reads only its folders.
+    # Written once: text formats are parsed a single time, and positions become stable. Two folders, so
+    # that the language filter skips the files of all other languages.
     bronze_path = scratch_path(spark, "bronze")
-    N.load_canonical(spark, raw_dir, resolve).write.partitionBy("language").parquet(bronze_path)
-    bronze = spark.read.option("recursiveFileLookup", "false").parquet(bronze_path)
-    bronze = bronze.withColumn("language", F.coalesce(F.col("language").cast("string"), F.lit("")))
-    kept = CL.filter_language(N.mint_row_ids(bronze), languages)
+    wanted = F.col("language").isin(*languages)
+    canonical = N.load_canonical(spark, raw_dir, resolve).withColumn("in_language", wanted)
+    canonical.write.partitionBy("in_language").parquet(bronze_path)
+    bronze = spark.read.parquet(bronze_path)
+    target = bronze.where(F.col("in_language").cast("boolean")).drop("in_language")
+    kept = CL.filter_language(N.mint_row_ids(target), languages)
     A.write_interim(CL.clean(kept, min_length), interim_path)
     cleaned = spark.read.parquet(interim_path)
     A.write_splits(SP.stratified_split(cleaned, ratios=ratios, seed=seed), split_path)
