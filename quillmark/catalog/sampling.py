@@ -55,14 +55,14 @@ def split_balance(spark, sf_dir):
 @B.register("subsample", f"""
 WITH {B.DOCS} SELECT row_id FROM docs ORDER BY {B.sql_key('42')}, row_id LIMIT 100""")
 def subsample(spark, sf_dir):
-    """A small sample: top-n."""
+    """A small sample."""
     return SP.subsample(B.documents(spark, sf_dir), 100).select("row_id")
 
 
 @B.register("subsample_large", f"""
 WITH {_ORDERS} SELECT row_id FROM orders_in ORDER BY {B.sql_key('42')}, row_id LIMIT 12000""")
 def subsample_large(spark, sf_dir):
-    """A sample too large for one task: selected by its exact border."""
+    """Most of a table."""
     return SP.subsample(_orders(spark, sf_dir).select("row_id"), 12_000)
 
 

@@ -53,12 +53,16 @@ def correct_only(df: DataFrame) -> DataFrame:
 
 def rank_errors(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Wrong rows, most confident first; ties by row id."""
-    return errors_only(df).orderBy(F.desc("confidence"), row_id)
+    return errors_only(df).orderBy(*_order(row_id))
+
+
+def _order(row_id: str) -> list[Column]:
+    return [F.desc("confidence"), F.col(row_id)]
 
 
 def top_errors(df: DataFrame, n: int = C.MAX_ERROR_ROWS, row_id: str = "row_id") -> DataFrame:
-    """The report's first ``n`` wrong rows: a top-n per task, merged."""
-    return rank_errors(df, row_id).limit(n)
+    """The report's first ``n`` wrong rows."""
+    return R.top_n(errors_only(df), _order(row_id), row_id, n)
 
 
 def error_summary(df: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def fit_classifier(
 def score(df: DataFrame, predictor: Predictor, threshold: float = C.THRESHOLD, code: str = "code") -> DataFrame:
     """Add ``prob_ai`` and ``prediction``; the rows keep their key and all other columns.
 
-    ``predictor`` is a fitted MLlib model, or a function from a batch of texts to their probabilities,
-    which runs on Arrow batches. Either way no row moves.
+    ``predictor`` is a fitted MLlib model, or a pandas UDF body from texts to probabilities (typed as an
+    iterator of batches it can load its model once per worker). Either way no row moves.
     """
     if isinstance(predictor, Transformer):
         scored = predictor.transform(df.withColumn("code", F.col(code)))
@@ -96,7 +96,7 @@ def score(df: DataFrame, predictor: Predictor, threshold: float = C.THRESHOLD, c
 
 @dataclass
 class Selection:
-    """Outcome of `select_best_model`."""
+    """Outcome of `select_best_model`: the best step's model, and what every step measured."""
 
     model: PipelineModel
     history: DataFrame
@@ -114,6 +114,8 @@ def select_best_model(
     once, so each step reads vectors instead of texts. With a ``run_dir`` every improvement is saved, and
     the full history at the end.
     """
+    if not candidates:
+        raise ValueError("no candidates to choose from")
     spark = train.sparkSession
     train_counts = _counts(train, config, "train-counts")
     val_counts = _counts(validation, config, "validation-counts")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark import constants as C
 from quillmark.functions import text as X
+from quillmark.operators import rank as R
 
 
 def length_features(df: DataFrame, code: str = "code") -> DataFrame:
@@ -101,9 +102,8 @@ def length_quantile(counts: DataFrame, prob: float = 0.99, name: str = "p99") ->
 
 
 def clip_p99(df: DataFrame, column: str, prob: float = 0.99) -> DataFrame:
-    """Rows whose value is at most the pooled quantile."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    limit = counts.agg(F.percentile("v", prob, F.col("n")))
+    """Rows whose value is at most the quantile over all rows; any numeric column."""
+    limit = R.exact_quantiles(df, column, [prob]).select("quantile")
     return df.where(F.col(column) <= limit.scalar())
 
 
@@ -114,24 +114,22 @@ def length_histogram(
 
     Bins span the pooled range of each metric and the last one is closed. Empty bins are left out.
     """
-    pooled = counts.groupBy("metric", "value").agg(F.sum("n").alias("n"))
-    limit = pooled.groupBy("metric").agg(F.percentile("value", prob, F.col("n")).alias("_p"))
-    # `limit` and `span` hold one row per metric.
-    kept = counts.join(F.broadcast(limit), "metric").where(F.col("value") <= F.col("_p"))
-    span = kept.groupBy("metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    # Equal ends give one unit-wide range, as numpy does.
-    flat = F.col("_hi") == F.col("_lo")
-    span = span.select(
+    # A metric's window holds its distinct lengths, which the longest text bounds; not its rows.
+    whole = Window.partitionBy("metric")
+    kept = counts.withColumn("_p", F.percentile("value", prob, F.col("n")).over(whole)).where(F.col("value") <= F.col("_p"))
+    low, high = F.min("value").over(whole), F.max("value").over(whole)
+    # Equal ends give one unit-wide range around the value.
+    flat = F.col("_high") == F.col("_low")
+    ranged = kept.withColumns({"_low": low, "_high": high}).select(
         "metric",
-        (F.col("_lo") - F.when(flat, 0.5).otherwise(0.0)).alias("_lo"),
-        (F.when(flat, 1.0).otherwise((F.col("_hi") - F.col("_lo")).cast("double")) / bins).alias("_w"),
+        by,
+        "value",
+        "n",
+        (F.col("_low") - F.when(flat, 0.5).otherwise(0.0)).alias("_lo"),
+        (F.when(flat, 1.0).otherwise((F.col("_high") - F.col("_low")).cast("double")) / bins).alias("_w"),
     )
     index = F.least(F.floor((F.col("value") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int")
-    binned = (
-        kept.join(F.broadcast(span), "metric")
-        .groupBy("metric", by, index.alias("bin"), "_lo", "_w")
-        .agg(F.sum("n").alias("n"))
-    )
+    binned = ranged.groupBy("metric", by, index.alias("bin"), "_lo", "_w").agg(F.sum("n").alias("n"))
     in_class = F.sum("n").over(Window.partitionBy("metric", by))  # at most `bins` rows each
     return binned.select(
         "metric",

@@ -13,17 +13,21 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
 BUCKET = "_bucket"
 
 
-def split_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for the session's width: about two per shuffle partition, a power of two from 64 to 4096."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << min(12, max(6, (2 * width - 1).bit_length()))
+
+
+def split_points(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
     """Approximate quantiles of a column, as bucket edges.
 
     They only balance the work: any edges give the same result. One pass, mergeable sketches.
     """
-    if buckets < 2:
-        return []
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     points = df.stat.approxQuantile(column, probs, 0.5 / buckets)
     return sorted({float(p) for p in points if math.isfinite(p)})
@@ -38,9 +42,9 @@ def with_bucket(df: DataFrame, column: str, points: Sequence[float]) -> DataFram
     ).transform(df)
 
 
-def with_hash_bucket(df: DataFrame, key: str, key_bits: int, buckets: int = BUCKETS) -> DataFrame:
+def with_hash_bucket(df: DataFrame, key: str, key_bits: int) -> DataFrame:
     """Bucket of a uniform hash: its leading bits."""
-    shift = key_bits - int(math.log2(buckets))
+    shift = key_bits - int(math.log2(bucket_count(df)))
     return df.withColumn(BUCKET, F.shiftright(F.col(key), shift))
 
 
@@ -83,15 +87,15 @@ def prefix_sums(
 
 
 def global_rank(df: DataFrame, key: str, ties: Sequence[str], key_bits: int, name: str = "rank",
-                by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+                by: Sequence[str] = ()) -> DataFrame:
     """0-based exact rank by a uniform hash key, ties broken by ``ties``."""
-    bucketed = with_hash_bucket(df, key, key_bits, buckets)
+    bucketed = with_hash_bucket(df, key, key_bits)
     return prefix_sums(bucketed, [key, *ties], {name: F.lit(1)}, by).drop(f"{name}_total")
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles as rows (by..., prob, quantile).
 
@@ -119,3 +123,22 @@ def exact_quantiles(
     return picked.select(
         *by, "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile")
     )
+
+
+def top_n(df: DataFrame, order: Sequence[Column], row_id: str, n: int) -> DataFrame:
+    """First ``n`` rows in ``order`` (which must end in the unique row id), sorted.
+
+    A plain sort with limit lets every task send n full rows to a single one. Here ids and order columns
+    alone are reduced in hash groups first; the n winners are then fetched by a broadcast of their ids.
+    """
+    groups = bucket_count(df)
+    inside = Window.partitionBy("_group").orderBy(*order)
+    ids = (
+        df.withColumn("_group", F.pmod(F.xxhash64(row_id), F.lit(groups)))
+        .withColumn("_rn", F.row_number().over(inside))
+        .where(F.col("_rn") <= n)
+        .orderBy(*order)
+        .limit(n)
+        .select(row_id)
+    )
+    return df.join(F.broadcast(ids), row_id, "left_semi").orderBy(*order).limit(n)

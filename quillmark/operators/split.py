@@ -13,8 +13,6 @@ from quillmark.operators import rank as R
 
 # Above this many classes the table of cut points is joined by shuffle instead of broadcast.
 BROADCAST_CLASSES = 100_000
-# Up to this size a sample is taken by a top-n over all tasks.
-TOP_N_LIMIT = 10_000
 
 
 def check_ratios(train: float, validation: float, test: float) -> None:
@@ -152,12 +150,12 @@ def stratified_split(
 
 
 def subsample(df: DataFrame, n: int | None, seed: int = C.SEED, row_id: str = "row_id") -> DataFrame:
-    """Exactly ``n`` seeded random rows; all rows if ``n`` is missing, not positive or too large."""
+    """Exactly ``n`` seeded random rows; all rows if ``n`` is missing, not positive or too large.
+
+    The n-th smallest hash is found and every row compared with it: no task gets the whole sample.
+    """
     if n is None or n <= 0:
         return df
-    if n <= TOP_N_LIMIT:
-        keyed = df.withColumn("_key", X.seeded_key(seed, row_id))
-        return keyed.orderBy("_key", row_id).limit(n).drop("_key")
     keys = {"_key": X.seeded_key(seed, row_id), "_id": F.col(row_id)}
     keyed = df.select(F.lit(0).alias("_stratum"), *[c.alias(k) for k, c in keys.items()])
     spot = df.sparkSession.range(1).select(F.lit(0).alias("_stratum"), F.lit(n).cast("bigint").alias("_cut"))

@@ -26,9 +26,13 @@ def tokenize(df: DataFrame, max_length: int = C.MAX_TOKENS, code: str = "code")
 def build_vocab(df: DataFrame, size: int = VOCABULARY, code: str = "code") -> DataFrame:
     """(token, n, token_id) of the most frequent tokens over whole texts; ties by token."""
     counts = df.select(F.explode(X.tokens(code)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
-    # `size` rows at most.
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))
+    # The count that the last token kept has. Distinct counts are few: at most the root of twice the tokens.
+    sizes = counts.groupBy("n").agg(F.count("*").alias("k"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    more = sizes.withColumn("above", F.coalesce(F.sum("k").over(above), F.lit(0)))
+    least = more.where(F.col("above") < size).agg(F.min("n"))
+    top = counts.where(F.col("n") >= least.scalar()).orderBy(F.desc("n"), "token").limit(size)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))  # `size` rows at most
     return top.withColumn("token_id", (place - 1 + C.FIRST_TOKEN_ID).cast("int"))
 
 

@@ -161,15 +161,13 @@ def find_layouts(spark: SparkSession, root: str) -> list[Layout]:
     """Group the files below ``root`` by reader and columns. Only names travel to the driver."""
     files = discover_files(spark, root)
     sniffed = files.select("path", "suffix", "length").mapInPandas(_sniff, _SNIFFED)
-    split_bytes = _split_bytes(spark)
-    groups: dict[tuple, list[str]] = {}
-    for row in sniffed.collect():
-        large = row["reader"] in _SEPARATORS and row["length"] > split_bytes
-        reader = row["reader"] + (_LARGE if large else "")
-        groups.setdefault((reader, tuple(row["columns"])), []).append(row["path"])
+    large = F.col("reader").isin(*_SEPARATORS) & (F.col("length") > _split_bytes(spark))
+    reader = F.when(large, F.concat("reader", F.lit(_LARGE))).otherwise(F.col("reader"))
+    # File names only: Spark's readers take them from the driver.
+    groups = sniffed.groupBy(reader.alias("reader"), "columns").agg(F.collect_list("path").alias("paths")).collect()
     if not groups:
         raise FileNotFoundError(f"no supported files ({', '.join(C.SUFFIXES)}) below {root}")
-    layouts = [Layout(r, c, tuple(sorted(p))) for (r, c), p in groups.items()]
+    layouts = [Layout(g["reader"], tuple(g["columns"]), tuple(sorted(g["paths"]))) for g in groups]
     json_layouts = [x for x in layouts if x.reader.startswith("json")]
     plain = [x for x in layouts if not x.reader.startswith("json")]
     keyed = [k for x in json_layouts for k in _json_layouts(spark, root, x)]
