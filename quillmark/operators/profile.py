@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmark import constants as C
 from quillmark.functions import text as X
 from quillmark.operators import rank as R
+from quillmark.session import stored
 
 
 def length_features(df: DataFrame, code: str = "code") -> DataFrame:
@@ -144,15 +145,16 @@ def length_histogram(
 def tag_split(df: DataFrame, splits: DataFrame, code: str = "code", split: str = "split") -> DataFrame:
     """Add the split each text belongs to, by exact text; later splits win, no match is ``unknown``.
 
-    The split side is reduced to one row per digest first. Copies on the left are one skewed key at
-    worst; being the streamed side of a left join, adaptive execution splits such partitions.
+    The split side is reduced to one narrow row per digest and stored. Its shuffle then lies directly
+    below the join, as that of ``df`` does, which is what lets adaptive execution split the partition of
+    a text with very many copies; an aggregate in between would prevent it.
     """
     order = F.array_position(F.array(*[F.lit(s) for s in C.SPLITS]), F.col(split))
     tags = splits.groupBy(X.digest(code).alias("_digest")).agg(F.max_by(split, order).alias("split"))
     return (
         df.drop("split")
         .withColumn("_digest", X.digest(code))
-        .join(tags, "_digest", "left")
+        .join(stored(tags, "split-tags"), "_digest", "left")
         .withColumn("split", F.coalesce("split", F.lit(C.UNKNOWN)))
         .drop("_digest")
     )
