@@ -150,3 +150,14 @@ def normalize_schema(spark, sf_dir):
     )
     out = N.normalize_schema(raw, keep=["row_id"])
     return out.select("row_id", F.md5("code").alias("code_md5"), "label", "language")
+
+
+@B.register("canonical_types", """
+SELECT l_orderkey::VARCHAR AS code, CASE WHEN l_tax >= 0.04 THEN 1 ELSE 0 END::INTEGER AS label, 'unknown' AS language, count(*) AS n
+FROM lineitem GROUP BY ALL""")
+def canonical_types(spark, sf_dir):
+    """A code column of numbers, a label column of booleans, no language: text, 0/1, ``unknown``."""
+    raw = B.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("content"), (F.col("l_tax") >= 0.04).alias("Generated")
+    )
+    return N.normalize_schema(raw).groupBy("code", "label", "language").agg(F.count("*").alias("n"))

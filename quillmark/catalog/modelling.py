@@ -38,17 +38,38 @@ def _run(spark, sf_dir) -> tuple[str, str]:
     return run, splits
 
 
-@B.register("fit_classifier")
+@B.register("fit_classifier", f"""
+WITH {B.SNIPS} SELECT count(*) FILTER (label = 0) AS support_human, count(*) FILTER (label = 1) AS support_ai,
+       count(*) AS n_samples, true AS beats_prior FROM snips""")
 def fit_classifier(spark, sf_dir):
-    """Measures of the fitted model on its own train rows."""
+    """Measures on the rows it was fitted on; its loss must be below that of always giving the class shares."""
     rows = B.snippets(spark, sf_dir, heavy=True)
     model = MO.fit_classifier(rows, CONFIG, CANDIDATE)
-    scored = MO.score(rows, model).select("label", "prob_ai")
-    return M.metric_bundle(stored(scored, "scores"))
+    scored = stored(MO.score(rows, model).select("label", "prob_ai"), "scores")
+    share = F.avg("label")
+    prior = scored.agg((-share * F.ln(share) - (1 - share) * F.ln(1 - share)).alias("prior"))
+    loss = M.mean_bce_loss(scored).select("loss")
+    bundle = M.metric_bundle(scored).select("support_human", "support_ai", "n_samples")
+    return bundle.withColumn("beats_prior", loss.scalar() < prior.scalar())
 
 
-@B.register("score")
+@B.register("score", f"WITH {B.SNIPS} SELECT row_id, label, true AS in_range, true AS at_threshold FROM snips")
 def score(spark, sf_dir):
+    """Every row keeps its key and label, gets a probability, and a class by the inclusive threshold."""
+    run, splits = _run(spark, sf_dir)
+    model, config = A.load_model(spark, run)
+    scored = MO.score(spark.read.parquet(splits), model, config["decision_threshold"])
+    return scored.select(
+        "row_id",
+        "label",
+        F.col("prob_ai").between(0, 1).alias("in_range"),
+        (F.col("prediction") == (F.col("prob_ai") >= 0.5).cast("int")).alias("at_threshold"),
+    )
+
+
+@B.register("score_probabilities")
+def score_probabilities(spark, sf_dir):
+    """The probabilities themselves, which only the fitted model knows."""
     run, splits = _run(spark, sf_dir)
     model, config = A.load_model(spark, run)
     scored = MO.score(spark.read.parquet(splits), model, config["decision_threshold"])
@@ -84,13 +105,33 @@ def load_model(spark, sf_dir):
     return both.agg(F.count("*").alias("n_rows"), F.count_if(different).alias("n_different"))
 
 
-@B.register("select_best_model")
+@B.register("save_model", f"""
+WITH {B.SNIPS}, {B.sql_split('snips', 'label')}
+SELECT row_id, 0.25::DOUBLE AS threshold, (least(len({B.SQL_TOKENS}), 62) + 2)::INTEGER AS n_tokens FROM parted WHERE split = 'test'""")
+def save_model(spark, sf_dir):
+    """Stored settings rule what the loaded model does: threshold and token limit."""
+    splits, run = _splits(spark, sf_dir), scratch_path(spark, "run")
+    config = MO.RunConfig(num_features=1 << 12, max_tokens=64, decision_threshold=0.25)
+    A.save_model(MO.fit_classifier(A.scan_split(spark, splits, "train"), config, CANDIDATE), run)
+    A.write_config(spark, asdict(config), run)
+    model, stored_config = A.load_model(spark, run)
+    limit = MO.effective_threshold(None, stored_config)
+    rows = A.scan_split(spark, splits, "test").select("row_id", "code")
+    return MO.verdicts(rows, model, limit, stored_config["max_tokens"]).select("row_id", "threshold", "n_tokens")
+
+
+@B.register("select_best_model", f"""
+WITH {B.SNIPS}, {B.sql_split('snips', 'label')}
+SELECT unnest([1, 2, 3])::INTEGER AS epoch, count(*) AS n_validation, true AS agrees FROM parted WHERE split = 'validation'""")
 def select_best_model(spark, sf_dir):
-    """History of the candidates tried."""
+    """Every candidate is measured on the validation rows, and the choice is that of the early-stop rule."""
     splits = _splits(spark, sf_dir)
     candidates = [MO.Candidate(0.1, 10), MO.Candidate(0.01, 10), MO.Candidate(0.001, 10)]
     chosen = PH.train(spark, splits, scratch_path(spark, "run"), CONFIG, candidates)
-    return H.training_curves(chosen.history)
+    rule = H.early_stop(chosen.history).select("best_epoch").scalar()
+    return chosen.history.select(
+        "epoch", F.col("val_metrics.n_samples").alias("n_validation"), (rule == chosen.best_epoch).alias("agrees")
+    )
 
 
 @B.register("evaluate_split", f"""
@@ -104,13 +145,19 @@ def evaluate_split(spark, sf_dir):
     return result.bundle.select("support_human", "support_ai", "n_samples", "threshold")
 
 
-@B.register("analyze_errors")
+@B.register("analyze_errors", f"""
+WITH {B.SNIPS}, {B.sql_split('snips', 'label')} SELECT count(*) AS n_test, true AS adds_up, true AS listed FROM parted WHERE split = 'test'""")
 def analyze_errors(spark, sf_dir):
+    """Errors of the fitted model: counted alike by class, by prediction, and in the list."""
     run, splits = _run(spark, sf_dir)
     predictions = scratch_path(spark, "predictions")
     PH.evaluate(spark, splits, run, predictions)
-    _, summary = PH.analyze_errors(spark, predictions, splits)
-    return summary
+    top, summary = PH.analyze_errors(spark, predictions, splits, n=1_000_000)
+    n = F.col("n_errors")
+    by_class = F.col("errors_true_human") + F.col("errors_true_ai") == n
+    by_prediction = F.col("errors_predicted_human") + F.col("errors_predicted_ai") == n
+    listed = top.agg(F.count("*")).scalar() == n
+    return summary.select("n_test", (by_class & by_prediction).alias("adds_up"), listed.alias("listed"))
 
 
 @B.register("classify_files", f"""

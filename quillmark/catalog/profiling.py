@@ -118,3 +118,11 @@ def tag_split(spark, sf_dir):
     """All documents tagged by the split their text fell into, if it was labelled."""
     splits = SP.stratified_split(B.snippets(spark, sf_dir)).select("code", "split")
     return P.tag_split(B.documents(spark, sf_dir), splits).select("row_id", "split")
+
+
+@B.register("sorted_output", f"""
+WITH {B.DOCS} SELECT language, source, count(*) AS n FROM docs GROUP BY ALL ORDER BY n DESC, language, source""")
+def sorted_output(spark, sf_dir):
+    """A sorted report over counted rows."""
+    counts = B.documents(spark, sf_dir).groupBy("language", "source").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "language", "source")

@@ -240,6 +240,22 @@ def scan_tokenized(spark, sf_dir):
     return stored.select("row_id", "label", F.col("split").cast("string").alias("split"), F.size("input_ids").alias("n_tokens"))
 
 
+@B.register("write_tokenized", f"""
+WITH {B.SNIPS}, {B.sql_split('snips', 'label')},
+{SA._VOCAB}, {SA._ENCODED}
+SELECT row_id, e.label, split, md5(array_to_string(input_ids, ',')) AS ids_md5, len(input_ids)::INTEGER AS mask_size
+FROM encoded e JOIN parted USING (row_id)""")
+def write_tokenized(spark, sf_dir):
+    """Stored ids and masks, by split."""
+    rows = SP.stratified_split(B.snippets(spark, sf_dir, heavy=True))
+    path = scratch_path(spark, "tokenized")
+    A.write_tokenized(K.encode_ids(K.tokenize(rows, 128), K.build_vocab(rows, 500)), path)
+    return spark.read.parquet(path).select(
+        "row_id", "label", F.col("split").cast("string").alias("split"),
+        F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.size("attention_mask").alias("mask_size"),
+    )
+
+
 @B.register("scan_text_files", """
 SELECT item_id, md5(text || chr(10)) AS code_md5 FROM benchmark""")
 def scan_text_files(spark, sf_dir):

@@ -36,10 +36,10 @@ def split_points(df: DataFrame, column: str, buckets: int | None = None) -> list
 def with_bucket(df: DataFrame, column: str, points: Sequence[float]) -> DataFrame:
     """Add the bucket of a numeric column; equal values always share a bucket."""
     if not points:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    return Bucketizer(
-        splits=[-math.inf, *points, math.inf], inputCol=column, outputCol=BUCKET, handleInvalid="keep"
-    ).transform(df)
+        return df.withColumn(BUCKET, F.lit(0))
+    edges = [-math.inf, *points, math.inf]
+    bucketed = Bucketizer(splits=edges, inputCol=column, outputCol=BUCKET, handleInvalid="keep").transform(df)
+    return bucketed.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
 
 def with_hash_bucket(df: DataFrame, key: str, key_bits: int) -> DataFrame:
