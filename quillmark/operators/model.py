@@ -136,7 +136,8 @@ def select_best_model(
         M.validate_predictions(val_scored)
         val_loss = M.mean_bce_loss(val_scored).first()["loss"]
         bundle = M.nested_bundle(M.metric_bundle(val_scored, config.decision_threshold)).first()
-        history.append((run_id, epoch, train_loss, val_loss, bundle, candidate.reg_param, time.time() - started))
+        seconds = time.time() - started
+        history.append((run_id, epoch, train_loss, val_loss, bundle, None, candidate.reg_param, seconds))
         if val_loss < best_loss - C.MIN_IMPROVEMENT:
             best, best_epoch, best_loss, bad = PipelineModel([*_hashing(config), idf, fitted]), epoch, val_loss, 0
             if run_dir:

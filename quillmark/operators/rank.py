@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 
+# Up to this many ids of top rows are broadcast.
+BROADCAST_IDS = 1_000_000
+
 
 def bucket_count(df: DataFrame) -> int:
     """Buckets for the session's width: about two per shuffle partition, a power of two from 64 to 4096."""
@@ -129,7 +132,8 @@ def top_n(df: DataFrame, order: Sequence[Column], row_id: str, n: int) -> DataFr
     """First ``n`` rows in ``order`` (which must end in the unique row id), sorted.
 
     A plain sort with limit lets every task send n full rows to a single one. Here ids and order columns
-    alone are reduced in hash groups first; the n winners are then fetched by a broadcast of their ids.
+    alone are reduced in hash groups first; the n winners are then fetched by their ids, which are
+    broadcast unless very many are asked for.
     """
     groups = bucket_count(df)
     inside = Window.partitionBy("_group").orderBy(*order)
@@ -141,4 +145,5 @@ def top_n(df: DataFrame, order: Sequence[Column], row_id: str, n: int) -> DataFr
         .limit(n)
         .select(row_id)
     )
-    return df.join(F.broadcast(ids), row_id, "left_semi").orderBy(*order).limit(n)
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    return df.join(ids, row_id, "left_semi").orderBy(*order).limit(n)

@@ -61,7 +61,8 @@ HISTORY_SCHEMA = T.StructType(
         T.StructField("train_loss", T.DoubleType()),
         T.StructField("val_loss", T.DoubleType()),
         T.StructField("val_metrics", METRICS_SCHEMA),
-        T.StructField("learning_rate", T.DoubleType()),
+        T.StructField("learning_rate", T.DoubleType()),  # NULL for fits that have none
+        T.StructField("reg_param", T.DoubleType()),
         T.StructField("seconds", T.DoubleType()),
     ]
 )

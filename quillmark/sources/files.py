@@ -29,14 +29,14 @@ META = (SOURCE_FILE, BLOCK, SEQ)
 _HEAD_BYTES = 1 << 20
 _CSV = {"header": "true", "escape": '"', "enforceSchema": "true"}
 _SEPARATORS = {"csv": ",", "tsv": "\t"}
-_LARGE = "_large"  # reader suffix of delimited files with more than one split
+_LARGE = "_large"  # reader suffix of files with more than one split that a plain scan would not split
 
 
 @dataclass(frozen=True)
 class Layout:
     """Files that can be read by one scan."""
 
-    reader: str  # csv, tsv, csv_large, tsv_large, json_lines, json_array, json_columns or parquet
+    reader: str  # csv, tsv, json_array (each also with _large), json_lines, json_columns or parquet
     columns: tuple[str, ...]
     paths: tuple[str, ...]
 
@@ -161,7 +161,7 @@ def find_layouts(spark: SparkSession, root: str) -> list[Layout]:
     """Group the files below ``root`` by reader and columns. Only names travel to the driver."""
     files = discover_files(spark, root)
     sniffed = files.select("path", "suffix", "length").mapInPandas(_sniff, _SNIFFED)
-    large = F.col("reader").isin(*_SEPARATORS) & (F.col("length") > _split_bytes(spark))
+    large = F.col("reader").isin(*_SEPARATORS, "json_array") & (F.col("length") > _split_bytes(spark))
     reader = F.when(large, F.concat("reader", F.lit(_LARGE))).otherwise(F.col("reader"))
     # File names only: Spark's readers take them from the driver.
     groups = sniffed.groupBy(reader.alias("reader"), "columns").agg(F.collect_list("path").alias("paths")).collect()
@@ -213,8 +213,8 @@ def scan_delimited(spark: SparkSession, root: str, paths: Sequence[str], columns
 
 def scan_large_delimited(spark: SparkSession, root: str, paths: Sequence[str], columns: Sequence[str], sep: str) -> DataFrame:
     """The same rows as `scan_delimited`, from files of any size read by many tasks."""
-    records = R.scan_records(spark, _escaped(paths), source_file(root))
-    rows = R.parse_records(records, len(columns), sep)
+    records = R.scan_delimited_records(spark, _escaped(paths), source_file(root))
+    rows = R.parse_delimited(records, len(columns), sep)
     return rows.select(
         *_named(columns), F.col(R.FILE).alias(SOURCE_FILE), F.col(R.BLOCK).alias(BLOCK), F.col(R.SEQ).alias(SEQ)
     )
@@ -234,6 +234,12 @@ def _json_rows(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
         lines = spark.read.text(paths).select("value", *_position(root))
         rows = lines.where(F.length(F.trim("value")) > 0)
         return rows.select(F.from_json("value", "map<string,string>").alias("fields"), *META)
+    if layout.reader == "json_array" + _LARGE:
+        records = R.scan_array_records(spark, paths, source_file(root))
+        return records.select(
+            F.from_json("record", "map<string,string>").alias("fields"),
+            F.col(R.FILE).alias(SOURCE_FILE), F.col(R.BLOCK).alias(BLOCK), F.col(R.SEQ).alias(SEQ),
+        )
     whole = spark.read.text(paths, wholetext=True).select("value", *_position(root))
     if layout.reader == "json_array":
         records = F.from_json("value", "array<map<string,string>>")
@@ -266,7 +272,7 @@ def scan_layout(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
     """One layout's columns under their own names, plus file and position."""
     if layout.reader in _SEPARATORS:
         return scan_delimited(spark, root, layout.paths, layout.columns, _SEPARATORS[layout.reader])
-    if layout.reader.endswith(_LARGE):
+    if layout.reader.removesuffix(_LARGE) in _SEPARATORS:
         sep = _SEPARATORS[layout.reader.removesuffix(_LARGE)]
         return scan_large_delimited(spark, root, layout.paths, layout.columns, sep)
     if layout.reader == "parquet":

@@ -1,76 +1,93 @@
-"""Large delimited files, read in splits although records may contain line breaks.
+"""Large CSV, TSV and JSON-array files, read in splits although records may span lines.
 
-A multi-line CSV scan gives a whole file to one task. Here lines are read in splits instead, and the
-number of quote characters before a line tells whether it starts a record or continues one.
+A multi-line scan gives a whole file to one task. Here pieces of text (lines, or the text between closing
+braces) are read in splits, and running sums over a file's pieces tell which of them start a record: the
+number of quote characters for CSV; quotes, then nesting depth, for JSON.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FILE, BLOCK, SEQ = "_file", "_block", "_seq"
 
 
-def _lines(spark: SparkSession, paths: Sequence[str], file: Column) -> DataFrame:
-    raw = spark.read.option("lineSep", "\n").text(list(paths))
+def _in_block() -> WindowSpec:
+    return Window.partitionBy(FILE, BLOCK).orderBy(SEQ)
+
+
+def _pieces(spark: SparkSession, paths: Sequence[str], file: Column, separator: str) -> DataFrame:
+    raw = spark.read.option("lineSep", separator).text(list(paths))
     return raw.select(
         file.alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(SEQ),
-        F.col("value").alias("line"),
+        F.col("value").alias("piece"),
     )
 
 
-def scan_records(spark: SparkSession, paths: Sequence[str], file: Column) -> DataFrame:
-    """(record, file, block, seq): the text of every record, header included, and where it starts.
+def _running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all earlier pieces of the file.
 
-    Lines are shuffled once, by file block. Only the fragments at block borders, two per block at most,
-    are brought together across blocks.
+    Sums inside a block come from a window over the block; what lies before it from a table with one row
+    per block.
     """
-    lines = _lines(spark, paths, file)
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    lines = lines.withColumn("_odd", F.pmod(quotes, F.lit(2)))
-
-    # Parity of the quotes before each block: one row per block, windowed per file.
+    valued = pieces.withColumn("_v", value)
     in_file = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy(F.col(FILE).alias("_f"), F.col(BLOCK).alias("_b")).agg(F.sum("_odd").alias("_n"))
-    blocks = blocks.select("_f", "_b", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_before"))
-
-    in_block = Window.partitionBy(FILE, BLOCK).orderBy(SEQ)
-    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    local = lines.withColumn("_local", F.coalesce(F.sum("_odd").over(earlier), F.lit(0)))
-    joined = local.join(blocks, (F.col(FILE) == F.col("_f")) & (F.col(BLOCK) == F.col("_b")))
-    starts = F.pmod(F.col("_local") + F.col("_before"), F.lit(2)) == 0
-    # Lines ahead of the first start of a block have no start yet.
-    marked = joined.withColumn("_start", F.last(F.when(starts, F.col(SEQ)), ignorenulls=True).over(in_block))
-
-    pieces = marked.groupBy(FILE, BLOCK, "_start").agg(
-        F.array_sort(F.collect_list(F.struct(SEQ, "line"))).alias("_lines")
-    )
-    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
-    pieces = pieces.select(FILE, BLOCK, "_start", text.alias("record"))
+    blocks = valued.groupBy(F.col(FILE).alias("_f"), F.col(BLOCK).alias("_b")).agg(F.sum("_v").alias("_n"))
+    blocks = blocks.select("_f", "_b", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_ahead"))
+    earlier = _in_block().rowsBetween(Window.unboundedPreceding, -1)
+    local = valued.withColumn("_local", F.coalesce(F.sum("_v").over(earlier), F.lit(0)))
+    joined = local.join(blocks, (F.col(FILE) == F.col("_f")) & (F.col(BLOCK) == F.col("_b")), "left")
+    return joined.withColumn(name, F.col("_local") + F.col("_ahead")).drop("_v", "_local", "_f", "_b", "_ahead")
+
+
+def _occurrences(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _assemble(pieces: DataFrame, starts: Column, separator: str) -> DataFrame:
+    """(record, file, block, seq): pieces joined up to the next start, and where the record starts.
+
+    Only the fragments at block borders, two per block at most, are brought together across blocks.
+    """
+    # Pieces ahead of the first start of a block have no start yet.
+    marked = pieces.withColumn("_start", F.last(F.when(starts, F.col(SEQ)), ignorenulls=True).over(_in_block()))
+    parts = F.array_sort(F.collect_list(F.struct(SEQ, "piece")))
+    grouped = marked.groupBy(FILE, BLOCK, "_start").agg(parts.alias("_parts"))
+    text = F.array_join(F.transform("_parts", lambda x: x["piece"]), separator)
     last = F.max("_start").over(Window.partitionBy(FILE, BLOCK))
-    pieces = pieces.withColumn("_edge", F.col("_start").isNull() | (F.col("_start") == last))
-    whole = pieces.where(~F.col("_edge")).select("record", FILE, BLOCK, F.col("_start").alias(SEQ))
-    return whole.unionByName(_join_fragments(pieces.where("_edge")))
+    grouped = grouped.select(FILE, BLOCK, "_start", text.alias("record")).withColumn(
+        "_edge", F.col("_start").isNull() | (F.col("_start") == last)
+    )
+    whole = grouped.where(~F.col("_edge")).select("record", FILE, BLOCK, F.col("_start").alias(SEQ))
+    return whole.unionByName(_join_fragments(grouped.where("_edge"), separator))
 
 
-def _join_fragments(edges: DataFrame) -> DataFrame:
+def _join_fragments(edges: DataFrame, separator: str) -> DataFrame:
     """Last records of blocks with the fragments later blocks begin with."""
     by_place = Window.partitionBy(FILE).orderBy(BLOCK, F.col("_start").asc_nulls_first())
     key = F.when(F.col("_start").isNotNull(), F.struct(F.col(BLOCK).alias("b"), F.col("_start").alias("s")))
     owned = edges.withColumn("_key", F.last(key, ignorenulls=True).over(by_place))
     # A record that spans blocks has one fragment per block.
-    parts = F.array_sort(F.collect_list(F.struct(F.col(BLOCK), F.col("_start").isNull().alias("_rest"), "record")))
+    parts = F.array_sort(F.collect_list(F.struct(BLOCK, F.col("_start").isNull().alias("_rest"), "record")))
     merged = owned.groupBy(FILE, "_key").agg(parts.alias("_parts"))
-    text = F.array_join(F.transform("_parts", lambda x: x["record"]), "\n")
+    text = F.array_join(F.transform("_parts", lambda x: x["record"]), separator)
     return merged.select(text.alias("record"), FILE, F.col("_key.b").alias(BLOCK), F.col("_key.s").alias(SEQ))
 
 
-def parse_records(records: DataFrame, columns: int, sep: str) -> DataFrame:
+def scan_delimited_records(spark: SparkSession, paths: Sequence[str], file: Column) -> DataFrame:
+    """Records of CSV or TSV files, headers included. A line with an even number of quotes before it
+    starts one."""
+    lines = _pieces(spark, paths, file, "\n")
+    counted = _running(lines, F.pmod(_occurrences(F.col("piece"), '"'), F.lit(2)), "_quotes")
+    return _assemble(counted, F.pmod("_quotes", F.lit(2)) == 0, "\n")
+
+
+def parse_delimited(records: DataFrame, columns: int, sep: str) -> DataFrame:
     """Fields ``c0, c1, ...`` of the records; the first record of every file, its header, and empty
     records are left out."""
     schema = ", ".join(f"c{i} string" for i in range(columns))
@@ -84,3 +101,25 @@ def parse_records(records: DataFrame, columns: int, sep: str) -> DataFrame:
     options = {"sep": sep, "escape": '"', "multiLine": "true"}
     parsed = body.where(F.length(clean) > 0).withColumn("_fields", F.from_csv(clean, F.lit(schema), options))
     return parsed.select("_fields.*", FILE, BLOCK, SEQ)
+
+
+def scan_array_records(spark: SparkSession, paths: Sequence[str], file: Column) -> DataFrame:
+    """Objects of JSON files that are one array of objects, as text.
+
+    Files are cut at closing braces. A piece that begins outside of strings, at depth 0 (the file's
+    first) or 1 (directly inside the array), starts a record.
+    """
+    pieces = _pieces(spark, paths, file, "}").withColumn("_bare", F.regexp_replace("piece", r"\\.", ""))
+    quoted = _running(pieces, F.pmod(_occurrences(F.col("_bare"), '"'), F.lit(2)), "_quotes")
+    inside = F.pmod("_quotes", F.lit(2)) == 1
+    # What is left outside of strings; a string open at the end hides the closing brace, too.
+    shown = F.concat(F.when(inside, '"').otherwise(""), F.col("_bare"), F.lit("}"))
+    outside = F.regexp_replace(shown, '"[^"]*+("|$)', "")
+    opened = _occurrences(outside, "{") + _occurrences(outside, "[")
+    closed = _occurrences(outside, "}") + _occurrences(outside, "]")
+    nested = _running(quoted, opened - closed, "_depth")
+    starts = (F.pmod("_quotes", F.lit(2)) == 0) & (F.col("_depth") <= 1)
+    records = _assemble(nested.drop("_bare"), starts, "}")
+    body = F.concat(F.substring("record", F.locate("{", F.col("record")), F.length("record")), F.lit("}"))
+    # The end of the array is a piece without an object.
+    return records.where(F.locate("{", F.col("record")) > 0).withColumn("record", body)

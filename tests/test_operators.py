@@ -414,3 +414,35 @@ def test_early_stop(spark):
     df = spark.createDataFrame([("r", i + 1, v) for i, v in enumerate(losses)] + [("s", 1, 0.5)], "run_id string, epoch int, val_loss double")
     got = {r["run_id"]: tuple(r)[1:] for r in H.early_stop(df).collect()}
     assert got == {"r": (3, 0.0130, 5, True), "s": (1, 0.5, 1, False)}
+
+
+# --- Partitioning ---------------------------------------------------------------------------------
+
+
+def test_results_do_not_depend_on_shuffle_partitions(spark):
+    random.seed(17)
+    data = [(i, random.randint(0, 1), 1.0 if i % 3 == 0 else random.random()) for i in range(3000)]
+    df = spark.createDataFrame(data, "row_id long, label int, prob_ai double").repartition(11)
+    seen = set()
+    for n in ("1", "8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        split = tuple(sorted(rows(SP.stratified_split(df), "row_id", "split")))
+        auc = round(M.auc_roc(df).first()[0], 12)
+        roc = tuple(sorted((round(a, 12), round(b, 12)) for a, b in rows(M.roc_curve(df, drop_collinear=True), "fpr", "tpr")))
+        sample = tuple(sorted(rows(SP.subsample(df, 100), "row_id")))
+        order = tuple(sorted(rows(SP.shuffle_epoch(df.select("row_id"), 1))))
+        seen.add((split, auc, roc, sample, order))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(seen) == 1
+
+
+def test_top_rows_with_many_ties(spark):
+    df = E.error_table(
+        spark.range(5000).select(
+            F.col("id").alias("row_id"), F.lit("x").alias("code"), F.lit(0).alias("label"), F.lit(1).alias("prediction"),
+            F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 5000).alias("prob_ai"),
+        )
+    )
+    assert [r[0] for r in E.top_errors(df, 4).select("row_id").collect()] == [0, 3, 6, 9]
+    big = E.top_errors(df, 3000).select("row_id", "confidence").collect()
+    assert len(big) == 3000 and big[1666][1] == 1.0 and big[1667][0] == 4999

@@ -206,3 +206,29 @@ def test_row_ids_of_large_csv_follow_the_file(spark, tmp_path, small_splits):
     N.load_canonical(spark, str(tmp_path / "raw")).write.parquet(str(tmp_path / "bronze"))
     ids = N.mint_row_ids(spark.read.parquet(str(tmp_path / "bronze"))).orderBy("row_id")
     assert [r["language"] for r in ids.collect()] == [str(i) for i in range(60)]
+
+
+def _tricky(i):
+    kinds = [
+        f"plain {i}", f"braces }} {{ ] [ {i}", f'quote " {i} \\" }}', "back\\\\", f"line\nbreak {i}", "x" * 100 + "}" + "y" * 100,
+        '"}, {"', "é😀}" * 20, "",
+    ]
+    return kinds[i % len(kinds)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_large_json_array_is_read_in_splits(spark, tmp_path, small_splits, indent):
+    data = [{"code": _tricky(i), "label": i % 2, "meta": {"n": i, "list": [{"a": "]"}, {}]}, "n": i} for i in range(70)]
+    write(tmp_path / "big.json", json.dumps(data, indent=indent, ensure_ascii=False))
+    write(tmp_path / "more.json", json.dumps([{"code": "z}", "label": 1, "meta": {}, "n": 70 + i} for i in range(9)], indent=indent) + "\n")
+    layouts = S.find_layouts(spark, str(tmp_path))
+    assert [x.reader for x in layouts] == ["json_array_large"]
+    df = S.scan_layout(spark, str(tmp_path), layouts[0])
+    got = {int(r["n"]): (r["code"], r["label"], json.loads(r["meta"])) for r in df.collect()}
+    expected = {x["n"]: (x["code"], str(x["label"]), x["meta"]) for x in data}
+    expected |= {70 + i: ("z}", "1", {}) for i in range(9)}
+    assert got == expected
+    assert df.select(S.BLOCK).distinct().count() > 5
+    N.load_canonical(spark, str(tmp_path)).write.parquet(str(tmp_path / "bronze"))
+    ids = N.mint_row_ids(spark.read.parquet(str(tmp_path / "bronze"))).orderBy("row_id").limit(70)
+    assert [r["code"] for r in ids.collect()] == [x["code"] for x in data]
