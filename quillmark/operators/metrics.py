@@ -11,6 +11,8 @@ from quillmark import constants as C
 from quillmark.functions import scoring as S
 from quillmark.operators import rank as R
 
+CLASS_NAMES = (C.LABEL_NAMES[C.HUMAN], C.LABEL_NAMES[C.AI])
+
 
 def validate_predictions(df: DataFrame, label: str = "label", prob: str = "prob_ai") -> None:
     """Raise on an empty table, missing values, labels other than 0/1, or only one class."""
@@ -113,15 +115,24 @@ def accuracy(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] =
     return matrix_counts(df, threshold, by, **cols).select(*by, _measures()["accuracy"].alias("accuracy"))
 
 
-def per_class_prf(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
+def _two_names(names: Sequence[str]) -> tuple[str, str]:
+    if len(names) != 2:
+        raise ValueError(f"two class names are needed, for 0 and for 1; got {list(names)}")
+    return names[0], names[1]
+
+
+def per_class_prf(
+    df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), names: Sequence[str] = CLASS_NAMES, **cols: str
+) -> DataFrame:
     """One row per class: precision, recall, f1, support."""
+    human, ai = _two_names(names)
     m = _measures()
     wide = matrix_counts(df, threshold, by, **cols).select(*by, *[c.alias(n) for n, c in m.items()])
     fields = ("precision", "recall", "f1", "support")
     cells = F.stack(
         F.lit(2),
-        F.lit(C.LABEL_NAMES[C.HUMAN]), *[F.col(f"{f}_human") for f in fields],
-        F.lit(C.LABEL_NAMES[C.AI]), *[F.col(f"{f}_ai") for f in fields],
+        F.lit(human), *[F.col(f"{f}_human") for f in fields],
+        F.lit(ai), *[F.col(f"{f}_ai") for f in fields],
     ).alias("label_name", *fields)
     return wide.select(*by, cells)
 
@@ -163,19 +174,19 @@ def metric_bundle(
     )
 
 
-def nested_bundle(flat: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def nested_bundle(flat: DataFrame, by: Sequence[str] = (), names: Sequence[str] = CLASS_NAMES) -> DataFrame:
     """The flat bundle in its stored shape: per-class map, 2x2 matrix, support map."""
 
     def cls(name: str) -> Column:
         return F.struct(*[F.col(f"{f}_{name}").alias(f) for f in ("precision", "recall", "f1", "support")])
 
-    human, ai = C.LABEL_NAMES[C.HUMAN], C.LABEL_NAMES[C.AI]
+    human, ai = _two_names(names)
     return flat.select(
         *by,
         "accuracy",
         "macro_f1",
         "auc_roc",
-        F.create_map(F.lit(human), cls(human), F.lit(ai), cls(ai)).alias("per_class"),
+        F.create_map(F.lit(human), cls("human"), F.lit(ai), cls("ai")).alias("per_class"),
         F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"),
         F.create_map(F.lit(human), F.col("support_human"), F.lit(ai), F.col("support_ai")).alias("support"),
         "threshold",

@@ -18,7 +18,10 @@ from quillmark.sources import files as S
 # Order of a row among all rows, before file and position.
 PART = "__part"
 
-# Up to this many file blocks their start numbers are broadcast.
+# Whether a row's label is a number, where files of both kinds are united.
+NUMERIC = "__numeric"
+
+# Up to this many files or file blocks a table of them is broadcast.
 BROADCAST_BLOCKS = 500_000
 
 
@@ -78,11 +81,11 @@ def normalize_schema(
     """(code STRING, label INT, language STRING, keep...) from a long or a paired table.
 
     Pairs win over a label column. A missing language column or value is ``unknown``, a missing code is
-    NULL. With ``on_bad_label="quarantine"`` unreadable labels become NULL and ``label_raw`` keeps them.
+    NULL. ``label_kind="numeric"`` reads text labels as numbers; a column `NUMERIC` tells it row by row. With ``on_bad_label="quarantine"`` unreadable labels become NULL and ``label_raw`` keeps them.
     """
     if on_bad_label not in ("error", "quarantine"):
         raise ValueError(f"on_bad_label must be 'error' or 'quarantine', not {on_bad_label!r}")
-    columns = [c for c in df.columns if c not in (*S.META, *keep)]
+    columns = [c for c in df.columns if c not in (*S.META, NUMERIC, *keep)]
     language = resolve_column(columns, C.LANGUAGE_COLUMNS, "language", required=False)
     language_value = X.normalize_language(F.col(f"`{language}`").cast("string")) if language else F.lit(C.UNKNOWN)
     pair = paired_columns(columns)
@@ -99,12 +102,16 @@ def normalize_schema(
         code_name = resolve_column(columns, C.CODE_COLUMNS, "code")
         label_name = resolve_column(columns, C.LABEL_COLUMNS, "label")
         kind = label_kind or df.schema[label_name].dataType
+        strict = on_bad_label == "error"
+        flag = [NUMERIC] if NUMERIC in df.columns else []
         out = df.select(
             F.col(f"`{code_name}`").cast("string").alias("code"), F.col(f"`{label_name}`").alias("_raw"),
-            language_value.alias("language"), *keep,
+            language_value.alias("language"), *keep, *flag,
         )
         label_raw = F.col("_raw").cast("string")
-        label = encode_label("_raw", kind, strict=on_bad_label == "error")
+        label = encode_label("_raw", kind, strict=strict)
+        if flag:
+            label = F.when(F.col(NUMERIC), encode_label("_raw", "numeric", strict=strict)).otherwise(label)
     extra = [label_raw.alias("label_raw")] if on_bad_label == "quarantine" else []
     return out.select("code", label.cast("int").alias("label"), "language", *extra, *keep)
 
@@ -133,6 +140,19 @@ def _split_by_label_kind(spark: SparkSession, root: str, layout: S.Layout) -> li
     return [(replace(layout, paths=p), kind) for p, kind in ((numeric, "numeric"), (worded, None)) if p]
 
 
+def _flag_numeric_files(raw: DataFrame) -> DataFrame:
+    """Add `NUMERIC`: all labels of the row's file are numbers. Pairs have no label to read."""
+    columns = [c for c in raw.columns if c not in S.META]
+    if paired_columns(columns):
+        return raw
+    label = F.col(f"`{resolve_column(columns, C.LABEL_COLUMNS, 'label')}`")
+    word = label.isNotNull() & label.try_cast("double").isNull()
+    kinds = raw.groupBy(S.SOURCE_FILE).agg(F.bool_and(~word).alias(NUMERIC))
+    # One row per file.
+    kinds = F.broadcast(kinds) if kinds.count() <= BROADCAST_BLOCKS else kinds
+    return raw.join(kinds, S.SOURCE_FILE, "left")
+
+
 def load_canonical(
     spark: SparkSession, root: str, resolve: str = "file", on_bad_label: str = "error"
 ) -> DataFrame:
@@ -145,12 +165,12 @@ def load_canonical(
 
     def canonical(frame: DataFrame, kind: str | None) -> DataFrame:
         # Of pairs, all human rows come before all others.
-        paired = paired_columns([c for c in frame.columns if c not in S.META])
+        paired = paired_columns([c for c in frame.columns if c not in (*S.META, NUMERIC)])
         out = normalize_schema(frame, kind, on_bad_label, keep)
         return out.withColumn(PART, F.col("label") if paired else F.lit(0))
 
     if resolve == "global":
-        return canonical(S.union_files(spark, root), None)
+        return canonical(_flag_numeric_files(S.union_files(spark, root)), None)
     if resolve != "file":
         raise ValueError(f"resolve must be 'file' or 'global', not {resolve!r}")
     united = None

@@ -335,6 +335,15 @@ def test_losses_agree(spark):
     assert math.isclose(b, c, abs_tol=1e-12) and math.isclose(a, (3 * c + 40) / 4, abs_tol=1e-9)
 
 
+def test_class_names(spark):
+    nested = M.nested_bundle(M.metric_bundle(golden(spark)), names=("person", "model")).first()
+    assert nested["support"] == {"person": 181, "model": 221} and nested["per_class"]["person"]["precision"] == 1.0
+    assert nested["confusion_matrix"] == [[179, 2], [0, 221]]
+    assert {r[0] for r in rows(M.per_class_prf(golden(spark), names=("person", "model")), "label_name")} == {"person", "model"}
+    with pytest.raises(ValueError, match="two class names"):
+        M.per_class_prf(golden(spark), names=("one",))
+
+
 def test_report_shows_missing_values(spark):
     flat = M.metric_bundle(golden(spark)).withColumn("auc_roc", F.lit(None).cast("double"))
     shown = dict(rows(M.metrics_to_long(flat), "metric", "shown"))

@@ -105,6 +105,15 @@ def test_columns_resolved_globally(spark, tmp_path):
     assert rows(df, "code", "label") == [("x", 1), (None, 0)]
 
 
+def test_global_labels_are_read_per_file(spark, tmp_path):
+    write(tmp_path / "a.csv", "code,label\nx,1.0\ny,0.7\n")
+    write(tmp_path / "b.csv", "code,label\nz,human\n")
+    pd.DataFrame({"code": ["p", "q"], "label": [1.0, 0.0]}).to_parquet(tmp_path / "c.parquet")
+    pd.DataFrame({"code": ["r"], "label": [True]}).to_parquet(tmp_path / "d.parquet")
+    df = N.load_canonical(spark, str(tmp_path), resolve="global").orderBy("code")
+    assert rows(df, "code", "label") == [("p", 1), ("q", 0), ("r", 1), ("x", 1), ("y", 0), ("z", 0)]
+
+
 def test_missing_column_is_an_error(spark, tmp_path):
     write(tmp_path / "a.csv", "body,label\nx,1\n")
     with pytest.raises(KeyError, match="code column"):
