@@ -12,6 +12,7 @@ from quillmark.operators import profile as P
 from quillmark.operators import rank as R
 from quillmark.operators import split as SP
 from quillmark.operators import tokens as K
+from quillmark.session import stored
 
 
 @B.register("stratified_split", f"""
@@ -95,7 +96,8 @@ placed AS (SELECT *, r // 32 AS batch_id, (r % 32)::INTEGER AS slot, max(len(inp
 SELECT batch_id::BIGINT AS batch_id, slot, row_id, label, pad_to::INTEGER AS width, len(input_ids)::BIGINT AS mask_sum,
        (list_sum(input_ids) + (pad_to - len(input_ids)))::BIGINT AS ids_sum FROM placed""")
 def assemble_batches(spark, sf_dir):
-    batches = BA.assemble_batches(_encoded(spark, sf_dir))
+    encoded = _encoded(spark, sf_dir).select("row_id", "label", "input_ids", "attention_mask")
+    batches = BA.assemble_batches(stored(encoded, "encoded"))
     zero = F.lit(0).cast("bigint")
     return batches.select(
         "batch_id", "slot", "row_id", "label", F.size("input_ids").alias("width"),
