@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmark.llm import ngram_join
+from quillmark.llm import (
+    decontaminate,
+    html_text,
+    line_quality,
+    neighbours,
+    ngram_join,
+    packing,
+    passage_dedup,
+    pii,
+    repeat_dedup,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +36,51 @@ def _register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 @_register
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passage_dedup.cut_repeated_passages(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeat_dedup.cut_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+@_register
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_register
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_register
+def op6_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.all_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@_register
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
