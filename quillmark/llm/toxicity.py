@@ -1,8 +1,8 @@
 """Severity of toxic language by ordinal regression with cumulative links.
 
-Grades run from 0, clean, to 3, severe. One set of weights over the words of a text serves all grades; each step from a
+Grades run from 0, clean, to 3, severe. One set of weights over the features of a text serves all grades; each step from a
 grade to the next has its own threshold: P(grade >= k) = sigmoid(w x - threshold_k). Labels only tell clean from toxic, so
-the grades of toxic texts are thirds by the number of words that the labels tie to toxicity.
+the grades of toxic texts are thirds by what they hold of the features that labels tie to toxicity.
 """
 
 from __future__ import annotations
@@ -15,78 +15,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.textops import Words, pieces, texts
+from quillmark.llm.textops import Words, pieces, rolling, stretch, texts
+from quillmark.session import stored
 
 #: Labelled texts that the regression is fitted on at most, those with the smallest hashed ids.
-SAMPLE = 12_000
-#: Words a word must be found in texts, and the words with the greatest ties that are features at most.
-LEAST, FEATURES = 5, 400
+SAMPLE = 20_000
+#: Texts a feature must be found in, how far above chance its toxic ones, and features at most, those with the best ties.
+LEAST, TIE, LIFT, FEATURES = 5, 6.0, 3.0, 400
+#: Beside whole words their first so many bytes are features: inflected forms share them.
+PREFIXES = (4, 5, 6)
 ROUNDS = 300
 GRADES = 4
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-
-def _terms(found: list[bytes]) -> Words:
-    """Lower-case words of letters only; all else separates."""
-    table = np.where(_LETTERS, np.arange(256), 32).astype(np.uint8).tobytes()
-    return Words([x.translate(table) for x in found], lower=True)
+_TABLE = np.where(_LETTERS, np.arange(256), 32).astype(np.uint8).tobytes()
+
+
+def _features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of some texts, and the text of each: lower-case words of letters only, and how they begin."""
+    words = Words([x.translate(_TABLE) for x in found], lower=True)
+    text = np.repeat(np.arange(len(found)), np.diff(words.first))
+    sums, size = rolling(words.buf), words.ends - words.starts
+    hashes, of = [words.hash], [text]
+    for n in PREFIXES:
+        longer = np.flatnonzero(size > n)
+        hashes.append(stretch(sums, words.starts[longer], words.starts[longer] + n))
+        of.append(text[longer])
+    return np.concatenate(hashes), np.concatenate(of)
+
+
+def _counts(found: list[bytes], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in ``terms``, how often) of the features among ``terms``, which ascend."""
+    hashes, text = _features(found)
+    if not len(terms):
+        return (np.empty(0, np.int64),) * 3
+    at = np.searchsorted(terms, hashes)
+    at[at == len(terms)] = 0
+    hit = terms[at] == hashes
+    pairs, many = np.unique(text[hit] * len(terms) + at[hit], return_counts=True)
+    return pairs // len(terms), pairs % len(terms), many
 
 
 @dataclass
 class Severity:
-    """Hashes of the words that count, their weights, thresholds between grades."""
+    """Hashes of the features that count, ascending, their weights, thresholds between grades."""
 
     terms: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def at_least(self, sums: np.ndarray) -> np.ndarray:
-        """P(grade >= 1), P(grade >= 2), ... for sums of weights."""
+    def at_least(self, found: list[bytes]) -> np.ndarray:
+        """P(grade >= 1), P(grade >= 2), ... of each text."""
+        text, term, many = _counts(found, self.terms)
+        sums = np.bincount(text, self.weights[term] * np.log1p(many), len(found))
         return 1 / (1 + np.exp(-np.clip(sums[:, None] - self.thresholds, -50, 50)))
 
-    def sums(self, words: Words) -> np.ndarray:
-        at = np.searchsorted(self.terms, words.hash)
-        at[at == len(self.terms)] = 0
-        text, term = _counted(words, np.flatnonzero(self.terms[at] == words.hash) if len(self.terms) else np.empty(0, np.int64), at)
-        pairs, many = np.unique(text * (len(self.terms) + 1) + term, return_counts=True)
-        text, term = np.divmod(pairs, len(self.terms) + 1)
-        return np.bincount(text, self.weights[term] * np.log1p(many), len(words.first) - 1)
-
-
-def _counted(words: Words, hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.searchsorted(words.first, hit, "right") - 1, at[hit]
-
-
-def fit_severity(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, rounds: int = ROUNDS) -> Severity:
-    """The regression on texts given as distinct hashed words with their counts."""
-    n, positive = len(bags), max(1.0, float(toxic.sum()))
-    terms, index = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
-    text = np.repeat(np.arange(n), [len(b[0]) for b in bags])
-    count = np.concatenate([b[1] for b in bags]).astype(np.float64)
-    inside = np.bincount(index, toxic[text], len(terms))
-    total = np.bincount(index, minlength=len(terms))
-    share = toxic.mean()
-    # how far the number of toxic texts with a word is from what its number of texts lets expect
-    tie = (inside - total * share) / np.sqrt(total * share * (1 - share) + 0.25)
-    lift = (inside + 0.5) / (total + 1) / max(share, 1e-9)
-    able = np.flatnonzero((total >= LEAST) & (tie > 5) & (lift > 1.5))
-    chosen = np.sort(able[np.argsort(-tie[able], kind="stable")][:FEATURES])
-    place = np.full(len(terms), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[index] >= 0
-    text, term, value = text[used], place[index][used], np.log1p(count[used])
+
+def fit_severity(
+    text: np.ndarray, term: np.ndarray, many: np.ndarray, toxic: np.ndarray, terms: np.ndarray, rounds: int = ROUNDS
+) -> Severity:
+    """The regression on (text, place in ``terms``, how often) of texts that are toxic or not."""
+    n, positive = len(toxic), max(1.0, float(toxic.sum()))
+    value = np.log1p(many)
     # grades of toxic texts: thirds by what they hold of those words
     load = np.bincount(text, value, n)
     cuts = np.quantile(load[toxic > 0], [1 / 3, 2 / 3]) if toxic.any() else [0.0, 0.0]
     grade = np.where(toxic > 0, 1 + (load > cuts[0]) + (load > cuts[1]), 0)
-    weights, gaps = np.zeros(len(chosen)), np.array([1.0, np.log(1.0), np.log(1.0)])
-    values = np.concatenate([weights, gaps])
+    values = np.concatenate([np.zeros(len(terms)), [1.0, 0.0, 0.0]])
     mean, square = np.zeros_like(values), np.zeros_like(values)
     level = np.arange(1, GRADES)
-    balance = np.where(toxic > 0, 1.0, 1.0)
     for turn in range(1, rounds + 1):
-        weights, gaps = values[: len(chosen)], values[len(chosen) :]
+        weights, gaps = values[: len(terms)], values[len(terms) :]
         # thresholds rise: each is the one before and a positive step
         steps = np.exp(gaps[1:])
         cut = np.concatenate([[gaps[0]], gaps[0] + np.cumsum(steps)])
@@ -95,18 +94,17 @@ def fit_severity(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, r
         rows = np.arange(n)
         here = np.maximum(reach[rows, grade] - reach[rows, grade + 1], 1e-12)
         low, high = reach[rows, grade] * (1 - reach[rows, grade]), reach[rows, grade + 1] * (1 - reach[rows, grade + 1])
-        to_sum = (low - high) / here * balance
+        to_sum = (low - high) / here
         to_cut = np.zeros(GRADES - 1)
         for k in level:
             to_cut[k - 1] = ((-low / here) * (grade == k) + (high / here) * (grade == k - 1)).sum()
         back = np.array([to_cut.sum(), *[to_cut[k:].sum() * steps[k - 1] for k in range(1, GRADES - 1)]])
-        step = np.concatenate([np.bincount(term, to_sum[text] * value, len(chosen)) / positive - 1e-3 * weights, back / positive])
+        step = np.concatenate([np.bincount(term, to_sum[text] * value, len(terms)) / positive - 1e-3 * weights, back / positive])
         mean, square = 0.9 * mean + 0.1 * step, 0.99 * square + 0.01 * step**2
         values = values + 0.08 * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
-    gaps = values[len(chosen) :]
+    gaps = values[len(terms) :]
     cut = np.concatenate([[gaps[0]], gaps[0] + np.cumsum(np.exp(gaps[1:]))])
-    order = np.argsort(terms[chosen])
-    return Severity(terms[chosen][order], values[: len(chosen)][order], cut)
+    return Severity(terms, values[: len(terms)], cut)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity | None:
@@ -115,25 +113,49 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity
         F.max("toxic").cast("int").alias("toxic")
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = stored(
+        texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")),
+        "labelled",
+    )
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < positive < n:
+        return None
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in pieces(batches):
-            words = _terms(found)
-            rows = []
-            for doc, toxic, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), words.first[:-1], words.first[1:]):
-                terms, counts = np.unique(words.hash[a:b], return_counts=True)
-                rows.append((doc, toxic, terms.tobytes(), counts.astype(np.int32).tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(
-        run, "doc_id bigint, toxic int, terms binary, counts binary"
-    ).dropDuplicates(["terms", "counts", "toxic"]).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    toxic = np.array([r["toxic"] for r in rows], np.float64)
-    if not len(rows) or not 0 < toxic.sum() < len(rows):
-        return None
-    return fit_severity([(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in rows], toxic)
+            hashes, text = _features(found)
+            pairs = np.unique(np.column_stack([hashes, text.astype(np.uint64)]), axis=0) if len(hashes) else np.empty((0, 2), np.uint64)
+            terms, index, total = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+            toxic = batch.column("toxic").to_numpy()[pairs[:, 1].astype(np.int64)]
+            inside = np.bincount(index, toxic, len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (terms, total, inside)], ["term", "total", "inside"])
+
+    counted = rows.mapInArrow(shares, "term bigint, total bigint, inside bigint").groupBy("term").agg(
+        F.sum("total").alias("total"), F.sum("inside").alias("inside")
+    )
+    share = positive / n
+    # how far the toxic texts with a feature are from what its texts let expect
+    tie = (F.col("inside") - F.col("total") * share) / F.sqrt(F.col("total") * (share * (1 - share)) + 0.25)
+    lift = (F.col("inside") + 0.5) / (F.col("total") + 1) / share
+    best = counted.withColumn("tie", tie).where((F.col("total") >= LEAST) & (F.col("tie") > TIE) & (lift > LIFT))
+    terms = np.sort(np.array([r["term"] for r in best.orderBy(F.desc("tie"), "term").limit(FEATURES).collect()], np.int64).view(np.uint64))
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in pieces(batches):
+            text, term, many = _counts(found, terms)
+            doc, toxic = batch.column("doc_id").to_numpy(), batch.column("toxic").to_numpy()
+            every = np.arange(len(found))  # a row for each text, whatever it holds
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[np.append(text, every)]), pa.array(toxic[np.append(text, every)], pa.int32()),
+                 pa.array(np.append(term, np.full(len(found), -1))), pa.array(np.append(many, every * 0))],
+                ["doc_id", "toxic", "term", "many"],
+            )
+
+    found = sorted(map(tuple, rows.mapInArrow(held, "doc_id bigint, toxic int, term bigint, many bigint").collect()))
+    doc, toxic, term, many = np.array(found, np.int64).T
+    _, first, text = np.unique(doc, return_index=True, return_inverse=True)
+    used = term >= 0
+    return fit_severity(text[used], term[used], many[used], toxic[first].astype(np.float64), terms)
 
 
 def _scored(rows: DataFrame, model: Severity | None, schema: str) -> DataFrame:
@@ -141,7 +163,7 @@ def _scored(rows: DataFrame, model: Severity | None, schema: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in pieces(batches):
-            reach = model.at_least(model.sums(_terms(found))) if model else np.zeros((len(found), GRADES - 1))
+            reach = model.at_least(found) if model else np.zeros((len(found), GRADES - 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(reach.sum(axis=1)), *[pa.array(reach[:, k]) for k in range(GRADES - 1)]],
                 ["doc_id", "severity", *[f"p{k}" for k in range(1, GRADES)]],
@@ -171,7 +193,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in pieces(batches):
-            keep = model.at_least(model.sums(_terms(found)))[:, 0] < 0.5 if model else np.ones(len(found), bool)
+            keep = model.at_least(found)[:, 0] < 0.5 if model else np.ones(len(found), bool)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
