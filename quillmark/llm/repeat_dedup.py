@@ -21,6 +21,7 @@ from quillmark.llm.textops import mix, pieces, rolling, stretch, texts
 
 WINDOW, GRAM = 50, 24
 _REACH = WINDOW - GRAM + 1
+_BASE = 0x5851F42D4C957F2D
 _WIDTH = 4
 #: Windows of a minimizer that at least so many documents have meet by their own bytes, one by one.
 HOT = 256
@@ -63,7 +64,7 @@ class _Chunks:
         first = np.flatnonzero(np.diff(place, prepend=-1))
         self.start = starts[first]
         self.windows = np.diff(np.append(first, len(starts)))
-        self.group = grams[place[first]]
+        self.group = mix(grams[place[first]] ^ np.uint64(_BASE))  # small hashes are chosen: spread them anew
         self.text = np.searchsorted(self.ends, self.start, "right")
 
     def cut(self, keep: np.ndarray, single: np.ndarray) -> None:
