@@ -14,7 +14,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import echoes
@@ -26,6 +26,12 @@ from quillmark.session import stored
 FREQUENT = 16
 #: So many documents of a list are compared with the whole list in the first turn; each turn has twice as many.
 MOST_PIVOTS = 32
+#: Documents of a list that a document is compared with at once, about.
+LIST_CHUNK = 512
+#: Turns at most in which a list's documents are compared with a single one.
+STAR_TURNS = 5
+#: Ids of copies that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Bytes of a token's hash that are kept beside its bucket.
 WIDTH = 5
 #: Sizes of similar sets lie in the same or in neighbouring bands; a little more than 1 / 0.8.
@@ -58,16 +64,21 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(keys: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """What a set of ``n`` tokens is found by; ``keys`` are its tokens that other documents hold too."""
+def signatures(keys: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set of ``n`` tokens is found by, ascending; ``keys`` are its tokens that other documents hold too.
+
+    With each comes how many tokens can be common to two sets that are first found by it: those from a token on, and all
+    frequent ones for a pair of them.
+    """
     frequent = keys >= echoes.FREQUENT
     rare, often = np.sort(keys[~frequent]).view(np.uint64), np.sort(keys[frequent]).view(np.uint64)
     room = n - _least(n, percent) + 1 - (n - len(keys))
     if room <= 0:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     # a mixed hash, so that the order is not that of the buckets
     rare, often = np.sort(mix(rare)), np.sort(mix(often))
     out = [rare[:room]]
+    left = [len(keys) - np.arange(len(out[0]))]
     if room > len(rare) and len(often):
         band = int(np.log(n) / np.log(_BAND))
         for tag in (band, band + 1):
@@ -76,6 +87,7 @@ def signatures(keys: np.ndarray, n: int, percent: int) -> np.ndarray:
             salt = np.uint64(2 * tag + 1)
             if classes == 0:
                 out.append(mix(reach + salt))
+                left.append(len(often) - np.arange(len(reach)))
                 continue
             kind = reach % np.uint64(classes)
             order = np.argsort(kind, kind="stable")
@@ -86,8 +98,10 @@ def signatures(keys: np.ndarray, n: int, percent: int) -> np.ndarray:
                 if not same.any():
                     break
                 out.append(mix(mix(reach[:-step][same] + salt) + reach[step:][same]))
+                left.append(np.full(len(out[-1]), len(often)))
                 step += 1
-    return np.unique(np.concatenate(out)).view(np.int64)
+    found, first = np.unique(np.concatenate(out), return_index=True)
+    return found.view(np.int64), np.concatenate(left)[first].astype(np.int32)
 
 
 def _signed(sets: DataFrame, percent: int) -> DataFrame:
@@ -97,57 +111,68 @@ def _signed(sets: DataFrame, percent: int) -> DataFrame:
                 signatures(keys.values.to_numpy(), n.as_py(), percent)
                 for keys, n in zip(batch.column("keys"), batch.column("size"))
             ]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())
-            )
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]), pa.int32())
+            lists = [
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*(x[i] for x in found), np.empty(0, kind)]).astype(kind)))
+                for i, kind in enumerate((np.int64, np.int32))
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("size"), batch.column("common"), lists],
-                ["doc_id", "size", "common", "signatures"],
+                [batch.column("doc_id"), batch.column("size"), *lists], ["doc_id", "size", "signature", "common"]
             )
 
-    signed = sets.select("doc_id", "size", "keys", "common").mapInArrow(
-        run, "doc_id bigint, size int, common int, signatures array<bigint>"
+    signed = sets.select("doc_id", "size", "keys").mapInArrow(
+        run, "doc_id bigint, size int, signature array<bigint>, common array<int>"
     )
-    return signed.select("doc_id", "size", "common", F.explode("signatures").alias("signature"))
+    return signed.select("doc_id", "size", F.inline(F.arrays_zip("signature", "common")))
 
 
-def _fit(percent: int):
-    """Whether sizes, and tokens held by others at all, leave room for enough common tokens."""
-    least, most = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+def _fit(percent: int, of: dict[str, Column] | None = None) -> Column:
+    """Whether sizes, and what can be common at most, leave room for enough common tokens."""
+    of = of or {c: F.col(c) for c in ("a_size", "b_size", "a_common", "b_common")}
+    least, most = F.least(of["a_size"], of["b_size"]), F.greatest(of["a_size"], of["b_size"])
     return (100 * least >= percent * most) & (
-        F.least("a_common", "b_common") * (100 + percent) >= percent * (F.col("a_size") + F.col("b_size"))
+        F.least(of["a_common"], of["b_common"]) * (100 + percent) >= percent * (of["a_size"] + of["b_size"])
     )
 
 
-def _side(rows: DataFrame, side: str, *also: str) -> DataFrame:
-    names = {"doc_id": side, "size": f"{side}_size", "common": f"{side}_common", "component": f"{side}_component"}
-    return rows.select(*also, *[F.col(c).alias(n) for c, n in names.items() if c in rows.columns])
-
-
-def _side_columns(side: str) -> list:
+def _side_columns(side: str) -> list[Column]:
     return [F.col("doc_id").alias(side), F.col("size").alias(f"{side}_size"), F.col("common").alias(f"{side}_common")]
 
 
-def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs, the smaller id first, that can be similar."""
-    ahead = F.col("a") < F.col("b")
-    return pairs.where("a <> b").where(_fit(percent)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(ahead, F.col("a_size")).otherwise(F.col("b_size")).alias("a_size"),
-        F.when(ahead, F.col("b_size")).otherwise(F.col("a_size")).alias("b_size"),
-    ).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs, the smaller id first."""
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("a_keys"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("b_keys"))
+    left, right = (
+        sets.select(F.col("doc_id").alias(side), F.col("size").alias(f"{side}_size"), F.col("keys").alias(f"{side}_keys")) for side in "ab"
+    )
     shared = F.size(F.array_intersect("a_keys", "b_keys"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_size", "b_size", shared.alias("shared"))
-    return both.select(
-        "a", "b", "shared", (F.col("a_size") + F.col("b_size") - F.col("shared")).alias("of"),
-        (100 * F.col("shared") >= percent * (F.col("a_size") + F.col("b_size") - F.col("shared"))).alias("linked"),
+    both = pairs.join(right, "b").join(left, "a").select(
+        "a", "b", shared.alias("shared"), (F.col("a_size") + F.col("b_size") - shared).alias("of")
     )
+    return both.withColumn("linked", 100 * F.col("shared") >= percent * F.col("of"))
+
+
+def _against_lists(heads: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a head and what is in its lists but in another component.
+
+    Lists are cut into chunks by document, so that what a head meets in all its lists comes together chunk by chunk, and
+    a pair comes out once however many lists hold it.
+    """
+    longest = posts.groupBy("signature").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("chunk")), F.lit(1 + longest // LIST_CHUNK))
+    lists = posts.groupBy("signature", chunk.alias("chunk")).agg(
+        F.collect_list(F.struct(*_side_columns("b"), F.col("component").alias("b_component"))).alias("members")
+    )
+    heads = heads.select("signature", *_side_columns("a"), F.col("component").alias("a_component"))
+    own = {c: F.col(c) for c in ("a_size", "a_common")}
+    met = F.filter(
+        "members", lambda m: (m["b_component"] != F.col("a_component")) & _fit(percent, {**own, "b_size": m["b_size"], "b_common": m["b_common"]})
+    )
+    rows = heads.join(lists, "signature").select("a", "chunk", F.transform(met, lambda m: m["b"]).alias("met")).where(F.size("met") > 0)
+    return rows.groupBy("a", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met")).select("a", F.explode("met").alias("b"))
 
 
 def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -160,33 +185,39 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
     membership = members.join(classes, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")
     ).distinct()
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    total, texts_n = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = echoes.bucket_count(total)
+    # tokens are counted over classes: only one text of each goes on
+    others = membership.where("doc_id <> class_id").select("doc_id").distinct()
+    if texts_n - classes.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    firsts = texts(docs).join(others, "doc_id", "left_anti")
 
     def hasher(batch: pa.RecordBatch, found: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
         for tokens in _token_sets(found, size):
             yield tokens, len(tokens)
 
-    rows = echoes.packed(texts(docs), hasher, buckets, WIDTH, FREQUENT, copies=False)
-    kept = echoes.settled(rows, WIDTH, FREQUENT).join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    grouped = kept.groupBy("doc_id", "size").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    rows = echoes.packed(firsts, hasher, buckets, WIDTH, FREQUENT, copies=False)
+    grouped = echoes.settled(rows, WIDTH, FREQUENT).groupBy("doc_id", "size").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     sets = stored(
         grouped.withColumn("common", F.size("keys")).where(F.col("common") * 100 >= percent * F.col("size")), "shared-tokens"
     )
     posts = _signed(sets, percent)
-    lists = posts.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
-    posts = stored(posts.join(lists.select("signature"), "signature"), "signatures")
+    lists = posts.groupBy("signature").agg(
+        F.min(F.struct("doc_id", "size", "common")).alias("pivot"), F.max("doc_id").alias("last")
+    ).where("pivot.doc_id < last")
+    posts = stored(posts.join(lists.select("signature", "pivot"), "signature"), "signatures")
     # First every list's documents are compared with its smallest, which joins most of what belongs together.
-    pairs = posts.join(lists.select("signature", "pivot"), "signature").select(
-        F.col("pivot").alias("a"), *_side_columns("b")
-    ).join(_side(sets, "a"), "a")
-    verified = stored(_verified(_candidates(pairs, percent), sets, percent), "pairs")
-    pivots = MOST_PIVOTS
+    pairs = posts.select(
+        F.col("pivot.doc_id").alias("a"), F.col("pivot.size").alias("a_size"), F.col("pivot.common").alias("a_common"), *_side_columns("b")
+    )
+    verified = stored(_verified(_ordered(pairs.where(_fit(percent))), sets, percent), "pairs")
+    posts, pivots, turns = posts.drop("pivot"), MOST_PIVOTS, 0
+    known = -1
     while True:
         links = verified.where("linked").select("a", "b", "shared", "of")
         groups = components(links).withColumnRenamed("id", "doc_id")
         now = posts.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        # Then what lies in one list but not in its largest component is compared with the whole list, some at a time.
         parts = now.groupBy("signature", "component").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("signature").agg(
             F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("length"), F.count("*").alias("parts")
@@ -195,14 +226,30 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
         now = stored(now.join(mixed, "signature"), "signatures")
         if now.isEmpty():
             return membership, links
-        turn = Window.partitionBy("signature").orderBy(F.xxhash64("doc_id"), "doc_id")
-        heads = now.where("component <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots)
-        pairs = _side(heads, "a", "signature").join(_side(now, "b", "signature"), "signature").where("a_component <> b_component")
-        pairs = _candidates(pairs, percent).join(verified.select("a", "b"), ["a", "b"], "left_anti")
+        linked, turns = links.count(), turns + 1
+        if linked > known and turns < STAR_TURNS:
+            # What lies outside a list's largest component is compared with one of that component, another one each turn.
+            turn = F.xxhash64("signature", "doc_id", F.lit(turns))
+            one = now.where("component = main").groupBy("signature").agg(
+                F.min_by(F.struct("doc_id", "size", "common"), turn).alias("pivot")
+            )
+            pairs = now.where("component <> main").join(one, "signature").select(
+                F.col("pivot.doc_id").alias("a"), F.col("pivot.size").alias("a_size"), F.col("pivot.common").alias("a_common"),
+                *_side_columns("b"),
+            )
+            pairs = pairs.where(_fit(percent))
+            posts = now.select("signature", "doc_id", "size", "common")
+        else:
+            # Where that joins nothing more, it is compared with the whole list, some documents at a time.
+            turn = Window.partitionBy("signature").orderBy(F.xxhash64("doc_id"), "doc_id")
+            heads = now.where("component <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots)
+            pairs = _against_lists(heads, now, percent)
+            posts = now.where(F.col("others") > pivots).join(heads.select("signature", "doc_id"), ["signature", "doc_id"], "left_anti")
+            posts = posts.select("signature", "doc_id", "size", "common")
+            pivots, turns = pivots * 2, STAR_TURNS
+        known = linked
+        pairs = _ordered(pairs).join(verified.select("a", "b"), ["a", "b"], "left_anti")
         verified = stored(verified.unionByName(_verified(pairs, sets, percent)), "pairs")
-        posts = now.where(F.col("others") > pivots).join(heads.select("signature", "doc_id"), ["signature", "doc_id"], "left_anti")
-        posts = posts.select("signature", "doc_id", "size", "common")
-        pivots *= 2
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
