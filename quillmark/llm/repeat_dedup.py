@@ -139,7 +139,7 @@ def _packed_chunks(marked: DataFrame, minimizers: int, buckets: int) -> DataFram
             for a in range(0, len(answered), 4096):
                 part = answered[a : a + 4096]
                 rows.append((
-                    -1 - int(docs[part[0]] % buckets), docs[part].tobytes(), b"", start[part].astype(np.int64).tobytes(),
+                    -1 - int(docs[part[0]] % buckets), docs[part].tobytes(), b"", start[part].astype(np.int32).tobytes(),
                     windows[part].astype(np.uint16).tobytes(), b"", b"", b"",
                 ))
         bucket = ((group >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -150,9 +150,9 @@ def _packed_chunks(marked: DataFrame, minimizers: int, buckets: int) -> DataFram
             if len(part):
                 used, local = np.unique(docs[part], return_inverse=True)
                 rows.append((
-                    b, used.tobytes(), local.astype(np.uint32).tobytes(), start[part].astype(np.int64).tobytes(),
+                    b, used.tobytes(), local.astype(np.uint32).tobytes(), start[part].astype(np.int32).tobytes(),
                     windows[part].astype(np.uint16).tobytes(), before[part].tobytes(), group[part].tobytes(),
-                    data[_ragged(at[part], sizes[part])].tobytes(),
+                    pa.compress(data[_ragged(at[part], sizes[part])].tobytes(), "zstd", asbytes=True),
                 ))
         types = [pa.int32(), *[pa.binary()] * 7]
         names = [c.split()[0] for c in _CHUNKS.split(", ")]
@@ -247,16 +247,18 @@ class _Bucket:
 
     def __init__(self, table: pa.Table):
         docs, base, parts = [], 0, {k: [] for k in ("doc", "start", "windows", "before", "group", "bytes")}
-        kinds = {"start": np.int64, "windows": np.uint16, "before": np.uint16, "group": np.uint64, "bytes": np.uint8}
+        kinds = {"start": np.int32, "windows": np.uint16, "before": np.uint16, "group": np.uint64, "bytes": np.uint8}
         for i in range(table.num_rows):
             row = {c: table.column(c)[i].as_py() for c in ("docs", *parts)}
             docs.append(np.frombuffer(row["docs"], np.int64))
             parts["doc"].append(np.frombuffer(row["doc"], np.uint32).astype(np.int64) + base)
+            whole = int(np.frombuffer(row["windows"], np.uint16).astype(np.int64).sum()) + len(row["windows"]) // 2 * (WINDOW - 1)
+            row["bytes"] = pa.decompress(row["bytes"], whole, "zstd", asbytes=True)
             for k, kind in kinds.items():
                 parts[k].append(np.frombuffer(row[k], kind))
             base += len(docs[-1])
         whole = {k: np.concatenate(v) for k, v in parts.items()}
-        self.doc, self.start = np.concatenate(docs)[whole["doc"]], whole["start"]
+        self.doc, self.start = np.concatenate(docs)[whole["doc"]], whole["start"].astype(np.int64)
         self.windows = whole["windows"].astype(np.int64)
         sizes = self.windows + WINDOW - 1
         at = np.cumsum(sizes) - sizes
@@ -306,7 +308,7 @@ def _spans_of(table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         docs, start, windows = (
             np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
-            for c, kind in (("docs", np.int64), ("start", np.int64), ("windows", np.uint16))
+            for c, kind in (("docs", np.int64), ("start", np.int32), ("windows", np.uint16))
         )
         return pa.Table.from_batches([_span_batch(docs, start, start + windows + WINDOW - 1)])
     bucket = _Bucket(table)
