@@ -83,16 +83,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_items = F.broadcast(of_items) if bounded else of_items
     own = docs.select("doc_id", "text")
     hits = (
-        _template(own, "doc_id").select("doc_id", F.posexplode("tokens").alias("at", "window"))
+        # outer: else a filter on the arrays' sizes would compute them once more, nested in each other
+        _template(own, "doc_id").select("doc_id", F.posexplode_outer("tokens").alias("at", "window"))
         .join(of_items, "window").select("doc_id", "item_id", "at", "place").distinct()
     )
     # alignments whole: what fills the placeholders of all their windows
     lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
         F.collect_set("place").alias("places"), F.min("at").alias("first_word")
     )
-    left = own.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), _words("text").alias("words"))
+    left = own.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     right = literal.select("item_id", _words("text").alias("item_words"), "slots").dropDuplicates(["item_id", "item_words"])
-    both = lines.join(left, "doc_id").join(right, "item_id")
+    both = lines.join(left, "doc_id").select(*lines.columns, _words("text").alias("words")).join(right, "item_id")
     fillings = F.array_distinct(
         F.flatten(
             F.transform(
