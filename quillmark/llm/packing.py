@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from quillmark.session import stored
 
 CAPACITY = 2048
 #: Words whose ids a task keeps at most.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 
 
 class WordIds:
@@ -47,12 +48,13 @@ class WordIds:
         if len(self.known) + len(new) > KEPT_WORDS:
             self.clear()
             new = list(words)
-        found = [x.ids for x in self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)]
+        parts = [x.decode("utf-8") for x in new]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.known.update(zip(new, range(len(self.at), len(self.at) + len(new))))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, size.sum())])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, size.sum())])
 
     def __call__(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its last 0, and where each text ends."""
