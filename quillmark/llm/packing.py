@@ -26,6 +26,9 @@ CAPACITY = 2048
 #: Words whose ids a task keeps at most.
 KEPT_WORDS = 1_000_000
 
+#: An invisible separator that stands between words that are looked up at once.
+_MARK = "\u2063"
+
 
 class WordIds:
     """Token ids of texts, word by word: the vocabulary never joins what ASCII white space separates."""
@@ -35,33 +38,52 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        #: The mark's one id, which no text without the mark has; None if the vocabulary has no such id.
+        self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.known = {b"\n": 0}  # no word; stands for the id that ends a text
         self.flat, self.at, self.size = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.known))
-        if not new:
-            return
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.clear()
-            new = list(words)
-        parts = [x.decode("utf-8") for x in new]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that don't hold the mark, and how many each has: many at once, the mark between them."""
+        sizes, flat = [], []
+        for a in range(0, len(words), 2000):
+            text = f" {_MARK} ".join(w.decode("utf-8") for w in words[a : a + 2000])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            flat.append(ids[ids != self.mark])
+        return np.concatenate([np.empty(0, np.int64), *sizes]), np.concatenate([np.empty(0, np.uint32), *flat])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Take in words that aren't known."""
+        mark = _MARK.encode("utf-8")
+        plain = [w for w in words if mark not in w] if self.mark is not None else []
+        odd = [w for w in words if mark in w] if self.mark is not None else words
+        size, flat = self._encode(plain)
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in odd], add_special_tokens=False)]
+        size = np.append(size, np.fromiter(map(len, each), np.int64, len(each)))
+        flat = np.append(flat, np.fromiter(chain.from_iterable(each), np.uint32))
+        self.known.update(zip(plain + odd, range(len(self.at), len(self.at) + len(size))))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, size.sum())])
+        self.flat = np.concatenate([self.flat, flat])
 
     def __call__(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its last 0, and where each text ends."""
         split = [x.split() for x in found]
         words = [w for text in split for w in (*text, b"\n")]
-        self.learn(set(words))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > KEPT_WORDS:
+            self.clear()
+        places = list(map(self.known.get, words))
+        new = {w for w, i in zip(words, places) if i is None}
+        if new:
+            self.learn(list(new))
+            places = map(self.known.__getitem__, words)
+        index = np.fromiter(places, np.int64, len(words))
         size = self.size[index]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[index] - ends + size, size)]
