@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, ngram_join, packing, pii, toxicity
 from quillmark.session import scratch_path
@@ -29,7 +30,7 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced; n_chars follows the text."""
-    return pii.sanitise(docs)
+    return pii.sanitise(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
