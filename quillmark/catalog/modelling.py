@@ -76,6 +76,28 @@ def score_probabilities(spark, sf_dir):
     return scored.select("row_id", "label", "prob_ai", "prediction")
 
 
+@B.register("hashed_token_total", f"""
+WITH {B.SNIPS} SELECT count(*) AS n_rows, sum(len({B.SQL_TOKENS}))::BIGINT AS n_tokens FROM snips""")
+def hashed_token_total(spark, sf_dir):
+    """Every token of every labelled text reaches the model."""
+    return MO.hashed_token_total(B.snippets(spark, sf_dir, heavy=True), CONFIG)
+
+
+@B.register("score_keeps_columns", f"""
+WITH {B.SNIPS} SELECT row_id, label, 'x' || code AS code, language AS tokens, 7 AS probability, true AS same FROM snips""")
+def score_keeps_columns(spark, sf_dir):
+    """Scored twice, with columns that a model might use itself: all come back as they were."""
+    run, splits = _run(spark, sf_dir)
+    model, _ = A.load_model(spark, run)
+    rows = spark.read.parquet(splits).select(
+        "row_id", "label", F.concat(F.lit("x"), "code").alias("code"), F.col("language").alias("tokens"), F.lit(7).alias("probability"),
+        F.col("code").alias("text"),
+    )
+    once = MO.score(rows, model, code="text")
+    again = MO.score(once.withColumn("first", F.col("prob_ai")), model, code="text")
+    return again.select("row_id", "label", "code", "tokens", "probability", (F.abs(F.col("first") - F.col("prob_ai")) < 1e-12).alias("same"))
+
+
 @B.register("score_function", f"""
 WITH {B.SNIPS} SELECT row_id, label, round(1 / (1 + exp(-(length(code) % 7 - 3)::DOUBLE)), 6) AS prob_ai,
   (length(code) % 7 >= 3)::INTEGER AS prediction FROM snips""")
@@ -152,7 +174,7 @@ def analyze_errors(spark, sf_dir):
     run, splits = _run(spark, sf_dir)
     predictions = scratch_path(spark, "predictions")
     PH.evaluate(spark, splits, run, predictions)
-    top, summary = PH.analyze_errors(spark, predictions, splits, n=1_000_000)
+    top, summary = PH.analyze_errors(spark, predictions, splits, n=None)
     n = F.col("n_errors")
     by_class = F.col("errors_true_human") + F.col("errors_true_ai") == n
     by_prediction = F.col("errors_predicted_human") + F.col("errors_predicted_ai") == n

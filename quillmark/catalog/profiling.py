@@ -74,6 +74,17 @@ def length_describe(spark, sf_dir):
     )
 
 
+@B.register("length_describe_offset", f"""
+WITH {B.SNIPS}, {_LONG_COUNTS}
+SELECT metric, label_name, round(avg(value + 1000000000), 3) AS mean, round(stddev_samp((value + 1000000000)::DOUBLE), 4) AS std
+FROM long GROUP BY metric, label_name""")
+def length_describe_offset(spark, sf_dir):
+    """The spread doesn't drown in a large common offset."""
+    counts = _counts(spark, sf_dir)
+    out = P.length_describe(counts.withColumn("value", F.col("value") + 1_000_000_000))
+    return out.select("metric", "label_name", F.round("mean", 3).alias("mean"), F.round("std", 4).alias("std"))
+
+
 @B.register("p99", f"""
 WITH {B.SNIPS}, {_LONG_COUNTS}
 SELECT metric, round(quantile_cont(value, 0.99), 6)::DOUBLE AS p99 FROM long GROUP BY metric""")

@@ -12,6 +12,7 @@ from pyspark.ml.base import Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,27 +47,40 @@ Predictor = Transformer | Callable[[pd.Series], pd.Series]
 
 
 def _hashing(config: RunConfig) -> list[Transformer]:
-    """Tokens, cut like the encoded table's, as hashed counts. Nothing to fit."""
-    tokens = f"slice(regexp_extract_all(code, r'{X.TOKEN_PATTERN}', 0), 1, {config.max_tokens - 2}) AS tokens"
+    """All tokens of ``__code`` as hashed counts, uncut: a bag of words has no length limit. Nothing to fit.
+
+    Columns of the model have names of their own, so that none of the scored table's is in the way.
+    """
+    tokens = f"regexp_extract_all(__code, r'{X.TOKEN_PATTERN}', 0) AS __tokens"
     return [
         SQLTransformer(statement=f"SELECT *, {tokens} FROM __THIS__"),
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=config.num_features),
+        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=config.num_features),
     ]
 
 
 def _counts(df: DataFrame, config: RunConfig, name: str, label: str = "label") -> DataFrame:
-    """(label, tf) stored in the shared folder: fitting passes many times over these, once over texts."""
-    hashed = PipelineModel(_hashing(config)).transform(df)
-    return stored(hashed.select(F.col(label).cast("double").alias("label"), "tf"), name)
+    """(label, __tf) stored in the shared folder: fitting passes many times over these, once over texts."""
+    rows = df.select(F.col(label).cast("double").alias("label"), F.col("code").alias("__code"))
+    return stored(PipelineModel(_hashing(config)).transform(rows).select("label", "__tf"), name)
+
+
+def hashed_token_total(df: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
+    """One row: texts, and tokens that reach a model fitted on them."""
+    rows = df.select(F.col("code").alias("__code"))
+    hashed = PipelineModel(_hashing(config)).transform(rows)
+    return hashed.agg(
+        F.count("*").alias("n_rows"), F.aggregate(vector_to_array(Summarizer.sum(F.col("__tf"))), F.lit(0.0), lambda a, b: a + b).cast("bigint").alias("n_tokens")
+    )
 
 
 def _fit_idf(train_counts: DataFrame) -> Transformer:
-    return IDF(inputCol="tf", outputCol="features").fit(train_counts)
+    return IDF(inputCol="__tf", outputCol="__features").fit(train_counts)
 
 
 def _regression(candidate: Candidate) -> LogisticRegression:
     return LogisticRegression(
-        featuresCol="features", labelCol="label", regParam=candidate.reg_param, maxIter=candidate.max_iter
+        featuresCol="__features", labelCol="label", regParam=candidate.reg_param, maxIter=candidate.max_iter,
+        rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__class",
     )
 
 
@@ -80,14 +94,14 @@ def fit_classifier(
 
 
 def score(df: DataFrame, predictor: Predictor, threshold: float = C.THRESHOLD, code: str = "code") -> DataFrame:
-    """Add ``prob_ai`` and ``prediction``; the rows keep their key and all other columns.
+    """Add ``prob_ai`` and ``prediction``, in place of earlier ones; the rows keep all other columns as they are.
 
     ``predictor`` is a fitted MLlib model, or a pandas UDF body from texts to probabilities (typed as an
     iterator of batches it can load its model once per worker). Either way no row moves.
     """
     if isinstance(predictor, Transformer):
-        scored = predictor.transform(df.withColumn("code", F.col(code)))
-        scored = scored.withColumn("prob_ai", vector_to_array("probability")[1])
+        scored = predictor.transform(df.withColumn("__code", F.col(code)))
+        scored = scored.withColumn("prob_ai", vector_to_array("__probability")[1])
     else:
         scored = df.withColumn("prob_ai", F.pandas_udf(predictor, "double")(F.col(code)))
     with_class = M.with_prediction(scored, threshold)
@@ -111,8 +125,8 @@ def select_best_model(
     """Try the candidates in order, keep the one with the lowest validation loss, stop when patience ends.
 
     A step improves only if it lowers the best loss by more than the tolerance. Hashed counts are written
-    once, so each step reads vectors instead of texts. With a ``run_dir`` every improvement is saved, and
-    the full history at the end.
+    once, so each step reads vectors instead of texts. With a ``run_dir`` every improvement is saved with the
+    history up to it, and the full history at the end.
     """
     if not candidates:
         raise ValueError("no candidates to choose from")
@@ -129,7 +143,7 @@ def select_best_model(
 
         def scored(counts: DataFrame) -> DataFrame:
             out = fitted.transform(idf.transform(counts))
-            return out.select(F.col("label").cast("int"), vector_to_array("probability")[1].alias("prob_ai"))
+            return out.select(F.col("label").cast("int"), vector_to_array("__probability")[1].alias("prob_ai"))
 
         train_loss = M.mean_bce_loss(scored(train_counts)).first()["loss"]
         val_scored = stored(scored(val_counts), "validation-scores")
@@ -143,6 +157,7 @@ def select_best_model(
             if run_dir:
                 A.save_model(best, run_dir)
                 A.write_config(spark, asdict(config), run_dir)
+                A.write_history(spark.createDataFrame(history, A.HISTORY_SCHEMA), run_dir)
         else:
             bad += 1
             if bad >= config.early_stop_patience:

@@ -71,12 +71,16 @@ def length_describe(
     counts: DataFrame, by: str = "label_name", percentiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)
 ) -> DataFrame:
     """count, mean, std, min, percentiles (linear) and max per metric and class, from `length_counts`."""
-    n, v = F.col("n"), F.col("value").cast("double")
+    # Moments around the smallest value: those around zero cancel where values are large and close together. The
+    # window holds a metric's distinct lengths.
+    low = F.min("value").over(Window.partitionBy("metric", by))
+    counts = counts.withColumn("_low", low)
+    n, v = F.col("n"), (F.col("value") - F.col("_low")).cast("double")
     names = [f"p{round(100 * p)}" for p in percentiles]
     total = F.sum(n)
     sums = counts.groupBy("metric", by).agg(
         total.alias("count"),
-        (F.sum(n * v) / total).alias("mean"),
+        (F.min("_low") + F.sum(n * v) / total).alias("mean"),
         F.sum(n * v).alias("_s1"),
         F.sum(n * v * v).alias("_s2"),
         F.min("value").alias("min"),

@@ -145,14 +145,14 @@ def evaluate(
 
 def analyze_errors(
     spark: SparkSession, predictions_path: str, split_path: str, split: str = "test", csv_path: str | None = None,
-    summary_path: str | None = None, n: int = C.MAX_ERROR_ROWS,
+    summary_path: str | None = None, n: int | None = C.MAX_ERROR_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(top errors, summary) from stored predictions; nothing is scored again."""
+    """(top errors, summary) from stored predictions; nothing is scored again. ``n`` None: all errors, in order."""
     snippets = A.scan_split(spark, split_path, split).select("row_id", "code")
     table = E.error_table(E.align_predictions(spark.read.parquet(predictions_path), snippets))
-    top, summary = E.top_errors(table, n), E.error_summary(table)
+    top, summary = E.rank_errors(table) if n is None else E.top_errors(table, n), E.error_summary(table)
     if csv_path:
-        A.write_errors_csv(table, csv_path, n)
+        A.write_errors_csv(table, csv_path, C.MAX_ERROR_ROWS if n is None else n)
     if summary_path:
         A.write_error_summary(summary, summary_path)
     return top, summary

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -154,15 +156,18 @@ def write_errors_csv(top: DataFrame, path: str, n: int = C.MAX_ERROR_ROWS) -> No
 def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
     """(name, kind, payload): every JSON document below ``path``, told apart by its fields.
 
-    A document is a ``*.json`` file, or a folder Spark wrote, which is named by the folder.
+    A document is a ``*.json`` file, or a folder Spark wrote. Its name is the way to it from ``path``, so that no two
+    documents share one.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("payload"))
         .where(F.col("payload") != "")
     )
-    parts = F.split("file", "/")
-    name = F.when(F.element_at(parts, -1).startswith("part-"), F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "", path).strip("/")
+    name = F.regexp_replace(F.substring_index(F.concat(F.lit("/"), "file"), f"/{root}/", -1), r"(?:^|/)part-[^/]*$", "")
+    # a folder that is itself a document is named by itself
+    name = F.when(name == "", root.rsplit("/", 1)[-1]).otherwise(name)
 
     def has(field: str):
         return F.array_contains(F.json_object_keys("payload"), field)
@@ -186,7 +191,7 @@ def parse_metrics(documents: DataFrame) -> DataFrame:
 
 
 def write_history(history: DataFrame, run_dir: str) -> None:
-    history.coalesce(1).write.mode("overwrite").json(f"{run_dir}/training_history")
+    history.write.mode("overwrite").json(f"{run_dir}/training_history")
 
 
 def scan_history(spark: SparkSession, run_dir: str) -> DataFrame:
