@@ -98,26 +98,36 @@ def _open(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", path))
 
 
-def _head(path: str) -> tuple[str, bool]:
+def _head(path: str, size: int = _HEAD_BYTES) -> tuple[str, bool]:
     """First part of a text file, and whether that is all of it."""
     filesystem, name = _open(path)
     with filesystem.open_input_stream(name) as stream:
-        data = stream.read(_HEAD_BYTES + 1)
-    text = data[:_HEAD_BYTES].decode("utf-8-sig", errors="ignore")
-    return text, len(data) <= _HEAD_BYTES
+        data = stream.read(size + 1)
+    text = data[:size].decode("utf-8-sig", errors="ignore")
+    return text, len(data) <= size
 
 
-def json_reader(head: str, complete: bool) -> str:
-    """How to read a ``.json`` file: one array, one document of columns, or one record per line."""
+def _json_kind(path: str) -> str:
+    """How to read a ``.json`` file, from as much of it as its first value takes."""
+    size, kind = _HEAD_BYTES, None
+    while kind is None:
+        kind = json_reader(*_head(path, size))
+        size *= 4
+    return kind
+
+
+def json_reader(head: str, complete: bool) -> str | None:
+    """How to read a ``.json`` file: one array, one document of columns, or one record per line.
+
+    None if the head doesn't hold the whole first value, so that it can't be told.
+    """
     text = head.lstrip()
     if text.startswith("["):
         return "json_array"
     try:
         first, end = json.JSONDecoder().raw_decode(text)
     except ValueError:
-        # The first object is longer than the head: look at the kind of its first value.
-        inner = re.match(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(.)', text, re.S)
-        return "json_columns" if inner and inner.group(1) in "{[" else "json_lines"
+        return "json_lines" if complete else None
     alone = complete and not text[end:].strip()
     columns = isinstance(first, dict) and first and all(isinstance(v, (dict, list)) for v in first.values())
     return "json_columns" if alone and columns else "json_lines"
@@ -139,7 +149,7 @@ def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 head, _ = _head(path)
                 names = next(csv.reader(io.StringIO(head, newline=""), delimiter=_SEPARATORS[suffix]), [])
             elif suffix == "json":
-                reader = json_reader(*_head(path))
+                reader = _json_kind(path)
             else:
                 reader = "json_lines"
             readers.append(reader)
@@ -157,7 +167,7 @@ def _split_bytes(spark: SparkSession) -> int:
     return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
-def find_layouts(spark: SparkSession, root: str) -> list[Layout]:
+def find_layouts(spark: SparkSession, root: str, unreadable: str = "raise") -> list[Layout]:
     """Group the files below ``root`` by reader and columns. Only names travel to the driver."""
     files = discover_files(spark, root)
     sniffed = files.select("path", "suffix", "length").mapInPandas(_sniff, _SNIFFED)
@@ -170,13 +180,13 @@ def find_layouts(spark: SparkSession, root: str) -> list[Layout]:
     layouts = [Layout(g["reader"], tuple(g["columns"]), tuple(sorted(g["paths"]))) for g in groups]
     json_layouts = [x for x in layouts if x.reader.startswith("json")]
     plain = [x for x in layouts if not x.reader.startswith("json")]
-    keyed = [k for x in json_layouts for k in _json_layouts(spark, root, x)]
+    keyed = json_layouts if unreadable == "skip_keys" else [k for x in json_layouts for k in _json_layouts(spark, root, x, unreadable)]
     return sorted(plain + keyed, key=lambda x: x.paths)
 
 
-def _json_layouts(spark: SparkSession, root: str, layout: Layout) -> list[Layout]:
+def _json_layouts(spark: SparkSession, root: str, layout: Layout, unreadable: str = "raise") -> list[Layout]:
     """Split JSON files by the keys they use; keys can appear anywhere in a file, so all rows count."""
-    rows = _json_rows(spark, root, layout)
+    rows = _json_rows(spark, root, layout, unreadable)
     keys = rows.select(SOURCE_FILE, F.explode(F.map_keys("fields")).alias("k")).distinct()
     found = keys.groupBy(SOURCE_FILE).agg(F.array_sort(F.collect_set("k")).alias("keys")).collect()
     by_file = {row[SOURCE_FILE]: tuple(row["keys"]) for row in found}
@@ -227,13 +237,43 @@ def _named(columns: Sequence[str]) -> list[Column]:
     ]
 
 
-def _json_rows(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
+def _readable(parsed: Column, unreadable: str) -> Column:
+    """Parsed JSON; what can't be parsed raises, unless it is to be skipped (then it is NULL)."""
+    if unreadable == "skip":
+        return parsed
+    if unreadable != "raise":
+        raise ValueError(f"unreadable must be 'raise' or 'skip', not {unreadable!r}")
+    return F.coalesce(parsed, F.raise_error(F.concat(F.lit("unreadable JSON in "), F.col(SOURCE_FILE))))
+
+
+def _json_lines(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
+    return spark.read.text(_escaped(paths)).select("value", *_position(root)).where(F.length(F.trim("value")) > 0)
+
+
+_WHOLE = {"json_array": "array<map<string,string>>", "json_columns": "map<string,string>"}
+
+
+def unreadable_json(spark: SparkSession, root: str) -> DataFrame:
+    """(file, block, seq, raw) of all JSON below ``root`` that ``unreadable="skip"`` leaves out: lines, or whole documents."""
+    out = spark.createDataFrame([], f"{SOURCE_FILE} string, {BLOCK} bigint, {SEQ} bigint, raw string")
+    for layout in {(x.reader.removesuffix(_LARGE), x.paths) for x in find_layouts(spark, root, "skip_keys") if x.reader.startswith("json")}:
+        reader, paths = layout
+        if reader == "json_lines":
+            rows, kind = _json_lines(spark, root, paths), "map<string,string>"
+        else:
+            rows, kind = spark.read.text(_escaped(paths), wholetext=True).select("value", *_position(root)), _WHOLE[reader]
+        bad = rows.where(F.from_json("value", kind).isNull())
+        out = out.unionByName(bad.select(*META, F.col("value").alias("raw")))
+    return out
+
+
+def _json_rows(spark: SparkSession, root: str, layout: Layout, unreadable: str = "raise") -> DataFrame:
     """(fields MAP<STRING,STRING>, position): keys keep their case, values their text."""
     paths = _escaped(layout.paths)
     if layout.reader == "json_lines":
-        lines = spark.read.text(paths).select("value", *_position(root))
-        rows = lines.where(F.length(F.trim("value")) > 0)
-        return rows.select(F.from_json("value", "map<string,string>").alias("fields"), *META)
+        rows = _json_lines(spark, root, layout.paths)
+        fields = _readable(F.from_json("value", "map<string,string>"), unreadable)
+        return rows.select(fields.alias("fields"), *META).where("fields IS NOT NULL")
     if layout.reader == "json_array" + _LARGE:
         records = R.scan_array_records(spark, paths, source_file(root))
         return records.select(
@@ -242,16 +282,16 @@ def _json_rows(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
         )
     whole = spark.read.text(paths, wholetext=True).select("value", *_position(root))
     if layout.reader == "json_array":
-        records = F.from_json("value", "array<map<string,string>>")
+        records = _readable(F.from_json("value", _WHOLE["json_array"]), unreadable)
         rows = whole.select(F.posexplode(records).alias("pos", "fields"), SOURCE_FILE, BLOCK)
         return rows.select("fields", SOURCE_FILE, BLOCK, F.col("pos").cast("bigint").alias(SEQ))
-    return _column_document_rows(whole)
+    return _column_document_rows(whole, unreadable)
 
 
-def _column_document_rows(whole: DataFrame) -> DataFrame:
+def _column_document_rows(whole: DataFrame, unreadable: str) -> DataFrame:
     """Rows of documents {column: {index: value}} or {column: [value]}, regrouped by index."""
     columns = whole.select(
-        SOURCE_FILE, BLOCK, F.explode(F.from_json("value", "map<string,string>")).alias("name", "cells")
+        SOURCE_FILE, BLOCK, F.explode(_readable(F.from_json("value", _WHOLE["json_columns"]), unreadable)).alias("name", "cells")
     )
     listed = F.substring(F.ltrim("cells"), 1, 1) == "["
     arrays = columns.where(listed).select(
@@ -268,7 +308,7 @@ def _column_document_rows(whole: DataFrame) -> DataFrame:
     return rows.select("fields", SOURCE_FILE, BLOCK, SEQ)
 
 
-def scan_layout(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
+def scan_layout(spark: SparkSession, root: str, layout: Layout, unreadable: str = "raise") -> DataFrame:
     """One layout's columns under their own names, plus file and position."""
     if layout.reader in _SEPARATORS:
         return scan_delimited(spark, root, layout.paths, layout.columns, _SEPARATORS[layout.reader])
@@ -279,7 +319,7 @@ def scan_layout(spark: SparkSession, root: str, layout: Layout) -> DataFrame:
         names = [c.split("\t")[0] for c in layout.columns]
         kept = [F.col(f"`{name}`") for _, name in _last_of_case(names)]
         return spark.read.parquet(*_escaped(layout.paths)).select(*kept, *_position(root))
-    rows = _json_rows(spark, root, layout)
+    rows = _json_rows(spark, root, layout, unreadable)
     values = [F.try_element_at("fields", F.lit(name)).alias(name) for _, name in _last_of_case(layout.columns)]
     return rows.select(*values, *META)
 
@@ -307,9 +347,12 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in META else F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
-def union_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root`` by column name, absent columns NULL, everything STRING."""
-    frames = [as_text(scan_layout(spark, root, x)) for x in find_layouts(spark, root)]
+def union_files(spark: SparkSession, root: str, unreadable: str = "raise") -> DataFrame:
+    """All files below ``root`` by column name, absent columns NULL, everything STRING.
+
+    JSON that can't be read is an error; with ``unreadable="skip"`` it is left out, and `unreadable_json` has it.
+    """
+    frames = [as_text(scan_layout(spark, root, x, unreadable)) for x in find_layouts(spark, root, unreadable)]
     united = frames[0]
     for frame in frames[1:]:
         united = united.unionByName(frame, allowMissingColumns=True)

@@ -71,8 +71,28 @@ def test_json_reader_kinds():
     assert S.json_reader('{"code": {"0": "x"}}', True) == "json_columns"
     assert S.json_reader('{"meta": {"a": 1}, "code": "x"}\n{"meta": {}, "code": "y"}', True) == "json_lines"
     assert S.json_reader(' \n[{"code": "x"}]', True) == "json_array"
-    assert S.json_reader('{"code": {"0": "long', False) == "json_columns"
-    assert S.json_reader('{"code": "long', False) == "json_lines"
+    assert S.json_reader('{"code": {"0": "long', False) is None
+    assert S.json_reader('{"code": "long', False) is None
+    assert S.json_reader('{"code": "long', True) == "json_lines"
+
+
+def test_long_first_record_is_read_right(spark, tmp_path):
+    rows = [{"meta": {"pad": "x" * (3 << 20)}, "code": "a"}, {"meta": {}, "code": "b"}]
+    write(tmp_path / "long.json", "\n".join(map(json.dumps, rows)))
+    assert sorted(r["code"] for r in S.union_files(spark, str(tmp_path)).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("name, text", [
+    ("a.json", '[{"code": "x"}, {"code": '), ("b.jsonl", "not json\n"), ("c.json", '{\n "code": "x"\n}'), ("d.json", '{"code": {"0": "x"'),
+])
+def test_unreadable_json(spark, tmp_path, name, text):
+    write(tmp_path / name, text)
+    write(tmp_path / "good.jsonl", '{"code": "fine"}')
+    with pytest.raises(Exception, match="unreadable JSON"):
+        S.union_files(spark, str(tmp_path)).collect()
+    assert [r["code"] for r in S.union_files(spark, str(tmp_path), unreadable="skip").collect()] == ["fine"]
+    bad = S.unreadable_json(spark, str(tmp_path)).collect()
+    assert {r[S.SOURCE_FILE] for r in bad} == {name} and "".join(r["raw"] for r in bad).replace("\n", "") == text.replace("\n", "")
 
 
 def test_unsupported(spark, tmp_path):
