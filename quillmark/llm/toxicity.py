@@ -26,6 +26,8 @@ LEAST, TIE, LIFT, FEATURES = 5, 6.0, 3.0, 400
 PREFIXES = (4, 5, 6)
 ROUNDS = 300
 GRADES = 4
+#: Probability of any grade above clean from which a text counts as toxic.
+REJECT = 0.3
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _TABLE = np.where(_LETTERS, np.arange(256), 32).astype(np.uint8).tobytes()
@@ -183,7 +185,7 @@ def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     scored = _scored(texts(docs), train(docs, labels, sample), "doc_id bigint, severity double, p1 double, p2 double, p3 double")
     return scored.select(
         "doc_id", "severity", F.col("p1").alias("p_mild"), F.col("p2").alias("p_strong"), F.col("p3").alias("p_severe"),
-        (F.col("p1") >= 0.5).cast("int").alias("toxic"),
+        (F.col("p1") >= REJECT).cast("int").alias("toxic"),
     )
 
 
@@ -193,7 +195,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in pieces(batches):
-            keep = model.at_least(found)[:, 0] < 0.5 if model else np.ones(len(found), bool)
+            keep = model.at_least(found)[:, 0] < REJECT if model else np.ones(len(found), bool)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
