@@ -10,13 +10,14 @@ from quillmark.operators import model as MO
 from quillmark.plans import phases as PH
 from quillmark.session import build_session
 
-# Rows printed of any report; reports are small tables, verdicts can be written with --out instead.
+# Rows printed of any report; --reports-to writes all of them.
 SHOWN = 100
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="quillmark", description=__doc__)
     parser.add_argument("--master", help="Spark master; default is that of the environment")
+    parser.add_argument("--reports-to", help="folder for all reports in full, as JSON lines, each in a folder of its name")
     phases = parser.add_subparsers(dest="phase", required=True)
 
     def phase(name: str, *places: str) -> argparse.ArgumentParser:
@@ -62,7 +63,11 @@ def main(argv: list[str] | None = None) -> int:
         return 1 if isinstance(e, FileNotFoundError) else 2
     for name, report in reports.items():
         print(f"--- {name}")
+        if a.reports_to:
+            report.write.mode("overwrite").json(f"{a.reports_to}/{name.replace(' ', '_')}")
         report.show(SHOWN, truncate=80)
+        if len(report.take(SHOWN + 1)) > SHOWN:
+            print(f"(the first {SHOWN} rows; --reports-to writes all)")
     return 0
 
 

@@ -289,12 +289,6 @@ def _reports(spark, sf_dir) -> str:
     return path
 
 
-@B.register("scan_metric_files", """
-SELECT unnest(['half', 'third', 'errors', 'other']) AS name, unnest(['metrics', 'metrics', 'error_summary', 'raw']) AS kind""")
-def scan_metric_files(spark, sf_dir):
-    return A.scan_metric_files(spark, _reports(spark, sf_dir)).select("name", "kind")
-
-
 @B.register("write_metrics", f"""
 WITH {B.PREDS}, {ME._HIST}, {ME._AUC}, {ME._MATRIX}, {ME._MEASURES}
 SELECT 'half' AS name, round(accuracy, 6)::DOUBLE AS accuracy, round((f1_human + f1_ai) / 2, 6)::DOUBLE AS macro_f1,
@@ -331,6 +325,18 @@ SELECT round(accuracy, 6)::DOUBLE AS accuracy, round((f1_human + f1_ai) / 2, 6):
        round(auc_roc, 6)::DOUBLE AS auc_roc, round(recall_ai, 6)::DOUBLE AS recall_ai FROM r, auc)"""
 
 
+@B.register("scan_metric_files", f"""
+SELECT 'half' AS name, 'metrics' AS kind, accuracy AS value FROM {_bundle_sql('0.5')}
+UNION ALL SELECT 'third', 'metrics', accuracy FROM {_bundle_sql('0.3')}
+UNION ALL (WITH {ME._ERRORS} SELECT 'errors', 'error_summary', count(*) FILTER (NOT is_correct)::DOUBLE FROM errs)
+UNION ALL (WITH {B.PREDS} SELECT 'other', 'raw', count(*)::DOUBLE FROM preds)""")
+def scan_metric_files(spark, sf_dir):
+    """Every document with its kind and a value out of its payload."""
+    found = A.scan_metric_files(spark, _reports(spark, sf_dir))
+    value = F.coalesce(*[F.get_json_object("payload", f"$.{k}").cast("double") for k in ("accuracy", "n_errors", "rows")])
+    return found.select("name", "kind", F.round(value, 6).alias("value"))
+
+
 @B.register("compare_runs", f"""
 SELECT 'half' AS name, * FROM {_bundle_sql('0.5')} UNION ALL SELECT 'third', * FROM {_bundle_sql('0.3')}""")
 def compare_runs(spark, sf_dir):
