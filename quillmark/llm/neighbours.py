@@ -3,7 +3,8 @@
 Trees split a bounded sample of the vectors at medians of random projections. Vectors get one more component that makes
 their norms equal, so that the largest inner product is the smallest angle. A query walks all trees with one shared
 priority queue, the branch closest to it first, until it has enough leaves; the vectors of those leaves are compared in
-full. Only leaf numbers and the forest are shared; every row is indexed.
+full. How many leaves are enough depends on the table and is measured on it: some queries are answered in full first.
+Only leaf numbers and the forest are shared; every row is indexed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from quillmark.session import stored
 #: Vectors the trees are built from at most, those with the smallest hashed ids; and of these in a leaf at most.
 SAMPLE, LEAF = 16_384, 32
 TREES = 10
-#: Leaves of all trees that a query looks into.
+#: Leaves of all trees that a query looks into at least.
 LEAVES = 60
+#: Share of their true neighbours that the leaves must hold for the queries measured, and how many of these there are.
+RECALL, PROBES = 0.95, 64
 #: Vectors of one leaf that are compared by one task, about.
 CHUNK = 4_000
 
@@ -116,9 +120,42 @@ def _compare(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     return pa.table({n: np.concatenate(x) for n, x in zip(("query", "class_id", "score"), out)})
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, leaves: int = LEAVES) -> DataFrame:
+def _enough(classes: DataFrame, asked: DataFrame, forest: Broadcast, k: int) -> int:
+    """The leaves that hold ``RECALL`` of the ``k`` nearest others of up to ``PROBES`` queries, all rows compared."""
+    chosen = asked.select("class_id").distinct().orderBy(F.xxhash64("class_id"), "class_id").limit(PROBES)
+    rows = classes.join(F.broadcast(chosen), "class_id").select("class_id", "embedding").collect()
+    if not rows:
+        return LEAVES
+    probes, names = np.array([r["embedding"] for r in rows], np.float64), np.array([r["class_id"] for r in rows])
+
+    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, ids = _matrix(batch.column("embedding")), batch.column("class_id").to_numpy()
+            scores = np.where(names[:, None] == ids, -np.inf, probes @ base.T)
+            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            used, place = np.unique(at, return_inverse=True)
+            leaf = list(forest.value.leaves(base[used])) if len(used) else []
+            score = np.take_along_axis(scores, at, axis=1).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(names, at.shape[1])), pa.array(ids[at].ravel()), pa.array(score),
+                 pa.array([leaf[i] for i in place.ravel()], pa.list_(pa.int64()))],
+                ["query", "class_id", "score", "places"],
+            )
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
+    found = classes.select("class_id", "embedding").mapInArrow(best, "query bigint, class_id bigint, score double, places array<bigint>")
+    true = found.withColumn("turn", F.row_number().over(order)).where((F.col("turn") <= k) & (F.col("score") > float("-inf"))).collect()
+    total = len(forest.value.planes) << forest.value.depth
+    # when a walk through all leaves comes to each of them
+    walks = {n: {at: i for i, at in enumerate(forest.value.search(q, total))} for n, q in zip(names, probes)}
+    turns = sorted(min(walks[r["query"]][t, leaf] for t, leaf in enumerate(r["places"])) for r in true)
+    return max(LEAVES, turns[int(np.ceil(RECALL * len(turns))) - 1] + 1) if turns else LEAVES
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, leaves: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every`` its ``k`` nearest others found.
 
+    A query looks into ``leaves`` leaves; None: as many as hold ``RECALL`` of the true neighbours of some queries.
     Nearness is the inner product in double precision, ties go to the smaller vec_id; with fewer other rows all of them.
     Rows with a null id, or a vector that is null, zero, of another length or with null or non-finite components take no
     part. Equal vectors are indexed once and come out each; rows with one vec_id count as one. No usable row: no rows.
@@ -141,6 +178,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
         return session.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     forest = session.sparkContext.broadcast(Forest(np.array(sample, np.float64), trees, LEAF))
     chunks = 1 + classes.count() // (CHUNK << forest.value.depth)
+    wanted_leaves = _enough(classes, asked, forest, k) if leaves is None else leaves
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +193,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [forest.value.search(q, leaves) for q in _matrix(batch.column("embedding"))]
+            found = [forest.value.search(q, wanted_leaves) for q in _matrix(batch.column("embedding"))]
             at = np.repeat(np.arange(len(found)), list(map(len, found)))
             tree, leaf = np.array([x for f in found for x in f], np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(

@@ -228,6 +228,21 @@ def test_neighbours_with_copies_and_odd_vectors(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_neighbours_recall_grows_with_the_table(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 64))
+    found = centres[rng.integers(0, 50, 6_000)] + 1.5 * rng.normal(size=(6_000, 64))
+    found /= np.linalg.norm(found, axis=1, keepdims=True)
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(found)], "vec_id bigint, embedding array<double>"), every=100)
+    mine = {}
+    for r in got.collect():
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = found[::100] @ found.T
+    scores[np.arange(60), np.arange(0, 6_000, 100)] = -np.inf
+    true = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(mine[100 * i] & set(t)) / 20 for i, t in enumerate(true.tolist())]) >= 0.9
+
+
 def test_few_vectors(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 2.0]), (3, [3.0, 0.0])], "vec_id bigint, embedding array<double>")
     assert sorted(tuple(r) for r in neighbours.nearest(one).collect()) == [(0, 1, 20, 5.0), (0, 2, 3, 3.0), (20, 1, 0, 5.0), (20, 2, 3, 3.0)]
