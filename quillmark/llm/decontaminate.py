@@ -1,7 +1,7 @@
 """Benchmark items in texts, also with other numbers, names or units, by canonical templates.
 
-Numbers, names and units become typed placeholders. Windows of the templates are hash-joined with those of the items;
-along each alignment that is found, what fills the placeholders must be put for one another consistently. Only
+Numbers, names and units become typed placeholders. Windows of the templates, and of the words without their case, are
+hash-joined with those of the items; along each alignment that is found, what fills the placeholders must be put for one another consistently. Only
 DataFrame functions are used.
 """
 
@@ -20,6 +20,10 @@ UNITS = (
     "minute minutes hour hours meter meters metre metres mile miles gram grams kilogram kilograms liter liters litre litres "
     "dollar dollars euro euros cent cents usd eur percent degree degrees"
 ).split()
+#: Signs and currency marks that may stand before a number.
+_MARKS = "+-\u2212\u00b1~#$\u20ac\u00a3\u00a5\u00a2\u20b9"
+#: The two smaller windows that one of each size is put together from.
+_PARTS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4)}
 _SEPARATORS = "\t\n\x0b\x0c\r.,;:!?\"()[]{}<>|"
 NUMBER, NAME, UNIT = 1, 2, 3
 
@@ -32,59 +36,67 @@ def _words(text: str) -> Column:
 
 def _token(word: Column) -> Column:
     """A placeholder's number, or the hash of the word."""
-    digit = F.ascii(word).between(48, 57)
+    digit = F.ascii(F.ltrim(word, F.lit(_MARKS))).between(48, 57)
     return F.when(digit, NUMBER).when(word != F.lower(word), NAME).when(word.isin(UNITS), UNIT).otherwise(F.xxhash64(word))
 
 
+def _folded(word: Column) -> Column:
+    """The hash of the word whatever its case; that of a word which is no placeholder equals its token."""
+    return F.xxhash64(F.lower(word))
 
 
-def _doubled(tokens: Column, size: int) -> Column:
-    whole = F.greatest(F.size(tokens) - size, F.lit(0))
-    return F.zip_with(F.slice(tokens, 1, whole), F.slice(tokens, size + 1, whole), lambda a, b: F.xxhash64(a, b))
+def _joined(first: Column, second: Column, size: int) -> Column:
+    """Windows of ``first``, of ``size`` words, each with the one of ``second`` right behind it."""
+    whole = F.greatest(F.size(second) - size, F.lit(0))
+    return F.zip_with(F.slice(first, 1, whole), F.slice(second, size + 1, whole), lambda a, b: F.xxhash64(a, b))
 
 
-def _template(rows: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """(id, windows): one hash for each place of the text."""
+def _windows(rows: DataFrame, id_column: str, sizes: list[int], *others: str) -> DataFrame:
+    """(id, others, at, size, typed, folded): two hashes for each place of the text and size of a window."""
     found = rows.where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("bigint").alias(id_column), F.transform(_words(text), _token).alias("tokens")
+        F.col(id_column).cast("bigint").alias(id_column), *others,
+        F.transform(_words("text"), _token).alias("t1"), F.transform(_words("text"), _folded).alias("f1"),
     )
-    size = 1
-    while size < WINDOW:  # a step at a time, so that no array is made twice
-        found = found.select(id_column, _doubled(F.col("tokens"), size).alias("tokens"))
-        size *= 2
-    return found
+    for n, (a, b) in _PARTS.items():  # a step at a time, so that no array is made twice; unused sizes are pruned
+        found = found.select("*", *[_joined(F.col(f"{x}{a}"), F.col(f"{x}{b}"), a).alias(f"{x}{n}") for x in "tf"])
+    def placed(n: int) -> Column:
+        folded = F.col(f"f{n}")
+        return F.transform(
+            f"t{n}", lambda t, i: F.struct(i.alias("at"), F.lit(n).alias("size"), t.alias("typed"), F.get(folded, i).alias("folded"))
+        )
+
+    # outer: else a filter on the arrays' sizes would compute them once more, nested in each other
+    return found.select(id_column, *others, F.explode_outer(F.concat(*map(placed, sizes))).alias("w")).select(id_column, *others, "w.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, first_word, exact): items that a text holds, one row for each pair.
 
     A text holds an item where at least one window of 8 words has the item's template, with at least 4 words that aren't
-    placeholders, and along that alignment equal fillings of placeholders stand for equal ones and unlike for unlike ones.
-    ``exact``: the fillings are the item's. Null or short texts and items hold nothing. Rows without id are left out;
-    repeated rows count as one text. Empty tables: no rows. Further columns don't matter.
+    placeholders, or the item's words whatever their case, and along that alignment equal fillings of placeholders stand
+    for equal ones and unlike for unlike ones. An item of fewer words is one window as a whole. ``exact``: the fillings are
+    the item's. Null texts and items hold nothing. Rows without id are left out; repeated rows count as one text. Empty
+    tables: no rows. Further columns don't matter.
     """
     items = benchmark.select("item_id", "text")
     placeholder = F.transform(_words("text"), lambda w: (_token(w).isin(NUMBER, NAME, UNIT)).cast("int"))
     literal = items.where("item_id IS NOT NULL").select(
         F.col("item_id").cast("bigint").alias("item_id"), "text", placeholder.alias("slots")
     )
-    of_items = _template(items, "item_id").select("item_id", F.posexplode("tokens").alias("place", "window"))
-    enough = literal.select(
-        "item_id",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("slots") - (WINDOW - 1), F.lit(1))),
-                lambda i: F.aggregate(F.slice("slots", i, F.lit(WINDOW)), F.lit(0), lambda a, b: a + b),
-            )
-        ).alias("place", "held"),
-    ).where(F.col("held") <= WINDOW - LITERAL)
-    of_items = of_items.join(enough.select("item_id", "place"), ["item_id", "place"]).distinct()
+    lengths = literal.agg(F.collect_set(F.least(F.size("slots"), F.lit(WINDOW)))).first()[0]
+    sizes = sorted({WINDOW, *lengths} - {0})
+    placed = _windows(literal, "item_id", sizes, "slots").where(F.col("size") == F.least(F.size("slots"), F.lit(WINDOW)))
+    held = F.aggregate(F.slice("slots", F.col("at") + 1, F.col("size")), F.lit(0), lambda a, b: a + b)
+    enough = held <= F.col("size") - F.least(F.col("size"), F.lit(LITERAL))
+    of_items = placed.select(
+        "item_id", F.col("at").alias("place"), F.explode(F.array(F.when(enough, F.col("typed")), F.col("folded"))).alias("window")
+    ).where("window IS NOT NULL").distinct()
     bounded = of_items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     of_items = F.broadcast(of_items) if bounded else of_items
     own = docs.select("doc_id", "text")
+    both_kinds = F.array(F.col("typed"), F.when(F.col("folded") != F.col("typed"), F.col("folded")))
     hits = (
-        # outer: else a filter on the arrays' sizes would compute them once more, nested in each other
-        _template(own, "doc_id").select("doc_id", F.posexplode_outer("tokens").alias("at", "window"))
+        _windows(own, "doc_id", sizes).select("doc_id", "at", F.explode(both_kinds).alias("window"))
         .join(of_items, "window").select("doc_id", "item_id", "at", "place").distinct()
     )
     # alignments whole: what fills the placeholders of all their windows
@@ -112,9 +124,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     checked = both.select("doc_id", "item_id", "first_word", F.size("places").alias("n"), fillings.alias("f"))
-    count = lambda part: F.size(F.array_distinct(F.transform("f", lambda s: s[part])))
+    lower = F.array_distinct(F.transform("f", lambda s: F.struct(F.lower(s["theirs"]).alias("theirs"), F.lower(s["ours"]).alias("ours"))))
+
+    def consistent(name: str) -> Column:
+        one = lambda part: F.size(F.array_distinct(F.transform(name, lambda s: s[part]))) == F.size(name)
+        return one("theirs") & one("ours")
+
     return (
-        checked.where((count("theirs") == F.size("f")) & (count("ours") == F.size("f")))
+        checked.withColumn("g", lower).where(consistent("f") | consistent("g"))
         .withColumn("exact", F.forall("f", lambda s: s["theirs"] == s["ours"]))
         .groupBy("doc_id", "item_id").agg(
             F.max("n").cast("bigint").alias("n_windows"), F.min("first_word").cast("bigint").alias("first_word"),

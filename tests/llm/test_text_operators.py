@@ -134,6 +134,16 @@ def test_templates(spark, docs_of):
     assert kept.count() == len(ODD) and kept.columns == docs_of([]).columns
 
 
+def test_capitals_short_items_and_marked_numbers(spark, docs_of):
+    price = "we paid $12 for the book and -5 for the old broken lamp"
+    items = spark.createDataFrame([(1, ITEM), (2, "Ship seven green lamps"), (3, price), (4, "Anna met Bert, ANNA met Carl, Anna met Dora")], "item_id bigint, text string")
+    rows = [
+        (1, "X " + ITEM.upper() + " Y"), (2, "now ship SEVEN green lamps please"), (3, price.replace("$12", "\u20ac15").replace("-5", "-9")),
+        (4, "anna met bert anna met carl anna met dora"), (5, "seven green lamps ship"),
+    ]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(rows), items).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 # ---- toxicity and quality
 
 
