@@ -20,8 +20,9 @@ from quillmark.session import stored
 
 #: Labelled texts that the regression is fitted on at most, those with the smallest hashed ids.
 SAMPLE = 20_000
-#: Texts a feature must be found in, how far above chance its toxic ones, and features at most, those with the best ties.
-LEAST, TIE, LIFT, FEATURES = 5, 6.0, 3.0, 400
+#: Texts a feature must be found in, how far above chance its toxic ones, the odds of toxic with it to those without it, and
+#: features at most, those with the best ties.
+LEAST, TIE, ODDS, FEATURES = 5, 6.0, 4.0, 400
 #: Beside whole words their first so many bytes are features: inflected forms share them.
 PREFIXES = (4, 5, 6)
 ROUNDS = 300
@@ -110,7 +111,7 @@ def fit_severity(
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity | None:
-    """The regression fitted on up to ``sample`` labelled texts, equal ones once; None without both labels."""
+    """The regression fitted on up to ``sample`` labelled texts, equal ones once; None without both labels or any feature."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")
     )
@@ -138,9 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity
     share = positive / n
     # how far the toxic texts with a feature are from what its texts let expect
     tie = (F.col("inside") - F.col("total") * share) / F.sqrt(F.col("total") * (share * (1 - share)) + 0.25)
-    lift = (F.col("inside") + 0.5) / (F.col("total") + 1) / share
-    best = counted.withColumn("tie", tie).where((F.col("total") >= LEAST) & (F.col("tie") > TIE) & (lift > LIFT))
+    # a ratio of odds, unlike one of shares, has no upper bound that depends on how many texts are toxic
+    inside, total = F.col("inside"), F.col("total")
+    odds = (inside + 0.5) / (total - inside + 0.5) * (n - positive - total + inside + 0.5) / (positive - inside + 0.5)
+    best = counted.withColumn("tie", tie).where((F.col("total") >= LEAST) & (F.col("tie") > TIE) & (odds > ODDS))
     terms = np.sort(np.array([r["term"] for r in best.orderBy(F.desc("tie"), "term").limit(FEATURES).collect()], np.int64).view(np.uint64))
+    if not len(terms):
+        return None
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in pieces(batches):
@@ -179,7 +184,7 @@ def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     ``severity`` is the expected grade, 0 to 3, ``p_*`` the probabilities of at least that grade; ``toxic`` is 1 where at
     least the lowest grade is likelier than not. Null or blank text: as one without any word. Labels of one kind only or
-    none: all 0. Of several labels of a document the highest holds. Rows without doc_id are left out; repeated rows each
+    none, or that no feature is tied to: all 0. Of several labels of a document the highest holds. Rows without doc_id are left out; repeated rows each
     come out. Empty table: no rows. Further columns don't matter.
     """
     scored = _scored(texts(docs), train(docs, labels, sample), "doc_id bigint, severity double, p1 double, p2 double, p3 double")

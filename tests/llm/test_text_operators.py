@@ -171,6 +171,16 @@ def test_toxicity(spark, docs_of):
     assert kept.schema == docs_of([]).schema and abs(kept.count() - 320) <= 4
 
 
+def test_half_of_the_labels_toxic(spark, docs_of):
+    rng = random.Random(7)
+    rows = [(i, " ".join([f"word{rng.randrange(300)}" for _ in range(40)] + ["snarfing", "grumbleton"] * (i % 2))) for i in range(400)]
+    labels = labelled(spark, [(i, i % 2) for i in range(300)], "toxic")
+    got = {r.doc_id: r.toxic for r in toxicity.severity(docs_of(rows), labels).collect()}
+    assert sum(got[i] == i % 2 for i in range(300, 400)) >= 98
+    untied = labelled(spark, [(i, i // 2 % 2) for i in range(300)], "toxic")
+    assert toxicity.without_toxic(docs_of(rows), untied).count() == len(rows)
+
+
 def test_toxicity_without_labels(spark, docs_of):
     none = labelled(spark, [(1, None), (None, 1)], "toxic")
     assert {r.toxic for r in toxicity.severity(docs_of(ODD), none).collect()} == {0}
