@@ -143,14 +143,14 @@ def write_error_summary(flat: DataFrame, path: str) -> None:
     E.nested_summary(flat).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_errors_csv(top: DataFrame, path: str, n: int = C.MAX_ERROR_ROWS) -> None:
-    """First ``n`` errors with header, in order; ``n`` is small, so one file."""
+def write_errors_csv(top: DataFrame, path: str, n: int | None = C.MAX_ERROR_ROWS) -> None:
+    """First ``n`` errors with header, in order; ``n`` is small, so one file. None: all, as parts in order of their names."""
     names = [
         "code", "label", "label_name", "prediction", "prediction_name", "prob_ai", "is_correct", "n_chars", "n_lines",
         "confidence",
     ]
-    rows = E.top_errors(top, n).select(*names)
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows = E.rank_errors(top).select(*names) if n is None else E.top_errors(top, n).select(*names).coalesce(1)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:

@@ -94,6 +94,16 @@ def test_evaluate_and_errors(spark, folders):
     assert kinds == {"first_test": "metrics", "first_errors": "error_summary"}
 
 
+def test_all_errors_are_stored(spark, folders, tmp_path):
+    rows = [(i, f"print({i})", i % 2, "x", "test") for i in range(300)]
+    spark.createDataFrame(rows, "row_id long, code string, label int, language string, split string").write.parquet(str(tmp_path / "splits"))
+    found = spark.range(300).selectExpr("id row_id", "int(id % 2) label", "0.5 + id / 1000 prob_ai", "int(1 - id % 2) prediction")
+    found.write.parquet(str(tmp_path / "predictions"))
+    top, _ = PH.analyze_errors(spark, str(tmp_path / "predictions"), str(tmp_path / "splits"), csv_path=str(tmp_path / "errors"), n=None)
+    stored = [r["code"] for f in sorted((tmp_path / "errors").glob("part-*.csv")) for r in spark.read.csv(str(f), header=True).collect()]
+    assert stored == [r["code"] for r in top.collect()] and len(stored) == 300
+
+
 def test_missing_split(spark, folders):
     with pytest.raises(FileNotFoundError):
         A.scan_split(spark, str(folders / "splits"), "holdout")
