@@ -59,14 +59,15 @@ def _windows(rows: DataFrame, id_column: str, sizes: list[int], *others: str) ->
     )
     for n, (a, b) in _PARTS.items():  # a step at a time, so that no array is made twice; unused sizes are pruned
         found = found.select("*", *[_joined(F.col(f"{x}{a}"), F.col(f"{x}{b}"), a).alias(f"{x}{n}") for x in "tf"])
-    def placed(n: int) -> Column:
-        folded = F.col(f"f{n}")
-        return F.transform(
-            f"t{n}", lambda t, i: F.struct(i.alias("at"), F.lit(n).alias("size"), t.alias("typed"), F.get(folded, i).alias("folded"))
-        )
+    def zipped(n: int) -> Column:
+        # no lambda that looks up the other array: that would make it again for each place
+        both = F.arrays_zip(f"t{n}", f"f{n}").cast("array<struct<typed:bigint,folded:bigint>>")
+        return F.struct(F.lit(n).alias("size"), both.alias("both"))
 
     # outer: else a filter on the arrays' sizes would compute them once more, nested in each other
-    return found.select(id_column, *others, F.explode_outer(F.concat(*map(placed, sizes))).alias("w")).select(id_column, *others, "w.*")
+    each = found.select(id_column, *others, F.explode_outer(F.array(*map(zipped, sizes))).alias("w"))
+    places = each.select(id_column, *others, "w.size", F.posexplode_outer("w.both").alias("at", "hashes"))
+    return places.select(id_column, *others, "size", "at", "hashes.typed", "hashes.folded")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
