@@ -76,24 +76,23 @@ def scan_json(spark, sf_dir):
     return _scan(spark, path)
 
 
+def _fields(rows: DataFrame) -> DataFrame:
+    value = lambda name: F.try_element_at(S.FIELDS, F.lit(name))
+    return rows.select(value("row_id").cast("bigint").alias("row_id"), F.md5(value("code")).alias("code_md5"), value("language").alias("language"))
+
+
 @B.register("scan_jsonl", _SCANNED)
 def scan_jsonl(spark, sf_dir):
     """The same lines, read as such without a look at the files."""
     path = scratch_path(spark, "jsonl")
     _source(spark, sf_dir).write.json(path)
-    return _scan_as(spark, path, "json_lines", "json")
+    return _fields(S.scan_json_lines(spark, path, "*.json"))
 
 
 # Records per written document, so that none grows with the data.
 _PER_DOCUMENT = 500
 
 
-def _scan_as(spark, path: str, reader: str, suffix: str) -> DataFrame:
-    paths = tuple(r["path"] for r in S.discover_files(spark, path, [suffix]).select("path").collect())
-    raw = S.as_text(S.scan_layout(spark, path, S.Layout(reader, ("code", "language", "row_id"), paths)))
-    return raw.select(F.col("row_id").cast("bigint").alias("row_id"), F.md5("code").alias("code_md5"), "language")
-
-
 def _grouped(spark, sf_dir):
     group = F.floor(F.col("row_id") / _PER_DOCUMENT).alias("g")
     return _source(spark, sf_dir).groupBy(group)
@@ -105,7 +104,7 @@ def scan_json_array(spark, sf_dir):
     path = scratch_path(spark, "json-array")
     arrays = _grouped(spark, sf_dir).agg(F.to_json(F.collect_list(F.struct("row_id", "code", "language"))).alias("value"))
     arrays.write.partitionBy("g").text(path)
-    return _scan_as(spark, path, "json_array", "txt")
+    return _fields(S.scan_json(spark, path, "*.txt"))
 
 
 @B.register("scan_json_columns", _SCANNED)
@@ -153,7 +152,7 @@ def union_files(spark, sf_dir):
 def _raw_folder(spark, sf_dir) -> str:
     """Labelled snippets as raw files: CSV with text labels, JSON lines with numbers, Parquet with booleans."""
     path = scratch_path(spark, "raw")
-    rows = B.snippets(spark, sf_dir)
+    rows = B.snippets(spark, sf_dir).repartitionByRange("row_id").sortWithinPartitions("row_id")
     en, fr, rest = (rows.where(c) for c in ("language = 'en'", "language = 'fr'", "language NOT IN ('en', 'fr')"))
     word = F.when(F.col("label") == 1, "AI").otherwise(" human ").alias("Class")
     en.select(F.col("code").alias("Sample"), word, F.upper("language").alias("Lang")).write.options(**_CSV).csv(f"{path}/en")
@@ -182,17 +181,20 @@ def mint_row_ids(spark, sf_dir):
 
 
 _PREPARED = f"""{B.SNIPS},
-kept AS (SELECT * FROM snips WHERE language IN ('en', 'fr') AND length(trim(code, {B.SQL_BLANK})) >= 30),
-once AS (SELECT min(row_id) AS row_id, min(label) AS label FROM kept GROUP BY code),
+numbered AS (SELECT code, label, row_number() OVER (ORDER BY language <> 'en', row_id) - 1 AS id FROM snips
+             WHERE language IN ('en', 'fr')),
+once AS (SELECT min(id) AS row_id, arg_min(label, id) AS label, code FROM numbered
+         WHERE length(trim(code, {B.SQL_BLANK})) >= 30 GROUP BY code),
 {B.sql_split('once', 'label')}"""
 
 
-@B.register("prepare", f"WITH {_PREPARED} SELECT split, label, count(*) AS n FROM parted GROUP BY ALL")
+@B.register("prepare", f"WITH {_PREPARED} SELECT row_id, split, label, md5(code) AS code_md5 FROM parted")
 def prepare(spark, sf_dir):
-    """Raw files to splits. Ids are minted from files, so sizes are compared, not members."""
+    """Raw files to splits. Files are written in the order of documents, so ids count the documents of each folder in turn."""
     interim, splits = scratch_path(spark, "interim"), scratch_path(spark, "splits")
     PH.prepare(spark, _raw_folder(spark, sf_dir), interim, splits, languages=("en", "fr"), min_length=30)
-    return spark.read.parquet(splits).groupBy(F.col("split").cast("string").alias("split"), "label").agg(F.count("*").alias("n"))
+    parts = spark.read.parquet(splits)
+    return parts.select("row_id", F.col("split").cast("string").alias("split"), "label", F.md5("code").alias("code_md5"))
 
 
 @B.register("write_interim", f"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +10,10 @@ from pyspark.sql import types as T
 
 from quillmark import constants as C
 from quillmark.functions import text as X
+from quillmark.session import stored
 from quillmark.sources import files as S
 
 
-
 # Order of a row among all rows, before file and position.
 PART = "__part"
 
@@ -121,23 +120,57 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("label").isNotNull()).drop("label_raw"), df.where(F.col("label").isNull())
 
 
-def _split_by_label_kind(spark: SparkSession, root: str, layout: S.Layout) -> list[tuple[S.Layout, str | None]]:
-    """Text files whose labels are all numbers are read as numbers, the others as words."""
-    names = [n for _, n in S._last_of_case([c.split("\t")[0] for c in layout.columns])]
-    if layout.reader == "parquet" or paired_columns(names):
-        return [(layout, None)]
-    label = F.col(f"`{resolve_column(names, C.LABEL_COLUMNS, 'label')}`")
-    scanned = S.scan_layout(spark, root, layout)
-    words = scanned.where(label.isNotNull() & label.try_cast("double").isNull())
-    with_words = {r[0] for r in words.select(S.SOURCE_FILE).distinct().collect()}
-    inner = S._root(root)
+def _chosen(names: Column, candidates: Sequence[str]) -> Column:
+    """`resolve_column` over an array of names: first candidate that is among them, of names equal but for case the last."""
+    return F.coalesce(*[F.try_element_at(F.filter(names, lambda n: F.lower(n) == c), F.lit(-1)) for c in candidates])
+
 
-    def relative(path: str) -> str:
-        return path[path.index(inner) + len(inner) + 1:]
+def file_columns(files: DataFrame) -> DataFrame:
+    """(file, human, ai, code, label, language, numeric) from (file, names, words): the columns each file is read by.
 
-    worded = tuple(p for p in layout.paths if relative(p) in with_words)
-    numeric = tuple(p for p in layout.paths if relative(p) not in with_words)
-    return [(replace(layout, paths=p), kind) for p, kind in ((numeric, "numeric"), (worded, None)) if p]
+    Names are NULL where a file lacks such a column. ``numeric``: no label of the file is a word. Raises where a file has neither
+    pairs nor code and label.
+    """
+    roles = {
+        "human": C.HUMAN_CODE_COLUMNS, "ai": C.AI_CODE_COLUMNS, "code": C.CODE_COLUMNS, "label": C.LABEL_COLUMNS,
+        "language": C.LANGUAGE_COLUMNS,
+    }
+    chosen = files.select(S.SOURCE_FILE, "names", "words", *[_chosen(F.col("names"), c).alias(r) for r, c in roles.items()])
+    paired = F.col("human").isNotNull() & F.col("ai").isNotNull()
+    for role, names in (("code", C.CODE_COLUMNS), ("label", C.LABEL_COLUMNS)):
+        row = chosen.where(~paired & F.col(role).isNull()).select(S.SOURCE_FILE, "names").first()
+        if row:
+            raise KeyError(f"no {role} column in {row[0]}: looked for {names} in {row['names']}")
+    numeric = ~F.coalesce(F.array_contains("words", F.col("label")), F.lit(False))
+    return chosen.select(S.SOURCE_FILE, *[F.when(paired | ~F.lit(r in ("human", "ai")), F.col(r)).alias(r) for r in roles], numeric.alias("numeric"))
+
+
+def canonical_texts(rows: DataFrame, columns: DataFrame, on_bad_label: str = "error") -> DataFrame:
+    """(code, label, language, META, part) from rows of text files and `file_columns`, each file by its own columns."""
+    with_columns = S.per_file(rows, stored(columns, "columns"))
+
+    def value(role: str) -> Column:
+        return F.try_element_at(S.FIELDS, F.col(role))
+
+    def one(code: str, label: Column, of_pair: int | None) -> Column:
+        paired = F.lit(of_pair).cast("int")
+        return F.struct(value(code).alias("code"), label.alias("raw"), paired.alias("of_pair"))
+
+    nothing = F.lit(None).cast("string")
+    pair = F.array(one("human", nothing, C.HUMAN), one("ai", nothing, C.AI))
+    single = F.array(one("code", value("label"), None))
+    each = with_columns.select(
+        F.explode(F.when(F.col("human").isNotNull(), pair).otherwise(single)).alias("r"), "numeric",
+        X.normalize_language(value("language")).alias("language"), *S.META,
+    )
+    strict = on_bad_label == "error"
+    read = F.when(F.col("numeric"), encode_label("r.raw", "numeric", strict=strict)).otherwise(encode_label("r.raw", T.StringType(), strict=strict))
+    label = F.when(F.col("r.of_pair").isNotNull(), F.col("r.of_pair")).otherwise(read).cast("int")
+    raw = F.coalesce("r.raw", F.col("r.of_pair").cast("string"))
+    extra = [raw.alias("label_raw")] if on_bad_label == "quarantine" else []
+    # Of pairs, all human rows come before all others.
+    part = F.coalesce("r.of_pair", F.lit(0)).alias(PART)
+    return each.select(F.col("r.code").alias("code"), label.alias("label"), "language", *extra, *S.META, part)
 
 
 def _flag_numeric_files(raw: DataFrame) -> DataFrame:
@@ -148,9 +181,7 @@ def _flag_numeric_files(raw: DataFrame) -> DataFrame:
     label = F.col(f"`{resolve_column(columns, C.LABEL_COLUMNS, 'label')}`")
     word = label.isNotNull() & label.try_cast("double").isNull()
     kinds = raw.groupBy(S.SOURCE_FILE).agg(F.bool_and(~word).alias(NUMERIC))
-    # One row per file.
-    kinds = F.broadcast(kinds) if kinds.count() <= BROADCAST_BLOCKS else kinds
-    return raw.join(kinds, S.SOURCE_FILE, "left")
+    return S.per_file(raw, stored(kinds, "kinds"), "left")
 
 
 def load_canonical(
@@ -161,23 +192,28 @@ def load_canonical(
     ``resolve="file"`` finds the columns of each file by itself. ``"global"`` resolves them once on the
     union of all files, so of files that name their code column differently only one kind keeps its code.
     """
-    keep = list(S.META)
+    if on_bad_label not in ("error", "quarantine"):
+        raise ValueError(f"on_bad_label must be 'error' or 'quarantine', not {on_bad_label!r}")
 
-    def canonical(frame: DataFrame, kind: str | None) -> DataFrame:
-        # Of pairs, all human rows come before all others.
+    def canonical(frame: DataFrame) -> DataFrame:
         paired = paired_columns([c for c in frame.columns if c not in (*S.META, NUMERIC)])
-        out = normalize_schema(frame, kind, on_bad_label, keep)
+        out = normalize_schema(frame, None, on_bad_label, list(S.META))
         return out.withColumn(PART, F.col("label") if paired else F.lit(0))
 
     if resolve == "global":
-        return canonical(_flag_numeric_files(S.union_files(spark, root)), None)
+        return canonical(_flag_numeric_files(S.union_files(spark, root)))
     if resolve != "file":
         raise ValueError(f"resolve must be 'file' or 'global', not {resolve!r}")
-    united = None
-    for layout in S.find_layouts(spark, root):
-        for part, kind in _split_by_label_kind(spark, root, layout):
-            frame = canonical(S.scan_layout(spark, root, part), kind)
-            united = frame if united is None else united.unionByName(frame)
+    suffixes = S.found_suffixes(spark, root)
+    parts = []
+    if any(s != "parquet" for s in suffixes):
+        rows, files = S.text_rows(spark, root, suffixes)
+        parts.append(canonical_texts(rows, file_columns(files), on_bad_label))
+    if "parquet" in suffixes:
+        parts += [canonical(frame) for frame in S.parquet_frames(spark, root)]
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
     return united
 
 

@@ -34,7 +34,7 @@ def test_discover_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         S.discover_files(spark, str(tmp_path / "absent"))
     with pytest.raises(FileNotFoundError, match="no supported files"):
-        S.find_layouts(spark, str(tmp_path))
+        S.union_files(spark, str(tmp_path))
 
 
 @pytest.mark.parametrize("sep, name", [(",", "t.csv"), ("\t", "t.tsv")])
@@ -66,14 +66,15 @@ def test_json_shapes(spark, tmp_path, name, text):
     assert sorted(rows(df, "code", "label")) == [("a\nb", "0"), ("c", "1")]
 
 
-def test_json_reader_kinds():
-    assert S.json_reader('{"code": "x", "label": 1}', True) == "json_lines"
-    assert S.json_reader('{"code": {"0": "x"}}', True) == "json_columns"
-    assert S.json_reader('{"meta": {"a": 1}, "code": "x"}\n{"meta": {}, "code": "y"}', True) == "json_lines"
-    assert S.json_reader(' \n[{"code": "x"}]', True) == "json_array"
-    assert S.json_reader('{"code": {"0": "long', False) is None
-    assert S.json_reader('{"code": "long', False) is None
-    assert S.json_reader('{"code": "long', True) == "json_lines"
+@pytest.mark.parametrize("kind, text", [
+    ("lines", '{"code": "x", "label": 1}'), ("columns", '{"code": {"0": "x"}}'), ("columns", '{"code": ["x"], "label": {"0": 1}}'),
+    ("lines", '{"meta": {"a": 1}, "code": "x"}\n{"meta": {}, "code": "y"}'), ("array", ' \n[{"code": "x"}]'), ("lines", "not json"),
+    ("object", '{"code":\n {"0": "x"}}'), ("object", '{\n"code": "x"}'), ("lines", '{"code": "[1]", "label": 1}'),
+])
+def test_json_kinds(spark, tmp_path, kind, text):
+    write(tmp_path / "f.json", text)
+    lines = S._lines(spark, str(tmp_path), "*.json")
+    assert rows(S.json_kinds(lines), "kind") == [(kind,)]
 
 
 def test_long_first_record_is_read_right(spark, tmp_path):
@@ -215,21 +216,35 @@ def _messy(i):
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
-def test_large_csv_is_read_in_splits(spark, tmp_path, small_splits, end):
+def test_csv_of_many_splits(spark, tmp_path, small_splits, end):
     body = "".join(f'"{_messy(i)}",{i % 2},{i}{end}' for i in range(60))
     write(tmp_path / "big.csv", f"code,label,n{end}{body}")
     write(tmp_path / "other.csv", f'code,label,n{end}"q\nr",1,60{end}"tail {"z" * 90}",0,61')
-    layouts = S.find_layouts(spark, str(tmp_path))
-    assert [x.reader for x in layouts] == ["csv_large"]
-    df = S.scan_layout(spark, str(tmp_path), layouts[0])
+    df = S.union_files(spark, str(tmp_path))
     got = {int(r["n"]): (r["code"], r["label"]) for r in df.collect()}
     expected = {i: (_messy(i).replace('""', '"'), str(i % 2)) for i in range(60)}
     expected |= {60: ("q\nr", "1"), 61: ("tail " + "z" * 90, "0")}
     assert got == expected
-    assert df.select(S.BLOCK).distinct().count() > 5
 
 
-def test_row_ids_of_large_csv_follow_the_file(spark, tmp_path, small_splits):
+STRAY = 'code,label\nprint 5" pipe,0\nfoo(),1\nbar" z,0\nbaz,1\n'
+
+
+def test_stray_quotes_are_text_at_every_size(spark, tmp_path):
+    write(tmp_path / "a.csv", STRAY)
+    write(tmp_path / "b.tsv", STRAY.replace(",", "\t"))
+    one = [('print 5" pipe', "0"), ("foo()", "1"), ('bar" z', "0"), ("baz", "1")]
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in (before, "16"):
+            spark.conf.set(key, size)
+            assert sorted(rows(S.union_files(spark, str(tmp_path)), "code", "label")) == sorted(one * 2)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_row_ids_of_csv_follow_the_file(spark, tmp_path, small_splits):
     body = "".join(f'"{_messy(i)}",{i % 2},{i}\n' for i in range(60))
     write(tmp_path / "raw" / "big.csv", f"code,label,language\n{body}")
     N.load_canonical(spark, str(tmp_path / "raw")).write.parquet(str(tmp_path / "bronze"))
@@ -246,18 +261,68 @@ def _tricky(i):
 
 
 @pytest.mark.parametrize("indent", [None, 2])
-def test_large_json_array_is_read_in_splits(spark, tmp_path, small_splits, indent):
+def test_json_array_of_many_splits(spark, tmp_path, small_splits, indent):
     data = [{"code": _tricky(i), "label": i % 2, "meta": {"n": i, "list": [{"a": "]"}, {}]}, "n": i} for i in range(70)]
     write(tmp_path / "big.json", json.dumps(data, indent=indent, ensure_ascii=False))
     write(tmp_path / "more.json", json.dumps([{"code": "z}", "label": 1, "meta": {}, "n": 70 + i} for i in range(9)], indent=indent) + "\n")
-    layouts = S.find_layouts(spark, str(tmp_path))
-    assert [x.reader for x in layouts] == ["json_array_large"]
-    df = S.scan_layout(spark, str(tmp_path), layouts[0])
+    df = S.union_files(spark, str(tmp_path))
     got = {int(r["n"]): (r["code"], r["label"], json.loads(r["meta"])) for r in df.collect()}
     expected = {x["n"]: (x["code"], str(x["label"]), x["meta"]) for x in data}
     expected |= {70 + i: ("z}", "1", {}) for i in range(9)}
     assert got == expected
-    assert df.select(S.BLOCK).distinct().count() > 5
     N.load_canonical(spark, str(tmp_path)).write.parquet(str(tmp_path / "bronze"))
     ids = N.mint_row_ids(spark.read.parquet(str(tmp_path / "bronze"))).orderBy("row_id").limit(70)
     assert [r["code"] for r in ids.collect()] == [x["code"] for x in data]
+
+
+def test_truncated_array_of_many_splits_is_unreadable(spark, tmp_path, small_splits):
+    write(tmp_path / "cut.json", json.dumps([{"code": "x" * 50, "label": i} for i in range(20)], indent=1)[:-9])
+    with pytest.raises(Exception, match="unreadable JSON"):
+        S.union_files(spark, str(tmp_path)).collect()
+
+
+def test_only_unreadable_files(spark, tmp_path):
+    write(tmp_path / "cut.json", '[{"code": "x"')
+    write(tmp_path / "bad.jsonl", "no\n")
+    assert S.union_files(spark, str(tmp_path), unreadable="skip").collect() == []
+    assert S.unreadable_json(spark, str(tmp_path)).count() == 2
+
+
+def test_odd_headers(spark, tmp_path):
+    write(tmp_path / "bom.csv", "\ufeffcode,label,,Note,note\na,1,x,first,last\n")
+    write(tmp_path / "short.csv", "code,label\nb\nc,1,more,cells\n")
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "alone.csv", "code,label,only_named\n")
+    df = S.union_files(spark, str(tmp_path)).orderBy("code")
+    assert sorted(set(df.columns) - set(S.META)) == ["code", "label", "note", "only_named"]
+    assert rows(df, "code", "label", "note") == [("a", "1", "last"), ("b", None, None), ("c", "1", None)]
+
+
+def test_wide_files(spark, tmp_path):
+    names = [f"n{i}" for i in range(90)]
+    write(tmp_path / "wide.csv", ",".join([*names, "code", "label"]) + "\n" + ",".join([*map(str, range(90)), "x", "1"]) + "\n")
+    write(tmp_path / "narrow.csv", "code,label\ny,0\n")
+    df = S.union_files(spark, str(tmp_path)).orderBy("code")
+    assert rows(df, "code", "n0", "n89") == [("x", "0", "89"), ("y", None, None)]
+    assert rows(N.load_canonical(spark, str(tmp_path)).orderBy("code"), "code", "label") == [("x", 1), ("y", 0)]
+
+
+def test_a_scan_per_format_not_per_layout(spark, tmp_path):
+    """500 files with 200 sets of columns: few branches, all on stored rows, every file by its own columns."""
+    expected = []
+    for i in range(500):
+        code, label = C.CODE_COLUMNS[i % 7], C.LABEL_COLUMNS[i % 5]
+        extra = f"extra{i % 200}"
+        if i % 3 == 0:
+            write(tmp_path / f"{i}.csv", f"{extra},{label},{code}\n9,{i % 2},s{i}\n")
+        elif i % 3 == 1:
+            write(tmp_path / f"d{i % 9}" / f"{i}.jsonl", json.dumps({extra: 9, label: ["human", "ai"][i % 2], code: f"s{i}"}))
+        else:
+            write(tmp_path / f"{i}.json", json.dumps([{code: f"s{i}", label: i % 2, extra: None}], indent=1))
+        expected.append((f"s{i}", i % 2))
+    df = N.load_canonical(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Relation [") <= 6 and " csv" not in plan and " text" not in plan
+    assert sorted(rows(df, "code", "label")) == sorted(expected)
+    united = S.union_files(spark, str(tmp_path))
+    assert len(united.columns) == 7 + 5 + 200 + 3 and united.count() == 500
