@@ -1,16 +1,19 @@
 """Registered queries: fitting, scoring, selection, streaming.
 
-Fitted scores cannot be repeated in SQL; where SQL is given it checks a property of all rows.
+Scores fitted on whole texts cannot be repeated in SQL; there it checks a property of all rows. Where scores themselves are compared,
+each text is one of two words: the best fit without penalty then gives each word's share of the class, and with an endless one the
+overall share, both of which SQL knows.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmark.catalog import base as B
-from quillmark.operators import history as H
+from quillmark.catalog import measuring as ME
 from quillmark.operators import metrics as M
 from quillmark.operators import model as MO
 from quillmark.operators import split as SP
@@ -23,12 +26,42 @@ CONFIG = MO.RunConfig(num_features=1 << 14)
 CANDIDATE = MO.Candidate(reg_param=0.01, max_iter=20)
 
 
-def _splits(spark, sf_dir) -> str:
+#: Fits with a known result: each word's share, and the overall share.
+EXACT = MO.Candidate(reg_param=0.0, max_iter=500, tolerance=1e-13)
+FLAT = MO.Candidate(reg_param=1e8, max_iter=100, tolerance=1e-13)
+
+_WORD = "CASE WHEN language = 'en' THEN 'english' ELSE 'other' END"
+_SHARES = f"""{B.SNIPS}, {B.sql_split('snips', 'label')},
+words AS (SELECT *, {_WORD} AS word FROM parted),
+shares AS (SELECT word, avg(label)::DOUBLE AS p FROM words WHERE split = 'train' GROUP BY word),
+flat AS (SELECT avg(label)::DOUBLE AS p0 FROM words WHERE split = 'train'),
+known AS (SELECT row_id, code, label, split, p, p0 FROM words JOIN shares USING (word), flat)"""
+
+
+def _near(column: str) -> Column:
+    """To four decimals, rounded where shares of few rows don't lie on the border."""
+    return F.round(F.col(column) + 0.00003, 4)
+
+
+def _two_words(spark, sf_dir):
+    word = F.when(F.col("language") == "en", "english").otherwise("other")
+    return B.snippets(spark, sf_dir).withColumn("code", word)
+
+
+def _splits(spark, sf_dir, rows=None) -> str:
     path = scratch_path(spark, "splits")
-    A.write_splits(SP.stratified_split(B.snippets(spark, sf_dir)), path)
+    A.write_splits(SP.stratified_split(B.snippets(spark, sf_dir) if rows is None else rows), path)
     return path
 
 
+def _exact_run(spark, sf_dir) -> tuple[str, str]:
+    """(run folder, split folder) of a saved model whose probabilities are the words' shares."""
+    splits, run = _splits(spark, sf_dir, _two_words(spark, sf_dir)), scratch_path(spark, "run")
+    A.save_model(MO.fit_classifier(A.scan_split(spark, splits, "train"), CONFIG, EXACT), run)
+    A.write_config(spark, asdict(CONFIG), run)
+    return run, splits
+
+
 def _run(spark, sf_dir) -> tuple[str, str]:
     """(run folder, split folder) of a model fitted on the train split and saved."""
     splits, run = _splits(spark, sf_dir), scratch_path(spark, "run")
@@ -67,13 +100,14 @@ def score(spark, sf_dir):
     )
 
 
-@B.register("score_probabilities")
+@B.register("score_probabilities", f"""
+WITH {_SHARES} SELECT row_id, label, round(p + 0.00003, 4)::DOUBLE AS prob_ai, (p >= 0.5)::INTEGER AS prediction FROM known""")
 def score_probabilities(spark, sf_dir):
-    """The probabilities themselves, which only the fitted model knows."""
-    run, splits = _run(spark, sf_dir)
+    """Probabilities of a fitted, saved and loaded model, on texts of two words."""
+    run, splits = _exact_run(spark, sf_dir)
     model, config = A.load_model(spark, run)
     scored = MO.score(spark.read.parquet(splits), model, config["decision_threshold"])
-    return scored.select("row_id", "label", "prob_ai", "prediction")
+    return scored.select("row_id", "label", _near("prob_ai").alias("prob_ai"), "prediction")
 
 
 @B.register("hashed_token_total", f"""
@@ -142,44 +176,87 @@ def save_model(spark, sf_dir):
     return MO.verdicts(rows, model, limit, stored_config["max_tokens"]).select("row_id", "threshold", "n_tokens")
 
 
+_LOSS = "avg(-CASE label WHEN 1 THEN ln(greatest({p}, 1e-15)) ELSE ln(greatest(1 - {p}, 1e-15)) END)"
+
+
 @B.register("select_best_model", f"""
-WITH {B.SNIPS}, {B.sql_split('snips', 'label')}
-SELECT unnest([1, 2, 3])::INTEGER AS epoch, count(*) AS n_validation, true AS agrees FROM parted WHERE split = 'validation'""")
+WITH {_SHARES},
+losses AS (SELECT {_LOSS.format(p='p0')} AS flat, {_LOSS.format(p='p')} AS exact, count(*) AS n FROM known WHERE split = 'validation'),
+steps AS (SELECT unnest([1, 2, 3])::INTEGER AS epoch, unnest([flat, exact, flat]) AS loss, n, (CASE WHEN exact < flat - 1e-6 THEN 2 ELSE 1 END)::INTEGER AS best FROM losses)
+SELECT epoch, n AS n_validation, round(loss + 0.00003, 4)::DOUBLE AS val_loss, best AS best_epoch FROM steps""")
 def select_best_model(spark, sf_dir):
-    """Every candidate is measured on the validation rows, and the choice is that of the early-stop rule."""
-    splits = _splits(spark, sf_dir)
-    candidates = [MO.Candidate(0.1, 10), MO.Candidate(0.01, 10), MO.Candidate(0.001, 10)]
-    chosen = PH.train(spark, splits, scratch_path(spark, "run"), CONFIG, candidates)
-    rule = H.early_stop(chosen.history).select("best_epoch").scalar()
+    """Losses of all candidates on the validation rows, and the choice; on texts of two words."""
+    splits = _splits(spark, sf_dir, _two_words(spark, sf_dir))
+    chosen = PH.train(spark, splits, scratch_path(spark, "run"), CONFIG, [FLAT, EXACT, FLAT])
     return chosen.history.select(
-        "epoch", F.col("val_metrics.n_samples").alias("n_validation"), (rule == chosen.best_epoch).alias("agrees")
+        "epoch", F.col("val_metrics.n_samples").alias("n_validation"), _near("val_loss").alias("val_loss"),
+        F.lit(chosen.best_epoch).cast("int").alias("best_epoch"),
     )
 
 
 @B.register("evaluate_split", f"""
-WITH {B.SNIPS}, {B.sql_split('snips', 'label')}
-SELECT count(*) FILTER (label = 0) AS support_human, count(*) FILTER (label = 1) AS support_ai, count(*) AS n_samples,
-       0.5::DOUBLE AS threshold FROM parted WHERE split = 'test'""")
+WITH {_SHARES}, preds AS (SELECT label, p AS prob_ai, (p >= 0.8613)::INTEGER AS prediction FROM known WHERE split = 'test'),
+{ME._HIST}, {ME._AUC}, {ME._MATRIX}, {ME._MEASURES}
+SELECT round(auc_roc, 6)::DOUBLE AS auc_roc, round(accuracy, 6)::DOUBLE AS accuracy, tn, fp, fn, tp, 0.8613::DOUBLE AS threshold FROM r, auc""")
 def evaluate_split(spark, sf_dir):
-    """The test split scored and measured; what does not depend on the fit is compared."""
-    run, splits = _run(spark, sf_dir)
-    result = PH.evaluate(spark, splits, run, scratch_path(spark, "predictions"), scratch_path(spark, "metrics"))
-    return result.bundle.select("support_human", "support_ai", "n_samples", "threshold")
+    """The test split scored and measured."""
+    run, splits = _exact_run(spark, sf_dir)
+    result = PH.evaluate(spark, splits, run, scratch_path(spark, "predictions"), scratch_path(spark, "metrics"), threshold=0.8613)
+    return result.bundle.select(*B.r6("auc_roc", "accuracy"), "tn", "fp", "fn", "tp", "threshold")
+
+
+@B.register("evaluate_splits", f"""
+WITH {_SHARES}, preds AS (SELECT split, label, p AS prob_ai FROM known UNION ALL SELECT 'all', label, p FROM known),
+h AS (SELECT split, prob_ai AS prob, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM preds GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY split ORDER BY prob) - neg AS below,
+             sum(pos) OVER (PARTITION BY split) AS p, sum(neg) OVER (PARTITION BY split) AS n FROM h)
+SELECT split, round(sum(pos * (below + neg / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)), 6)::DOUBLE AS auc_roc,
+       round(sum(CASE WHEN prob >= 0.8613 THEN pos ELSE neg END)::DOUBLE / sum(pos + neg), 6)::DOUBLE AS accuracy,
+       sum(CASE WHEN prob >= 0.8613 THEN pos ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN prob >= 0.8613 THEN neg ELSE 0 END)::BIGINT AS fp,
+       sum(pos + neg)::BIGINT AS n_samples FROM c GROUP BY split""")
+def evaluate_splits(spark, sf_dir):
+    """All splits, and all together, from one pass; read back from the stored reports."""
+    run, splits = _exact_run(spark, sf_dir)
+    reports = scratch_path(spark, "metrics")
+    result = PH.evaluate_splits(spark, splits, run, scratch_path(spark, "predictions"), reports, threshold=0.8613)
+    counts = result.bundle.select("split", "tp", "fp")
+    saved = A.parse_metrics(A.scan_metric_files(spark, reports)).withColumnRenamed("name", "split").join(counts, "split")
+    return saved.select("split", *B.r6("auc_roc", "accuracy"), "tp", "fp", "n_samples")
+
+
+def _scored_split(spark, sf_dir) -> tuple[str, str]:
+    """(predictions, splits): the test split with scores that SQL knows."""
+    splits, predictions = _splits(spark, sf_dir), scratch_path(spark, "predictions")
+    test = A.scan_split(spark, splits, "test").select("row_id")
+    scored = B.predictions(spark, sf_dir).join(test, "row_id")
+    scored.select("row_id", "label", "prob_ai", "prediction").write.parquet(predictions)
+    return predictions, splits
+
+
+_TEST_ERRORS = f"""{ME._ERRORS}, {B.sql_split('snips', 'label')},
+tested AS (SELECT errs.* FROM errs JOIN parted USING (row_id) WHERE split = 'test')"""
 
 
 @B.register("analyze_errors", f"""
-WITH {B.SNIPS}, {B.sql_split('snips', 'label')} SELECT count(*) AS n_test, true AS adds_up, true AS listed FROM parted WHERE split = 'test'""")
+WITH {_TEST_ERRORS}, best AS (SELECT * FROM tested WHERE NOT is_correct ORDER BY confidence DESC, row_id LIMIT 25)
+SELECT row_id, label, prediction_name, n_chars, n_lines, round(confidence, 6) AS confidence, md5(code) AS code_md5 FROM best""")
 def analyze_errors(spark, sf_dir):
-    """Errors of the fitted model: counted alike by class, by prediction, and in the list."""
-    run, splits = _run(spark, sf_dir)
-    predictions = scratch_path(spark, "predictions")
-    PH.evaluate(spark, splits, run, predictions)
-    top, summary = PH.analyze_errors(spark, predictions, splits, n=None)
-    n = F.col("n_errors")
-    by_class = F.col("errors_true_human") + F.col("errors_true_ai") == n
-    by_prediction = F.col("errors_predicted_human") + F.col("errors_predicted_ai") == n
-    listed = top.agg(F.count("*")).scalar() == n
-    return summary.select("n_test", (by_class & by_prediction).alias("adds_up"), listed.alias("listed"))
+    """The list of the most confident errors, with their texts."""
+    top, _ = PH.analyze_errors(spark, *_scored_split(spark, sf_dir), n=25)
+    return top.select("row_id", "label", "prediction_name", "n_chars", "n_lines", *B.r6("confidence"), F.md5("code").alias("code_md5"))
+
+
+@B.register("analyze_errors_summary", f"""
+WITH {_TEST_ERRORS} SELECT count(*) AS n_test, count(*) FILTER (NOT is_correct) AS n_errors,
+  count(*) FILTER (NOT is_correct AND label = 0) AS errors_true_human, count(*) FILTER (NOT is_correct AND prediction = 1) AS errors_predicted_ai,
+  round(quantile_cont(confidence, 0.5) FILTER (NOT is_correct), 6) AS median_confidence,
+  round(avg(n_chars) FILTER (NOT is_correct), 6) AS errors_n_chars_mean, round(avg(n_lines) FILTER (is_correct), 6) AS correct_n_lines_mean FROM tested""")
+def analyze_errors_summary(spark, sf_dir):
+    _, summary = PH.analyze_errors(spark, *_scored_split(spark, sf_dir), n=None)
+    return summary.select(
+        "n_test", "n_errors", "errors_true_human", "errors_predicted_ai",
+        F.round("median_confidence_on_errors", 6).alias("median_confidence"), *B.r6("errors_n_chars_mean", "correct_n_lines_mean"),
+    )
 
 
 @B.register("classify_files", f"""

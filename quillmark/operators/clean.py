@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark import constants as C
 from quillmark.functions import text as X
+from quillmark.session import stored
 
 
 def filter_language(df: DataFrame, languages: Sequence[str] = C.PYTHON_ALIASES, column: str = "language") -> DataFrame:
@@ -49,19 +50,46 @@ def conflicting_labels(df: DataFrame, code: str = "code", label: str = "label")
     return spread.where(F.col("lo") != F.col("hi")).agg(F.count("*").alias("n_conflicting"))
 
 
+#: Bits of the table of repeated digests, which every task gets (16 MiB), and of one of its rows.
+TABLE_BITS, ROW_BITS = 27, 15
+
+
+def _place(digest: Column) -> Column:
+    """A digest's bit in the table."""
+    return F.pmod(F.xxhash64(digest), F.lit(1 << TABLE_BITS))
+
+
+def _repeated(digests: DataFrame) -> DataFrame:
+    """(_row, _bits): the table, a bit for each digest that occurs twice; at most 4,096 rows of 4 KiB, whatever the data."""
+    repeated = digests.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select(_place(F.col("_digest")).alias("p"))
+    row, bit = F.shiftright("p", ROW_BITS).alias("_row"), F.pmod("p", F.lit(1 << ROW_BITS)).alias("bit")
+    return repeated.select(row, bit).groupBy("_row").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+
+
+def _marked(df: DataFrame, code: str) -> DataFrame:
+    """Add ``_digest``, and ``_maybe``: whether the text may have a copy. Only texts with one, and few others, are marked."""
+    with_digest = df.withColumn("_digest", X.digest(code))
+    table = stored(_repeated(with_digest.select("_digest")), "repeated")
+    placed = with_digest.withColumn("_row", F.shiftright(_place(F.col("_digest")), ROW_BITS)).withColumn(
+        "_bit", F.pmod(_place(F.col("_digest")), F.lit(1 << ROW_BITS))
+    )
+    both = placed.join(F.broadcast(table), "_row", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1
+    return both.select(*df.columns, "_digest", F.coalesce(held, F.lit(False)).alias("_maybe"))
+
+
 def dedup_keep_first(df: DataFrame, order: Sequence[str] = ("row_id",), code: str = "code") -> DataFrame:
     """Of all rows with exactly the same text, the one lowest in ``order``.
 
-    Ranking to 1 is limited inside each map task before the shuffle, so a group of copies of any size
-    sends at most one row per task; only a 32-byte digest is the shuffle key.
+    Digests alone are counted first; a table of fixed size then tells a row in place that its text has no copy, and such rows go
+    through as they are. Only the others are shuffled, by digest, after ranking to 1 inside each map task: a group of copies of any
+    size sends at most one row per task. ``df`` is read three times, so it should be a stored table or narrow steps on one.
     """
+    marked = _marked(df, code)
     first = Window.partitionBy("_digest").orderBy(*order)
-    return (
-        df.withColumn("_digest", X.digest(code))
-        .withColumn("_rn", F.row_number().over(first))
-        .where((F.col("_rn") == 1))
-        .drop("_digest", "_rn")
-    )
+    copies = marked.where("_maybe").withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
+    return marked.where("NOT _maybe").select(*df.columns).unionByName(copies.select(*df.columns))
 
 
 def clean(df: DataFrame, min_length: int = C.MIN_CODE_LENGTH, order: Sequence[str] = ("row_id",)) -> DataFrame:

@@ -1,7 +1,12 @@
-"""Drill-down into wrong predictions."""
+"""Drill-down into wrong predictions.
+
+Reports start from a narrow, stored table without texts; texts are fetched for the rows that are shown.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from quillmark import constants as C
 from quillmark.functions import scoring as S
 from quillmark.functions import text as X
 from quillmark.operators import rank as R
+from quillmark.session import stored
 
 
 def align_predictions(predictions: DataFrame, snippets: DataFrame, row_id: str = "row_id", check: bool = True) -> DataFrame:
@@ -43,6 +49,53 @@ def error_table(df: DataFrame, code: str = "code") -> DataFrame:
     )
 
 
+_NARROW = ("label", "label_name", "prediction", "prediction_name", "prob_ai", "is_correct", "n_chars", "n_lines", "confidence")
+
+
+@dataclass(frozen=True)
+class ErrorTable:
+    """Predictions with what error reports show, stored without texts, and where the texts are."""
+
+    rows: DataFrame
+    texts: DataFrame
+    row_id: str = "row_id"
+
+    def summary(self) -> DataFrame:
+        return _summary(self.rows)
+
+    def top(self, n: int | None = C.MAX_ERROR_ROWS) -> DataFrame:
+        """The most confident errors, with their texts, in order; None: all of them."""
+        wrong = errors_only(self.rows)
+        if n is None:
+            return wrong.join(self.texts, self.row_id).orderBy(*_order(self.row_id))
+        first = stored(R.top_n(wrong, _order(self.row_id), self.row_id, n), "errors")
+        small = F.broadcast(first) if n <= R.BROADCAST_IDS else first
+        return self.texts.join(small, self.row_id).orderBy(*_order(self.row_id)).limit(n)
+
+
+def error_rows(predictions: DataFrame, snippets: DataFrame, row_id: str = "row_id", code: str = "code") -> ErrorTable:
+    """Predictions with their texts' lengths, joined once by key; raises if either side has rows the other lacks.
+
+    Lengths are taken where the texts lie, so no text is shuffled. That every id is there once on both sides is then seen from the
+    stored rows.
+    """
+    lengths = snippets.select(row_id, X.n_chars(code).alias("n_chars"), X.n_lines(code).alias("n_lines"), F.lit(1).alias("_text"))
+    scored = predictions.select(row_id, "label", "prediction", "prob_ai", F.lit(1).alias("_scored"))
+    both = scored.join(lengths, row_id, "full").withColumns(
+        {
+            "label_name": X.label_name("label"), "prediction_name": X.label_name("prediction"),
+            "is_correct": S.is_correct("label", "prediction"), "confidence": S.confidence("prob_ai", "prediction"),
+        }
+    )
+    rows = stored(both, "error-rows")
+    whole = F.col("_text").isNotNull() & F.col("_scored").isNotNull()
+    per_id = rows.groupBy(row_id).agg(F.count("*").alias("n"), F.bool_and(whole).alias("whole"))
+    bad = per_id.where((F.col("n") != 1) | ~F.col("whole") | F.col(row_id).isNull()).count()
+    if bad:
+        raise ValueError(f"{bad} row ids are not found exactly once in both predictions and snippets")
+    return ErrorTable(rows.select(row_id, *_NARROW), snippets.select(row_id, F.col(code).alias("code")), row_id)
+
+
 def errors_only(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_correct"))
 
@@ -66,7 +119,11 @@ def top_errors(df: DataFrame, n: int = C.MAX_ERROR_ROWS, row_id: str = "row_id")
 
 
 def error_summary(df: DataFrame) -> DataFrame:
-    """One flat row over an `error_table`; statistics of an empty group are NULL."""
+    """One flat row over an `error_table`; statistics of an empty group are NULL. The table is read once."""
+    return _summary(stored(df.select("label", "prediction", "is_correct", "confidence", "n_chars", "n_lines"), "errors"))
+
+
+def _summary(df: DataFrame) -> DataFrame:
     wrong = ~F.col("is_correct")
 
     def mean(value: str, when: Column) -> Column:

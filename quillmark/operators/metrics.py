@@ -1,8 +1,14 @@
-"""Classification measures over a predictions table (row_id, label, prob_ai, prediction)."""
+"""Classification measures over a predictions table (row_id, label, prob_ai, prediction).
+
+Rank measures start from a `Scores` table: how many rows of each class have each score. It is exact, stored, and can be merged
+with others, so predictions are read once for any number of reports. A function that is given predictions makes one for itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,26 +16,89 @@ from pyspark.sql import functions as F
 from quillmark import constants as C
 from quillmark.functions import scoring as S
 from quillmark.operators import rank as R
+from quillmark.session import stored
 
 CLASS_NAMES = (C.LABEL_NAMES[C.HUMAN], C.LABEL_NAMES[C.AI])
 
 
-def validate_predictions(df: DataFrame, label: str = "label", prob: str = "prob_ai") -> None:
+@dataclass(frozen=True)
+class Scores:
+    """(by..., prob, pos, neg, other), stored: rows of label 1, of label 0, and of any other or none, for each score."""
+
+    table: DataFrame
+    by: tuple[str, ...] = ()
+
+    @cached_property
+    def edges(self) -> list[float]:
+        """Where to cut the scores into buckets; taken from the table, whatever made it."""
+        return R.split_points(self.table, "prob")
+
+
+#: What measures are computed from.
+Measured = DataFrame | Scores
+_COUNTS = ("pos", "neg", "other")
+
+
+def score_table(
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai", overall: str | None = None
+) -> Scores:
+    """Count the scores of predictions, in one pass over them. Counts merge before the shuffle.
+
+    With ``overall`` the single group column also gets a group of that name, over all rows: a second grouping of the counted
+    scores, not of the predictions.
+    """
+    ai, human = F.col(label) == C.AI, F.col(label) == C.HUMAN
+    known = F.coalesce(ai | human, F.lit(False))
+    counted = df.groupBy(*by, F.col(prob).alias("prob")).agg(
+        F.count_if(ai).alias("pos"), F.count_if(human).alias("neg"), F.count_if(~known).alias("other")
+    )
+    return Scores(stored(counted, "scores"), tuple(by)) if overall is None else with_overall(Scores(stored(counted, "scores"), tuple(by)), overall)
+
+
+def with_overall(scores: Scores, name: str) -> Scores:
+    """The same scores by their group and, as group ``name``, all together."""
+    (group,) = scores.by
+    if scores.table.schema[group].dataType.simpleString() != "string":
+        raise TypeError(f"the group column {group!r} must be text to hold {name!r}")
+    taken = scores.table.groupingSets([[F.col(group), F.col("prob")], [F.col("prob")]], F.col(group), F.col("prob"))
+    summed = taken.agg(*[F.sum(c).alias(c) for c in _COUNTS], F.grouping(F.col(group)).alias("_all"))
+    named = summed.withColumn(group, F.when(F.col("_all") == 1, F.lit(name)).otherwise(F.col(group)))
+    return Scores(stored(named.drop("_all"), "scores"), scores.by)
+
+
+def merge_scores(tables: Sequence[Scores]) -> Scores:
+    """Scores of several runs or parts together, as if their predictions had been counted at once."""
+    if len({t.by for t in tables}) != 1:
+        raise ValueError("only scores of the same groups can be merged")
+    united = reduce(DataFrame.unionByName, [t.table for t in tables])
+    summed = united.groupBy(*tables[0].by, "prob").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return Scores(stored(summed, "scores"), tables[0].by)
+
+
+def _scores(df: Measured, by: Sequence[str], label: str, prob: str) -> Scores:
+    if isinstance(df, Scores):
+        if by and tuple(by) != df.by:
+            raise ValueError(f"these scores are grouped by {df.by}, not by {tuple(by)}")
+        return df
+    return score_table(df, by, label, prob)
+
+
+def validate_predictions(df: Measured, label: str = "label", prob: str = "prob_ai") -> None:
     """Raise on an empty table, missing values, labels other than 0/1, or only one class."""
-    row = df.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col(label).isNull() | F.col(prob).isNull() | F.isnan(prob)).alias("missing"),
-        F.count_if(~F.col(label).isin(C.HUMAN, C.AI)).alias("other"),
-        F.min(label).alias("lo"),
-        F.max(label).alias("hi"),
+    scores = df if isinstance(df, Scores) else score_table(df.select(label, prob), (), label, prob)
+    lost = F.col("prob").isNull() | F.isnan("prob")
+    rows = F.col("pos") + F.col("neg") + F.col("other")
+    row = scores.table.agg(
+        F.sum(rows).alias("n"), F.sum(F.when(lost, rows).otherwise(0)).alias("missing"), F.sum("other").alias("other"),
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
     ).first()
-    if row["n"] == 0:
+    if not row["n"]:
         raise ValueError("no predictions to measure")
     if row["missing"]:
-        raise ValueError(f"{row['missing']} rows lack a label or a probability")
+        raise ValueError(f"{row['missing']} rows lack a probability")
     if row["other"]:
-        raise ValueError(f"{row['other']} labels are neither 0 nor 1")
-    if row["lo"] == row["hi"]:
+        raise ValueError(f"{row['other']} labels are missing or neither 0 nor 1")
+    if not row["pos"] or not row["neg"]:
         raise ValueError("AUC is undefined with only one class")
 
 
@@ -37,18 +106,10 @@ def with_prediction(df: DataFrame, threshold: float = C.THRESHOLD, prob: str = "
     return df.withColumn("prediction", S.hard_prediction(prob, threshold))
 
 
-def score_histogram(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai") -> DataFrame:
-    """(by..., prob, pos, neg): every measure below needs only this. Merges map-side."""
-    return df.groupBy(*by, F.col(prob).alias("prob")).agg(
-        F.count_if(F.col(label) == C.AI).alias("pos"), F.count_if(F.col(label) == C.HUMAN).alias("neg")
-    )
-
-
-def _ranked(df: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
-    """Score histogram with the positives and negatives that score lower, and the group totals."""
-    points = R.split_points(df, prob)
-    hist = R.with_bucket(score_histogram(df, by, label, prob), "prob", points)
-    return R.prefix_sums(hist, ["prob"], {"pos_below": "pos", "neg_below": "neg"}, by)
+def _ranked(scores: Scores) -> DataFrame:
+    """Scores with the positives and negatives that score lower, and the group totals."""
+    bucketed = R.with_bucket(scores.table, "prob", scores.edges)
+    return R.prefix_sums(bucketed, ["prob"], {"pos_below": "pos", "neg_below": "neg"}, scores.by)
 
 
 def _matrix_counts(threshold: float) -> dict[str, Column]:
@@ -83,9 +144,12 @@ def _measures() -> dict[str, Column]:
     }
 
 
-def matrix_counts(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), label: str = "label",
+def matrix_counts(df: Measured, threshold: float = C.THRESHOLD, by: Sequence[str] = (), label: str = "label",
                   prob: str = "prob_ai") -> DataFrame:
     """One row (per group): tn, fp, fn, tp."""
+    if isinstance(df, Scores):
+        scores = _scores(df, by, label, prob)
+        return scores.table.groupBy(*scores.by).agg(*[c.alias(n) for n, c in _matrix_counts(threshold).items()])
     above = F.col(prob) >= threshold
     human, ai = F.col(label) == C.HUMAN, F.col(label) == C.AI
     return df.groupBy(*by).agg(
@@ -96,8 +160,13 @@ def matrix_counts(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[st
     )
 
 
-def confusion_matrix(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
+def _by(df: Measured, by: Sequence[str]) -> list[str]:
+    return list(df.by if isinstance(df, Scores) else by)
+
+
+def confusion_matrix(df: Measured, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
     """Four rows (per group): true class, predicted class, n, and n as a share of the true class."""
+    by = _by(df, by)
     counts = matrix_counts(df, threshold, by, **cols)
     cells = F.stack(
         F.lit(4),
@@ -111,7 +180,8 @@ def confusion_matrix(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence
     )
 
 
-def accuracy(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
+def accuracy(df: Measured, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
+    by = _by(df, by)
     return matrix_counts(df, threshold, by, **cols).select(*by, _measures()["accuracy"].alias("accuracy"))
 
 
@@ -122,9 +192,10 @@ def _two_names(names: Sequence[str]) -> tuple[str, str]:
 
 
 def per_class_prf(
-    df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), names: Sequence[str] = CLASS_NAMES, **cols: str
+    df: Measured, threshold: float = C.THRESHOLD, by: Sequence[str] = (), names: Sequence[str] = CLASS_NAMES, **cols: str
 ) -> DataFrame:
     """One row per class: precision, recall, f1, support."""
+    by = _by(df, by)
     human, ai = _two_names(names)
     m = _measures()
     wide = matrix_counts(df, threshold, by, **cols).select(*by, *[c.alias(n) for n, c in m.items()])
@@ -137,7 +208,8 @@ def per_class_prf(
     return wide.select(*by, cells)
 
 
-def macro_f1(df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
+def macro_f1(df: Measured, threshold: float = C.THRESHOLD, by: Sequence[str] = (), **cols: str) -> DataFrame:
+    by = _by(df, by)
     return matrix_counts(df, threshold, by, **cols).select(*by, _measures()["macro_f1"].alias("macro_f1"))
 
 
@@ -149,16 +221,19 @@ def _auc() -> Column:
     return F.try_divide(ordered, pairs)
 
 
-def auc_roc(df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai") -> DataFrame:
+def auc_roc(df: Measured, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai") -> DataFrame:
     """Exact area under the ROC curve; NULL where only one class occurs."""
-    return _ranked(df, by, label, prob).groupBy(*by).agg(_auc().alias("auc_roc"))
+    scores = _scores(df, by, label, prob)
+    return _ranked(scores).groupBy(*scores.by).agg(_auc().alias("auc_roc"))
 
 
 def metric_bundle(
-    df: DataFrame, threshold: float = C.THRESHOLD, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai"
+    df: Measured, threshold: float = C.THRESHOLD, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai"
 ) -> DataFrame:
-    """All measures as one flat row (per group), from one score histogram."""
-    counts = _ranked(df, by, label, prob).groupBy(*by).agg(
+    """All measures as one flat row (per group), from one table of scores."""
+    scores = _scores(df, by, label, prob)
+    by = scores.by
+    counts = _ranked(scores).groupBy(*by).agg(
         *[c.alias(n) for n, c in _matrix_counts(threshold).items()], _auc().alias("auc_roc")
     )
     m = _measures()
@@ -222,15 +297,16 @@ def class_bars(prf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def roc_curve(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai", drop_collinear: bool = False
+    df: Measured, by: Sequence[str] = (), label: str = "label", prob: str = "prob_ai", drop_collinear: bool = False
 ) -> DataFrame:
     """(threshold, fpr, tpr), one point per distinct score and the origin (threshold +inf).
 
     ``drop_collinear`` leaves out points inside a straight run: those whose next lower score adds the
     same numbers of positives and negatives. The first and the last score always stay.
     """
-    by = list(by)
-    ranked = _ranked(df, by, label, prob)
+    scores = _scores(df, by, label, prob)
+    by = list(scores.by)
+    ranked = _ranked(scores)
     tp = F.col("pos_below_total") - F.col("pos_below")
     fp = F.col("neg_below_total") - F.col("neg_below")
     points = ranked.select(
@@ -241,17 +317,17 @@ def roc_curve(
         "pos", "neg",
     )
     if drop_collinear:
-        points = _corners(points, by)
+        points = _corners(points, by, scores.edges)
     points = points.select(*by, "threshold", "fpr", "tpr")
-    start = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    start = scores.table.select(*by).distinct() if by else scores.table.sparkSession.range(1).select()
     origin = start.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
-def _corners(points: DataFrame, by: Sequence[str]) -> DataFrame:
+def _corners(points: DataFrame, by: Sequence[str], edges: Sequence[float]) -> DataFrame:
     """Keep a point unless the next lower score has the same counts; neighbours across bucket borders
     come from a table with one row per bucket."""
-    bucketed = R.with_bucket(points, "threshold", R.split_points(points, "threshold"))
+    bucketed = R.with_bucket(points, "threshold", edges)
     bucketed = bucketed.withColumn("_g", F.struct(*by) if by else F.lit(0))
     here = F.struct("pos", "neg")
     edges = bucketed.groupBy("_g", R.BUCKET).agg(F.max_by(here, "threshold").alias("_top"), F.max("threshold").alias("_max"))

@@ -39,6 +39,7 @@ class Candidate:
 
     reg_param: float = 1e-3
     max_iter: int = 50
+    tolerance: float = 1e-6
 
 
 DEFAULT_CANDIDATES = (Candidate(1e-1), Candidate(1e-2), Candidate(1e-3))
@@ -80,6 +81,7 @@ def _fit_idf(train_counts: DataFrame) -> Transformer:
 def _regression(candidate: Candidate) -> LogisticRegression:
     return LogisticRegression(
         featuresCol="__features", labelCol="label", regParam=candidate.reg_param, maxIter=candidate.max_iter,
+        tol=candidate.tolerance,
         rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__class",
     )
 

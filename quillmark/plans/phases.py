@@ -17,7 +17,7 @@ from quillmark.operators import normalize as N
 from quillmark.operators import profile as P
 from quillmark.operators import split as SP
 from quillmark.operators import tokens as K
-from quillmark.session import scratch_path
+from quillmark.session import scratch_path, stored
 from quillmark.sources import artifacts as A
 
 
@@ -121,38 +121,73 @@ class Evaluation:
     roc: DataFrame
 
 
+def _measured(scores: M.Scores, limit: float) -> Evaluation:
+    return Evaluation(
+        bundle=stored(M.metric_bundle(scores, limit), "bundle"),
+        confusion=M.confusion_matrix(scores, limit),
+        per_class=M.per_class_prf(scores, limit),
+        roc=M.roc_curve(scores),
+    )
+
+
 def evaluate(
     spark: SparkSession, split_path: str, run_dir: str, predictions_path: str, metrics_path: str | None = None,
     split: str = "test", threshold: float | None = None,
 ) -> Evaluation:
-    """Score one split, store the predictions, and measure them."""
+    """Score one split, store the predictions, and measure them. All measures come from one table of scores."""
     model, config = A.load_model(spark, run_dir)
     limit = MO.effective_threshold(threshold, config)
     scored = MO.score(A.scan_split(spark, split_path, split), model, limit)
     scored.select("row_id", "label", "prob_ai", "prediction").write.mode("overwrite").parquet(predictions_path)
-    predictions = spark.read.parquet(predictions_path)
-    M.validate_predictions(predictions)
-    bundle = M.metric_bundle(predictions, limit)
+    scores = M.score_table(spark.read.parquet(predictions_path))
+    M.validate_predictions(scores)
+    out = _measured(scores, limit)
     if metrics_path:
-        A.write_metrics(bundle, metrics_path)
-    return Evaluation(
-        bundle=bundle,
-        confusion=M.confusion_matrix(predictions, limit),
-        per_class=M.per_class_prf(predictions, limit),
-        roc=M.roc_curve(predictions),
-    )
+        A.write_metrics(out.bundle, metrics_path)
+    return out
+
+
+#: Name of the group of all splits together.
+ALL = "all"
+
+
+def evaluate_splits(
+    spark: SparkSession, split_path: str, run_dir: str, predictions_path: str, metrics_path: str | None = None,
+    splits: Sequence[str] = C.SPLITS, threshold: float | None = None,
+) -> Evaluation:
+    """Score several splits in one pass and measure each, and `ALL` of them together.
+
+    Predictions are stored by split; the splits are told apart in one table of scores, and the overall measures come from a second
+    grouping of it. Every table of the result has a column ``split``. Reports are written below ``metrics_path``, one per split.
+    """
+    model, config = A.load_model(spark, run_dir)
+    limit = MO.effective_threshold(threshold, config)
+    rows = A.scan_splits(spark, split_path, splits)
+    scored = MO.score(rows, model, limit).select("row_id", "label", "prob_ai", "prediction", "split")
+    scored.write.mode("overwrite").partitionBy("split").parquet(predictions_path)
+    predictions = spark.read.parquet(predictions_path).withColumn("split", F.col("split").cast("string"))
+    scores = M.score_table(predictions, by=["split"], overall=ALL)
+    M.validate_predictions(M.Scores(scores.table.where(F.col("split") == ALL)))
+    out = _measured(scores, limit)
+    if metrics_path:
+        for name in (*splits, ALL):
+            A.write_metrics(out.bundle.where(F.col("split") == name).drop("split"), f"{metrics_path}/{name}")
+    return out
 
 
 def analyze_errors(
     spark: SparkSession, predictions_path: str, split_path: str, split: str = "test", csv_path: str | None = None,
     summary_path: str | None = None, n: int | None = C.MAX_ERROR_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(top errors, summary) from stored predictions; nothing is scored again. ``n`` None: all errors, in order."""
+    """(top errors, summary) from stored predictions; nothing is scored again. ``n`` None: all errors, in order.
+
+    Predictions and texts are joined once, without the texts; those of the errors that are shown are fetched afterwards.
+    """
     snippets = A.scan_split(spark, split_path, split).select("row_id", "code")
-    table = E.error_table(E.align_predictions(spark.read.parquet(predictions_path), snippets))
-    top, summary = E.rank_errors(table) if n is None else E.top_errors(table, n), E.error_summary(table)
+    table = E.error_rows(spark.read.parquet(predictions_path), snippets)
+    top, summary = table.top(n), stored(table.summary(), "summary")
     if csv_path:
-        A.write_errors_csv(table, csv_path, n)
+        A.write_error_rows(top, csv_path, n)
     if summary_path:
         A.write_error_summary(summary, summary_path)
     return top, summary

@@ -101,6 +101,17 @@ def scan_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return part.withColumn("split", F.col("split").cast("string"))
 
 
+def scan_splits(spark: SparkSession, path: str, splits: Sequence[str] = C.SPLITS) -> DataFrame:
+    """Rows of several splits; a split that was never written is an error."""
+    table = _read(spark.read.parquet, path, "no splits")
+    named = table.withColumn("split", F.col("split").cast("string")).where(F.col("split").isin(*splits))
+    # As many rows as there are splits.
+    missing = set(splits) - {r[0] for r in named.select("split").distinct().collect()}
+    if missing:
+        raise FileNotFoundError(f"no split {', '.join(sorted(missing))} in {path}")
+    return named
+
+
 def scan_code_only(spark: SparkSession, path: str) -> DataFrame:
     """Text and split only; no other column is read."""
     return _read(spark.read.parquet, path, "no splits").select("code", F.col("split").cast("string").alias("split"))
@@ -143,14 +154,22 @@ def write_error_summary(flat: DataFrame, path: str) -> None:
     E.nested_summary(flat).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_errors_csv(top: DataFrame, path: str, n: int | None = C.MAX_ERROR_ROWS) -> None:
-    """First ``n`` errors with header, in order; ``n`` is small, so one file. None: all, as parts in order of their names."""
-    names = [
-        "code", "label", "label_name", "prediction", "prediction_name", "prob_ai", "is_correct", "n_chars", "n_lines",
-        "confidence",
-    ]
-    rows = E.rank_errors(top).select(*names) if n is None else E.top_errors(top, n).select(*names).coalesce(1)
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+# --- Fixed values: header of the error report -------------------------------
+ERROR_COLUMNS = (
+    "code", "label", "label_name", "prediction", "prediction_name", "prob_ai", "is_correct", "n_chars", "n_lines", "confidence",
+)
+
+
+def write_errors_csv(df: DataFrame, path: str, n: int | None = C.MAX_ERROR_ROWS) -> None:
+    """First ``n`` errors of an `error_table`, in order; ``n`` is small, so one file. None: all, as parts in order of their names."""
+    write_error_rows(E.rank_errors(df) if n is None else E.top_errors(df, n), path, n)
+
+
+def write_error_rows(rows: DataFrame, path: str, n: int | None) -> None:
+    """Errors that are already chosen and in order, with header; one file unless ``n`` is None."""
+    shown = rows.select(*ERROR_COLUMNS)
+    shown = shown if n is None else shown.coalesce(1)
+    shown.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:

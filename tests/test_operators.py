@@ -303,6 +303,26 @@ def test_roc_without_collinear_points(spark):
     assert M.roc_curve(df).count() == 7
 
 
+def test_scores_merge_and_sum_up(spark):
+    rng = random.Random(4)
+    data = [(i, rng.randint(0, 1), rng.randint(0, 40) / 40, ["a", "b", None][rng.randint(0, 2)]) for i in range(900)]
+    df = spark.createDataFrame(data, "row_id long, label int, prob_ai double, part string")
+    whole = M.metric_bundle(df).first()
+    merged = M.merge_scores([M.score_table(df.where("row_id % 3 = 0")), M.score_table(df.where("row_id % 3 > 0"))])
+    assert M.metric_bundle(merged).first() == whole
+    assert sorted(rows(M.roc_curve(merged), "threshold", "fpr", "tpr")) == sorted(rows(M.roc_curve(df), "threshold", "fpr", "tpr"))
+    both = M.score_table(df, by=["part"], overall="all")
+    bundles = {r["part"]: r for r in M.metric_bundle(both).collect()}
+    assert set(bundles) == {"a", "b", None, "all"}
+    assert tuple(bundles["all"])[1:] == tuple(whole)
+    assert tuple(bundles["a"])[1:] == tuple(M.metric_bundle(df.where("part = 'a'")).first())
+    assert M.confusion_matrix(both).count() == 16
+    with pytest.raises(ValueError, match="same groups"):
+        M.merge_scores([both, merged])
+    with pytest.raises(ValueError, match="grouped by"):
+        M.metric_bundle(merged, by=["part"])
+
+
 def test_threshold_is_inclusive(spark):
     df = spark.createDataFrame([(0.5,), (0.49999,)], "p double")
     assert rows(df.select(S.hard_prediction("p"))) == [(1,), (0,)]

@@ -94,6 +94,19 @@ def test_evaluate_and_errors(spark, folders):
     assert kinds == {"first_test": "metrics", "first_errors": "error_summary"}
 
 
+def test_all_splits_at_once(spark, folders):
+    splits, run = str(folders / "splits"), str(folders / "run")
+    out = PH.evaluate_splits(spark, splits, run, str(folders / "all-predictions"), str(folders / "all-reports"))
+    bundles = {r["split"]: r for r in out.bundle.collect()}
+    assert {k: r["n_samples"] for k, r in bundles.items()} == {"train": 126, "validation": 27, "test": 27, "all": 180}
+    one = PH.evaluate(spark, splits, run, str(folders / "test-predictions")).bundle.first()
+    assert tuple(bundles["test"])[1:] == tuple(one)
+    assert out.confusion.count() == 16 and out.per_class.count() == 8
+    assert {r["name"] for r in PH.compare_runs(spark, str(folders / "all-reports")).collect()} == set(bundles)
+    with pytest.raises(FileNotFoundError, match="holdout"):
+        PH.evaluate_splits(spark, splits, run, str(folders / "x"), splits=["test", "holdout"])
+
+
 def test_all_errors_are_stored(spark, folders, tmp_path):
     rows = [(i, f"print({i})", i % 2, "x", "test") for i in range(300)]
     spark.createDataFrame(rows, "row_id long, code string, label int, language string, split string").write.parquet(str(tmp_path / "splits"))

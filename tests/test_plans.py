@@ -31,9 +31,53 @@ def preds(spark, sf_dir):
     return stored(B.predictions(spark, sf_dir), "preds")
 
 
-def test_measures_aggregate_the_scores_once(preds):
-    plan = executed(M.metric_bundle(preds))
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+def counted(spark, df, column="prob_ai"):
+    """The table, and a counter of how many of its rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(look, "double").asNondeterministic()(column)), seen
+
+
+def test_predictions_are_read_once_for_all_measures(spark, preds):
+    df, seen = counted(spark, preds.select("row_id", "label", "prob_ai"))
+    n = preds.count()
+    scores = M.score_table(df)
+    M.validate_predictions(scores)
+    reports = [M.metric_bundle(scores), M.roc_curve(scores), M.roc_curve(scores, drop_collinear=True), M.confusion_matrix(scores), M.auc_roc(scores)]
+    assert all(r.count() for r in reports) and seen.value == n
+    for report in (M.metric_bundle, M.roc_curve, lambda x: M.roc_curve(x, drop_collinear=True), M.auc_roc):
+        df, seen = counted(spark, preds.select("row_id", "label", "prob_ai"))
+        assert report(df).count() and seen.value == n
+
+
+def test_errors_join_once(spark, preds):
+    scored, seen = counted(spark, preds.select("row_id", "label", "prob_ai", "prediction"))
+    table = E.error_rows(scored, preds.select("row_id", "code"))
+    assert table.top(5).count() == 5 and table.top(None).count() == table.summary().first()["n_errors"]
+    assert seen.value == preds.count()
+    shown = planned(table.summary())
+    assert "code" not in shown
+    texts = planned(table.top(5))
+    assert "Exchange hashpartitioning" not in texts, "texts stay where they are"
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    df = stored(
+        spark.range(20_000).select(
+            F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.concat(F.lit("text "), "id")).alias("code")
+        ),
+        "texts",
+    )
+    marked = CL._marked(df, "code")
+    plan = planned(marked.where("NOT _maybe"))
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    counts = {r["_maybe"]: r["n"] for r in marked.groupBy("_maybe", (F.col("code") == "copy").alias("c")).agg(F.count("*").alias("n")).where("c").collect()}
+    assert counts == {True: 6_667} and marked.where("_maybe AND code <> 'copy'").count() < 10
+    assert CL.dedup_keep_first(df).count() == 13_334
 
 
 def test_vocabulary_counts_tokens_once(spark, sf_dir):
