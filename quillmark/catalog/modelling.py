@@ -275,16 +275,22 @@ def classify_files(spark, sf_dir):
     return verdicts.select(item.alias("item_id"), "n_chars", "n_tokens", sound.alias("adds_up"))
 
 
-@B.register("classify_stream", f"WITH {B.SNIPS} SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM snips")
+@B.register("classify_stream", f"""
+WITH {_SHARES}, judged AS (SELECT row_id, language, p FROM words JOIN shares USING (word) WHERE language <> 'de')
+SELECT row_id, 'verdict' AS outcome, CASE WHEN p >= 0.5 THEN 'ai' ELSE 'human' END AS label_name, round(p + 0.00003, 4)::DOUBLE AS prob_ai FROM judged
+UNION ALL SELECT row_id, 'empty or whitespace only', NULL, NULL FROM snips WHERE language = 'de'""")
 def classify_stream(spark, sf_dir):
-    """All rows scored as a stream of files get the verdicts of the batch."""
-    rows = B.snippets(spark, sf_dir, heavy=True).select("row_id", "label", "code")
-    model = MO.fit_classifier(rows, CONFIG, CANDIDATE)
-    source, sink = scratch_path(spark, "in"), scratch_path(spark, "out")
-    rows.write.parquet(source)
-    query = ST.classify_stream(spark, source, model, sink, scratch_path(spark, "checkpoint"))
+    """All rows as a stream of files: verdicts, and rejects for the blank texts that stand in for one language."""
+    run, _ = _exact_run(spark, sf_dir)
+    model, config = A.load_model(spark, run)
+    text = F.when(F.col("language") != "de", F.col("code")).otherwise(F.lit(" \n\t"))
+    source, sink, rejects = (scratch_path(spark, n) for n in ("in", "out", "rejects"))
+    _two_words(spark, sf_dir).select("row_id", "label", text.alias("code")).write.parquet(source)
+    query = ST.classify_stream(
+        spark, source, model, sink, scratch_path(spark, "checkpoint"), config["decision_threshold"], rejects_dir=rejects
+    )
     query.awaitTermination()
-    streamed = spark.read.parquet(sink).select("row_id", F.col("prob_ai").alias("streamed"))
-    batch = MO.score(rows, model).join(streamed, "row_id", "full")
-    same = F.abs(F.col("prob_ai") - F.col("streamed")) < 1e-12
-    return batch.agg(F.count("*").alias("n_rows"), F.count_if(F.coalesce(~same, F.lit(True))).alias("n_different"))
+    verdicts = spark.read.parquet(sink).select("row_id", F.lit("verdict").alias("outcome"), "label_name", _near("prob_ai").alias("prob_ai"))
+    return verdicts.unionByName(
+        spark.read.parquet(rejects).select("row_id", F.col("reason").alias("outcome")), allowMissingColumns=True
+    )

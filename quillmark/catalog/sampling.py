@@ -128,6 +128,16 @@ def encode_ids(spark, sf_dir):
     )
 
 
+@B.register("encode_ids_by_join", f"""
+WITH {B.SNIPS}, {_VOCAB}, {_ENCODED}
+SELECT row_id, label, len(input_ids)::INTEGER AS n_tokens, md5(array_to_string(input_ids, ',')) AS ids_md5 FROM encoded""")
+def encode_ids_by_join(spark, sf_dir):
+    """The way of a vocabulary that is too large to be sent to every task: all but its first 20 tokens are joined."""
+    rows = B.snippets(spark, sf_dir, heavy=True)
+    out = K.encode_ids(K.tokenize(rows, 128), stored(K.build_vocab(rows, 500), "vocab"), in_place=20)
+    return out.select("row_id", "label", F.size("attention_mask").alias("n_tokens"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
 @B.register("keep_token_columns", f"""
 WITH {B.SNIPS}, {_VOCAB}, {_ENCODED}
 SELECT row_id, array_to_string(input_ids, ',') AS input_ids,

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import constants as C
 from quillmark.functions import text as X
+from quillmark.operators.spread import attach
+from quillmark.session import stored
 
 VOCABULARY = 50_000
+#: Tokens that are looked up in place: all of a vocabulary up to this size, the most frequent ones of a larger one.
+IN_PLACE = 1 << 18
 _SLOTS = 1 << 16
 
 
@@ -45,21 +49,56 @@ def _lookup(vocab: DataFrame) -> DataFrame:
     return full.agg(F.transform(ordered, lambda s: F.map_from_entries(s["entries"])).alias("slots"))
 
 
-def encode_ids(df: DataFrame, vocab: DataFrame) -> DataFrame:
+def _in_place(slots: Column, token: Column) -> Column:
+    """The token's id, NULL if the table of `_lookup` hasn't it."""
+    ids = F.get(slots, F.pmod(F.xxhash64(token), F.lit(_SLOTS)).cast("int"))
+    return F.try_element_at(ids, token)
+
+
+def _framed(ids: Column) -> Column:
+    return F.concat(F.array(F.lit(C.BEGIN_ID)), ids, F.array(F.lit(C.END_ID)))
+
+
+def _with_mask(df: DataFrame) -> DataFrame:
+    return df.withColumn("attention_mask", F.array_repeat(F.lit(1).cast("tinyint"), F.size("input_ids")))
+
+
+def encode_ids(df: DataFrame, vocab: DataFrame, row_id: str = "row_id", in_place: int = IN_PLACE) -> DataFrame:
     """Add ``input_ids`` (begin, ids, end) and ``attention_mask`` to a table with ``tokens``.
 
-    Each id is looked up in place in a hashed table as large as the vocabulary, so rows are neither
-    exploded nor regrouped, and nothing is shuffled.
+    Ids of up to ``in_place`` tokens are looked up in place in a hashed table sent to every task, so rows are neither exploded nor
+    regrouped, and nothing is shuffled. Of a larger vocabulary its first tokens are, the most frequent ones; see `_by_join` for the
+    others, which needs a unique ``row_id``.
     """
-    unknown = F.lit(C.UNKNOWN_ID)
+    if vocab.count() > in_place:
+        return _by_join(df, vocab, row_id, in_place)
+    ids = F.transform("tokens", lambda t: F.coalesce(_in_place(F.col("_slots"), t), F.lit(C.UNKNOWN_ID)))
+    looked = df.withColumn("_slots", _lookup(vocab).scalar()).withColumn("input_ids", _framed(ids)).drop("_slots")
+    return _with_mask(looked)
+
 
-    def token_id(token):
-        ids = F.get(F.col("_slots"), F.pmod(F.xxhash64(token), F.lit(_SLOTS)).cast("int"))
-        return F.coalesce(F.try_element_at(ids, token), unknown)
+def _by_join(df: DataFrame, vocab: DataFrame, row_id: str, in_place: int) -> DataFrame:
+    """The same ids from a vocabulary of any size.
 
-    ids = F.concat(F.array(F.lit(C.BEGIN_ID)), F.transform("tokens", token_id), F.array(F.lit(C.END_ID)))
-    looked = df.withColumn("_slots", _lookup(vocab).scalar()).withColumn("input_ids", ids).drop("_slots")
-    return looked.withColumn("attention_mask", F.array_repeat(F.lit(1).cast("tinyint"), F.size("input_ids")))
+    What the table of frequent tokens doesn't hold is joined to the rest of the vocabulary by token, each token of a row once. Tokens
+    that many rows have although the vocabulary gives them a late place, or none, are dealt over several tasks. Ids come back as a
+    map for each row.
+    """
+    if row_id not in df.columns:
+        raise KeyError(f"a vocabulary of more than {in_place} tokens needs rows with a unique {row_id!r}")
+    border = C.FIRST_TOKEN_ID + in_place
+    first, rest = vocab.where(F.col("token_id") < border), vocab.where(F.col("token_id") >= border)
+    slots = _lookup(first).scalar()
+    missing = F.array_distinct(F.filter("tokens", lambda t: _in_place(F.col("_slots"), t).isNull()))
+    asked = df.select(row_id, "tokens").withColumn("_slots", slots).select(row_id, F.explode(missing).alias("token"))
+    found = attach(stored(asked, "tokens"), rest.select("token", "token_id"), "token", how="inner")
+    per_row = found.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_rare"))
+    both = df.join(per_row, row_id, "left").withColumn("_slots", slots)
+    ids = F.transform(
+        "tokens",
+        lambda t: F.coalesce(_in_place(F.col("_slots"), t), F.try_element_at("_rare", t), F.lit(C.UNKNOWN_ID)),
+    )
+    return _with_mask(both.withColumn("input_ids", _framed(ids)).drop("_slots", "_rare"))
 
 
 def keep_token_columns(df: DataFrame, extra: Sequence[str] = ("row_id",)) -> DataFrame:

@@ -303,6 +303,30 @@ def test_roc_without_collinear_points(spark):
     assert M.roc_curve(df).count() == 7
 
 
+def test_ids_from_a_vocabulary_of_millions(spark):
+    n = 5_000_000
+    vocab = spark.range(n).select(F.concat(F.lit("t"), "id").alias("token"), (F.col("id") + C.FIRST_TOKEN_ID).cast("int").alias("token_id"))
+    data = [(i, [f"t{i}", "t0", f"t{n - 1 - i}", "nowhere", f"t{4_000_000}", f"t{i}"] if i % 5 else []) for i in range(200)]
+    df = spark.createDataFrame(data, "row_id long, tokens array<string>")
+    got = {r["row_id"]: r["input_ids"] for r in K.encode_ids(df, vocab, in_place=1000).collect()}
+    shift = C.FIRST_TOKEN_ID
+    for i, tokens in data:
+        body = [i + shift, shift, n - 1 - i + shift, C.UNKNOWN_ID, 4_000_000 + shift, i + shift] if tokens else []
+        assert got[i] == [C.BEGIN_ID, *body, C.END_ID]
+    with pytest.raises(KeyError, match="unique"):
+        K.encode_ids(df.drop("row_id"), vocab, in_place=1000)
+
+
+def test_ids_are_the_same_either_way(spark):
+    rng = random.Random(2)
+    data = [(i, [f"w{min(int(rng.expovariate(0.05)), 300)}" for _ in range(rng.randint(0, 40))]) for i in range(400)]
+    df = spark.createDataFrame(data, "row_id long, tokens array<string>")
+    vocab = spark.createDataFrame([(f"w{i}", i + C.FIRST_TOKEN_ID) for i in range(0, 250)], "token string, token_id int")
+    one = {r["row_id"]: (r["input_ids"], r["attention_mask"]) for r in K.encode_ids(df, vocab).collect()}
+    two = {r["row_id"]: (r["input_ids"], r["attention_mask"]) for r in K.encode_ids(df, vocab, in_place=10).collect()}
+    assert one == two
+
+
 def test_scores_merge_and_sum_up(spark):
     rng = random.Random(4)
     data = [(i, rng.randint(0, 1), rng.randint(0, 40) / 40, ["a", "b", None][rng.randint(0, 2)]) for i in range(900)]

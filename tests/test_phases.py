@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.operators import clean as CL
 from quillmark.operators import history as H
 from quillmark.operators import model as MO
 from quillmark.plans import phases as PH
@@ -154,6 +155,30 @@ def test_stream_equals_batch_and_continues(spark, folders):
     assert second == batch and len(first) == rows.where("row_id % 2 = 0").count() and spark.read.parquet(sink).count() == len(batch)
 
 
+def test_stream_rejects_as_the_batch_and_can_be_replayed(spark, folders):
+    model, _ = A.load_model(spark, str(folders / "run"))
+    source, sink, rejects = (str(folders / n) for n in ("in2", "out2", "rejects2"))
+    data = [(i, i % 2, None if i % 7 == 0 else " \n" if i % 7 == 1 else snippet(i)) for i in range(70)]
+    rows = spark.createDataFrame(data, ST.SNIPPET_SCHEMA)
+    rows.repartition(3).write.parquet(source)
+    ST.classify_stream(
+        spark, source, model, sink, str(folders / "checkpoint2"), max_files_per_trigger=1, rejects_dir=rejects
+    ).awaitTermination()
+
+    def tables():
+        return [sorted(r["row_id"] for r in spark.read.parquet(p).collect()) for p in (sink, rejects)]
+
+    good, bad = CL.reject_blank(rows)
+    assert tables() == [sorted(r["row_id"] for r in good.collect()), sorted(r["row_id"] for r in bad.collect())]
+    before = tables()
+    for batch in range(3):  # a batch run again, with the rows it had
+        kept = [spark.read.parquet(f"{p}/batch_id={batch}").select("row_id") for p in (sink, rejects)]
+        held = rows.join(kept[0].union(kept[1]), "row_id").select(*rows.columns).collect()
+        again = spark.createDataFrame(held, ST.SNIPPET_SCHEMA)
+        ST.write_batch(again, batch, model, sink, rejects_dir=rejects)
+    assert tables() == before
+
+
 def test_early_stopping_of_training(spark, folders):
     same = [MO.Candidate(0.1, 5)] * 5
     out = PH.train(spark, str(folders / "splits"), str(folders / "run2"), MO.RunConfig(num_features=256), same, limit_train=60)
