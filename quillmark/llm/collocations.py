@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,9 @@ from quillmark.session import stored
 LONGEST = 3
 #: Words of a chunk, about.
 EVERY = 24
-#: Bytes of chunks, and weighted phrases, that a task gathers before it sends them on.
-CHUNK_BYTES, PACK = 48 << 20, 4_000_000
-#: Phrases of one bucket of the weeding step, about, and the bits of its table (a power of two): the only thing sent to every task.
+#: Bytes of chunks, weighted phrases, and unlike phrases that a task gathers before it sends them on.
+CHUNK_BYTES, PACK, HELD = 24 << 20, 2_000_000, 700_000
+#: Phrases of one bucket, about, when they are weighed and counted, and the bits of its table (a power of two): the only thing sent to every task.
 BUCKET, TABLE_BITS = 2_000_000, 27
 #: Parts of a language among which its first phrases are looked for.
 PARTS = 64
@@ -39,7 +40,7 @@ _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
 _ROLE = np.random.default_rng(29).integers(0, 1 << 64, LONGEST + 1, dtype=np.uint64) | _U(1)
 _CHUNKS = "lang string, overlap int, chunk string, n_words bigint, n bigint"
-_PHRASES = "lang string, size int, phrase string, n bigint"
+_PHRASES = "lang string, size int, phrase string, f bigint"
 
 
 class _Stream:
@@ -209,13 +210,18 @@ def _as_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.rename_columns(["text" if c == "chunk" else c for c in batch.schema.names])
 
 
+def _bucket_bits(n_words: int) -> int:
+    """Bits of the number of buckets; it follows the data."""
+    return min(max(6, (LONGEST * n_words // BUCKET).bit_length()), TABLE_BITS - 3)
+
+
 def _table(dictionary: DataFrame, n_words: int, enough: int) -> np.ndarray:
     """Bits, by the leading bits of a phrase's hash: may it occur ``enough`` times?
 
     A bit is set for every phrase that does, and for one that shares 32 bits beyond its bucket's or its bit with another: the table
     has a fixed size, so the more there is to know, the less it weeds out. What it lets through is counted exactly.
     """
-    bucket_bits = min(max(6, (LONGEST * n_words // BUCKET).bit_length()), TABLE_BITS - 3)
+    bucket_bits = _bucket_bits(n_words)
     packs = dictionary.mapInArrow(_weigher(bucket_bits, enough), "bucket int, data binary")
     shift = 32 + bucket_bits - TABLE_BITS
 
@@ -240,35 +246,64 @@ def _table(dictionary: DataFrame, n_words: int, enough: int) -> np.ndarray:
     return out
 
 
-def _counter(table):
-    """Counts, as text, the phrases of a task's entries that ``table`` lets through."""
+def _counter(table, buckets: int):
+    """Counts, as text, the phrases of a task's entries that ``table`` lets through; packed by bucket, a language before each phrase."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
+        held: dict[bytes, int] = {}
 
         def sent() -> pa.RecordBatch:
-            langs, sizes, found = zip(*held) if held else ((), (), ())
+            keys, counts = list(held), np.fromiter(held.values(), np.int64, len(held))
+            bucket = np.fromiter(map(crc32, keys), np.int64, len(keys)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            cuts = pa.array(np.append(starts, len(bucket)), pa.int32())
+            phrases = pa.array(keys, pa.binary()).take(pa.array(order))
             return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary()).cast(pa.string()),
-                 pa.array(held.values(), pa.int64())], ["lang", "size", "phrase", "n"],
+                [pa.array(bucket[starts], pa.int32()), pa.ListArray.from_arrays(cuts, phrases), pa.ListArray.from_arrays(cuts, pa.array(counts[order]))],
+                ["bucket", "phrases", "counts"],
             )
 
         bits = table.value
         for batch, found in pieces(_as_texts(batches)):
             entries = _Entries(batch, found)
             stream = entries.stream
+            names = [x.encode() + b"\n" for x in entries.langs]
             for size in range(1, LONGEST + 1):
                 hashed, at = stream.phrases(size, entries.seed, entries.begins)
                 key = (hashed >> _U(64 - TABLE_BITS)).astype(np.int64)
                 at = at[(bits[key >> 3] >> (7 - (key & 7)).astype(np.uint8)) & 1 == 1]
                 begin, end = stream.starts[at].tolist(), stream.ends[at + size - 1].tolist()
                 for e, a, b, w in zip(entries.entry[at].tolist(), begin, end, entries.weight[at].tolist()):
-                    key = (entries.langs[e], size, stream.data[a:b])
+                    key = names[e] + stream.data[a:b]
                     held[key] = held.get(key, 0) + w
-            if len(held) > 1_000_000:
+            if len(held) > HELD:
                 yield sent()
                 held = {}
-        yield sent()
+        if held:
+            yield sent()
+
+    return run
+
+
+def _summed(enough: int):
+    """The phrases of a bucket that occur often enough, with how often."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = pa.table({c: pc.list_flatten(table.column(c).combine_chunks()) for c in ("phrases", "counts")})
+        total = flat.group_by("phrases").aggregate([("counts", "sum")])
+        total = total.filter(pc.greater_equal(total.column("counts_sum"), enough))
+        names, phrases = [], []
+        for key in total.column("phrases").to_pylist():
+            name, _, phrase = key.rpartition(b"\n")
+            names.append(name.decode())
+            phrases.append(phrase.decode())
+        sizes = [x.count(" ") + 1 for x in phrases]
+        return pa.table({
+            "lang": pa.array(names, pa.string()), "size": pa.array(sizes, pa.int32()), "phrase": pa.array(phrases, pa.string()),
+            "f": total.column("counts_sum").cast(pa.int64()),
+        })
 
     return run
 
@@ -277,8 +312,8 @@ def phrase_counts(dictionary: DataFrame, enough: int) -> DataFrame:
     """(lang, size, phrase, f) of all phrases of one to three words that occur at least ``enough`` times."""
     n_words = dictionary.agg(F.sum("n_words")).first()[0] or 0
     table = dictionary.sparkSession.sparkContext.broadcast(_table(dictionary, n_words, enough))
-    each = dictionary.mapInArrow(_counter(table), _PHRASES)
-    return each.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= enough)
+    packs = dictionary.mapInArrow(_counter(table, 1 << _bucket_bits(n_words)), "bucket int, phrases array<binary>, counts array<bigint>")
+    return packs.groupBy("bucket").applyInArrow(_summed(enough), _PHRASES)
 
 
 @dataclass(frozen=True)
@@ -299,7 +334,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def scored_phrases(counts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(lang, phrase, a, l, r, score) of the candidates among `phrase_counts` that no longer one stands for."""
-    key = F.concat_ws("\n", "lang", "phrase").alias("key")  # neither holds a line break
+    key = F.concat_ws("\n", "lang", "phrase").alias("key")  # a phrase holds no line break
     known = stored(counts.select(F.col("lang"), "size", "phrase", "f", key), "phrases")
     candidates = known.where("size > 1").select("lang", "phrase", F.col("f").alias("a"), "size", F.split("phrase", " ").alias("w"))
 
