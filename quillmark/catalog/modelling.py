@@ -91,7 +91,7 @@ def score(spark, sf_dir):
     """Every row keeps its key and label, gets a probability, and a class by the inclusive threshold."""
     run, splits = _run(spark, sf_dir)
     model, config = A.load_model(spark, run)
-    scored = MO.score(spark.read.parquet(splits), model, config["decision_threshold"])
+    scored = MO.score(A.scan_splits(spark, splits), model, config["decision_threshold"])
     return scored.select(
         "row_id",
         "label",
@@ -106,7 +106,7 @@ def score_probabilities(spark, sf_dir):
     """Probabilities of a fitted, saved and loaded model, on texts of two words."""
     run, splits = _exact_run(spark, sf_dir)
     model, config = A.load_model(spark, run)
-    scored = MO.score(spark.read.parquet(splits), model, config["decision_threshold"])
+    scored = MO.score(A.scan_splits(spark, splits), model, config["decision_threshold"])
     return scored.select("row_id", "label", _near("prob_ai").alias("prob_ai"), "prediction")
 
 
@@ -123,7 +123,7 @@ def score_keeps_columns(spark, sf_dir):
     """Scored twice, with columns that a model might use itself: all come back as they were."""
     run, splits = _run(spark, sf_dir)
     model, _ = A.load_model(spark, run)
-    rows = spark.read.parquet(splits).select(
+    rows = A.scan_splits(spark, splits).select(
         "row_id", "label", F.concat(F.lit("x"), "code").alias("code"), F.col("language").alias("tokens"), F.lit(7).alias("probability"),
         F.col("code").alias("text"),
     )

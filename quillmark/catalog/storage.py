@@ -193,7 +193,7 @@ def prepare(spark, sf_dir):
     """Raw files to splits. Files are written in the order of documents, so ids count the documents of each folder in turn."""
     interim, splits = scratch_path(spark, "interim"), scratch_path(spark, "splits")
     PH.prepare(spark, _raw_folder(spark, sf_dir), interim, splits, languages=("en", "fr"), min_length=30)
-    parts = spark.read.parquet(splits)
+    parts = A.scan_splits(spark, splits)
     return parts.select("row_id", F.col("split").cast("string").alias("split"), "label", F.md5("code").alias("code_md5"))
 
 
@@ -201,9 +201,11 @@ def prepare(spark, sf_dir):
 WITH {B.DOCS} SELECT row_id, language, md5(code) AS code_md5 FROM docs
 WHERE row_id IN (SELECT min(row_id) FROM docs GROUP BY code) AND length(trim(code, {B.SQL_BLANK})) >= 3""")
 def write_interim(spark, sf_dir):
+    """The table of all documents, replaced by what cleaning leaves of itself."""
     path = scratch_path(spark, "interim")
-    A.write_interim(CL.clean(B.documents(spark, sf_dir)), path)
-    return spark.read.parquet(path).select("row_id", "language", F.md5("code").alias("code_md5"))
+    A.write_interim(B.documents(spark, sf_dir), path)
+    A.write_interim(CL.clean(A.scan_interim(spark, path)), path)
+    return A.scan_interim(spark, path).select("row_id", "language", F.md5("code").alias("code_md5"))
 
 
 def _stored_splits(spark, sf_dir) -> str:
@@ -214,7 +216,7 @@ def _stored_splits(spark, sf_dir) -> str:
 
 @B.register("write_splits", f"WITH {B.SNIPS}, {B.sql_split('snips', 'label')} SELECT row_id, label, split FROM parted")
 def write_splits(spark, sf_dir):
-    stored = spark.read.parquet(_stored_splits(spark, sf_dir))
+    stored = A.scan_splits(spark, _stored_splits(spark, sf_dir))
     return stored.select("row_id", "label", F.col("split").cast("string").alias("split"))
 
 
@@ -349,6 +351,22 @@ def compare_runs(spark, sf_dir):
     )
 
 
+@B.register("list_reports", f"""
+WITH {ME._ERRORS}, e AS (SELECT count(*) AS n FROM errs WHERE NOT is_correct), l AS (SELECT count(DISTINCT lang) AS n FROM documents)
+SELECT 'errors' AS name, 'error_summary' AS kind, NULL::BIGINT AS n_rows UNION ALL SELECT 'half', 'metrics', NULL
+UNION ALL SELECT 'third', 'metrics', NULL UNION ALL SELECT 'other', 'raw', NULL
+UNION ALL SELECT 'lists/all', 'errors', n FROM e UNION ALL SELECT 'lists/first', 'errors', least(n, 15) FROM e
+UNION ALL SELECT 'languages', 'csv', n FROM l""")
+def list_reports(spark, sf_dir):
+    """Bundles, a summary, error lists in one file and in several, and a table of another kind."""
+    path = _reports(spark, sf_dir)
+    table = E.error_table(B.predictions(spark, sf_dir))
+    A.write_errors_csv(table, f"{path}/lists/first", 15)
+    A.write_errors_csv(table, f"{path}/lists/all", None)
+    B.documents(spark, sf_dir).groupBy("language").agg(F.count("*").alias("n")).write.options(**_CSV).csv(f"{path}/languages")
+    return PH.list_reports(spark, path)
+
+
 @B.register("scan_history", """
 WITH h AS (SELECT l_suppkey AS run_id, (year(l_shipdate) * 12 + month(l_shipdate))::INTEGER AS epoch,
                   sum(l_quantity::BIGINT)::DOUBLE / count(*) AS val_loss FROM lineitem GROUP BY ALL)
@@ -367,7 +385,7 @@ def analyze(spark, sf_dir):
     """The analysis phase on stored tables; its split table is shown."""
     interim, splits = scratch_path(spark, "interim"), scratch_path(spark, "splits")
     A.write_interim(CL.clean(B.snippets(spark, sf_dir)), interim)
-    A.write_splits(SP.stratified_split(spark.read.parquet(interim)), splits)
+    A.write_splits(SP.stratified_split(A.scan_interim(spark, interim)), splits)
     return PH.analyze(spark, interim, splits).balance_by_split
 
 

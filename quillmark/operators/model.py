@@ -120,6 +120,18 @@ class Selection:
     best_val_loss: float
 
 
+def _selection_key(
+    train: DataFrame, validation: DataFrame, config: RunConfig, candidates: Sequence[Candidate], run_id: str
+) -> str:
+    """What a selection depends on: settings, and a checksum of the rows."""
+
+    def checksum(rows: DataFrame) -> str:
+        row = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("label", "code")).alias("x"), F.sum(F.xxhash64("code") % 1_000_003).alias("s"))
+        return str(tuple(row.first()))
+
+    return repr((run_id, asdict(config), [asdict(c) for c in candidates], checksum(train), checksum(validation)))
+
+
 def select_best_model(
     train: DataFrame, validation: DataFrame, config: RunConfig = RunConfig(),
     candidates: Sequence[Candidate] = DEFAULT_CANDIDATES, run_dir: str | None = None, run_id: str = "run",
@@ -127,19 +139,36 @@ def select_best_model(
     """Try the candidates in order, keep the one with the lowest validation loss, stop when patience ends.
 
     A step improves only if it lowers the best loss by more than the tolerance. Hashed counts are written
-    once, so each step reads vectors instead of texts. With a ``run_dir`` every improvement is saved with the
-    history up to it, and the full history at the end.
+    once, so each step reads vectors instead of texts. With a ``run_dir`` every improvement is saved, then the history up to the step;
+    a run that was cut off goes on after its last finished step, if settings and rows are the same.
     """
     if not candidates:
         raise ValueError("no candidates to choose from")
     spark = train.sparkSession
-    train_counts = _counts(train, config, "train-counts")
-    val_counts = _counts(validation, config, "validation-counts")
-    idf = _fit_idf(train_counts)
-
     history: list[tuple] = []
+    if run_dir:
+        key = _selection_key(train, validation, config, candidates, run_id)
+        if A.scan_selection(spark, run_dir) == key:
+            # As many rows as candidates were tried.
+            history = [tuple(r) for r in A.scan_history(spark, run_dir).orderBy("epoch").collect()]
+        else:
+            A.write_history(spark.createDataFrame([], A.HISTORY_SCHEMA), run_dir)
+            A.write_selection(spark, key, run_dir)
     best, best_epoch, best_loss, bad = None, 0, float("inf"), 0
-    for epoch, candidate in enumerate(candidates, start=1):
+    for row in history:
+        epoch, val_loss = row[1], row[3]
+        if val_loss < best_loss - C.MIN_IMPROVEMENT:
+            best_epoch, best_loss, bad = epoch, val_loss, 0
+        else:
+            bad += 1
+    if history:
+        best = A.load_model(spark, run_dir)[0]
+    left = [] if bad >= config.early_stop_patience else list(enumerate(candidates, start=1))[len(history):]
+    if left:
+        train_counts = _counts(train, config, "train-counts")
+        val_counts = _counts(validation, config, "validation-counts")
+        idf = _fit_idf(train_counts)
+    for epoch, candidate in left:
         started = time.time()
         fitted = _regression(candidate).fit(idf.transform(train_counts))
 
@@ -149,25 +178,25 @@ def select_best_model(
 
         train_loss = M.mean_bce_loss(scored(train_counts)).first()["loss"]
         val_scored = stored(scored(val_counts), "validation-scores")
-        M.validate_predictions(val_scored)
         val_loss = M.mean_bce_loss(val_scored).first()["loss"]
-        bundle = M.nested_bundle(M.metric_bundle(val_scored, config.decision_threshold)).first()
+        scores = M.score_table(val_scored)
+        M.validate_predictions(scores)
+        bundle = M.nested_bundle(M.metric_bundle(scores, config.decision_threshold)).first()
         seconds = time.time() - started
         history.append((run_id, epoch, train_loss, val_loss, bundle, None, candidate.reg_param, seconds))
-        if val_loss < best_loss - C.MIN_IMPROVEMENT:
+        improved = val_loss < best_loss - C.MIN_IMPROVEMENT
+        if improved:
             best, best_epoch, best_loss, bad = PipelineModel([*_hashing(config), idf, fitted]), epoch, val_loss, 0
-            if run_dir:
-                A.save_model(best, run_dir)
-                A.write_config(spark, asdict(config), run_dir)
-                A.write_history(spark.createDataFrame(history, A.HISTORY_SCHEMA), run_dir)
         else:
             bad += 1
-            if bad >= config.early_stop_patience:
-                break
-    table = spark.createDataFrame(history, A.HISTORY_SCHEMA)
-    if run_dir:
-        A.write_history(table, run_dir)
-    return Selection(best, table, best_epoch, best_loss)
+        if run_dir:
+            if improved:  # before the history, so that a step which is in the history has its model
+                A.save_model(best, run_dir)
+                A.write_config(spark, asdict(config), run_dir)
+            A.write_history(spark.createDataFrame(history, A.HISTORY_SCHEMA), run_dir)
+        if bad >= config.early_stop_patience:
+            break
+    return Selection(best, spark.createDataFrame(history, A.HISTORY_SCHEMA), best_epoch, best_loss)
 
 
 def verdicts(df: DataFrame, predictor: Predictor, threshold: float, max_tokens: int, code: str = "code") -> DataFrame:

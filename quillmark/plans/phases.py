@@ -49,9 +49,9 @@ def prepare(
     target = bronze.where(F.col("in_language").cast("boolean")).drop("in_language")
     kept = CL.filter_language(N.mint_row_ids(target), languages)
     A.write_interim(CL.clean(kept, min_length), interim_path)
-    cleaned = spark.read.parquet(interim_path)
+    cleaned = A.scan_interim(spark, interim_path)
     A.write_splits(SP.stratified_split(cleaned, ratios=ratios, seed=seed), split_path)
-    splits = spark.read.parquet(split_path)
+    splits = A.scan_splits(spark, split_path)
     return Prepared(
         raw_balance=P.class_balance(bronze),
         languages=P.distinct_languages(bronze),
@@ -73,7 +73,7 @@ class Analysis:
 
 def analyze(spark: SparkSession, interim_path: str, split_path: str) -> Analysis:
     """Tables and plot data of the cleaned dataset. Lengths are computed in one scan of the texts."""
-    cleaned = spark.read.parquet(interim_path)
+    cleaned = A.scan_interim(spark, interim_path)
     tagged = P.with_label_name(P.tag_split(cleaned, A.scan_code_only(spark, split_path)))
     counts_path = scratch_path(spark, "length-counts")
     P.length_counts(P.length_features(P.with_label_name(cleaned))).write.parquet(counts_path)
@@ -93,7 +93,7 @@ def tokenize(
     vocab_size: int = K.VOCABULARY,
 ) -> DataFrame:
     """Encode all splits with the vocabulary of the train split; returns the length summary."""
-    splits = spark.read.parquet(split_path)
+    splits = A.scan_splits(spark, split_path)
     K.build_vocab(splits.where("split = 'train'"), vocab_size).write.mode("overwrite").parquet(vocab_path)
     encoded = K.encode_ids(K.tokenize(splits, max_length), spark.read.parquet(vocab_path))
     A.write_tokenized(encoded, out_path)
@@ -208,3 +208,8 @@ def compare_runs(spark: SparkSession, reports_dir: str) -> DataFrame:
     bundles = A.parse_metrics(A.scan_metric_files(spark, reports_dir))
     long = M.metrics_to_long(bundles, by=["name"])
     return long.groupBy("name").pivot("metric", list(M.REPORT_ROWS)).agg(F.first("value")).orderBy("name")
+
+
+def list_reports(spark: SparkSession, reports_dir: str) -> DataFrame:
+    """(name, kind, n_rows) of everything saved below a folder, error lists included."""
+    return A.scan_reports(spark, reports_dir).select("name", "kind", "n_rows").orderBy("name")

@@ -17,6 +17,8 @@ from quillmark.functions import text as X
 from quillmark.operators import errors as E
 from quillmark.operators import metrics as M
 from quillmark.operators import tokens as K
+from quillmark.sources import files as S
+from quillmark.sources import versions as V
 
 _CLASS = T.StructType(
     [T.StructField(f, T.DoubleType()) for f in ("precision", "recall", "f1")] + [T.StructField("support", T.LongType())]
@@ -83,18 +85,26 @@ def _read(reader, path: str, missing: str) -> DataFrame:
 
 
 def write_interim(df: DataFrame, path: str) -> None:
-    """Cleaned table, replacing an older one. Must not be the folder ``df`` is read from."""
-    df.write.mode("overwrite").parquet(path)
+    """Cleaned table, replacing an older one, also one that ``df`` is read from."""
+    V.replace_table(df, path)
+
+
+def scan_interim(spark: SparkSession, path: str) -> DataFrame:
+    return _read(lambda p: V.read_table(spark, p), path, "no cleaned table")
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """One folder per split, so that reading one split reads only its files."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    """One folder per split, so that reading one split reads only its files. Replaces an older table, also its own source."""
+    V.replace_table(df, path, "split")
+
+
+def _splits(spark: SparkSession, path: str) -> DataFrame:
+    return _read(lambda p: V.read_table(spark, p), path, "no splits")
 
 
 def scan_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """Rows of one split; a split that was never written is an error."""
-    table = _read(spark.read.parquet, path, "no splits")
+    table = _splits(spark, path)
     part = table.where(F.col("split") == split)
     if part.select("split").limit(1).count() == 0:
         raise FileNotFoundError(f"no split {split!r} in {path}")
@@ -103,7 +113,7 @@ def scan_split(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 def scan_splits(spark: SparkSession, path: str, splits: Sequence[str] = C.SPLITS) -> DataFrame:
     """Rows of several splits; a split that was never written is an error."""
-    table = _read(spark.read.parquet, path, "no splits")
+    table = _splits(spark, path)
     named = table.withColumn("split", F.col("split").cast("string")).where(F.col("split").isin(*splits))
     # As many rows as there are splits.
     missing = set(splits) - {r[0] for r in named.select("split").distinct().collect()}
@@ -114,7 +124,7 @@ def scan_splits(spark: SparkSession, path: str, splits: Sequence[str] = C.SPLITS
 
 def scan_code_only(spark: SparkSession, path: str) -> DataFrame:
     """Text and split only; no other column is read."""
-    return _read(spark.read.parquet, path, "no splits").select("code", F.col("split").cast("string").alias("split"))
+    return _splits(spark, path).select("code", F.col("split").cast("string").alias("split"))
 
 
 def write_tokenized(df: DataFrame, path: str) -> None:
@@ -195,6 +205,34 @@ def scan_metric_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(name, r"\.json$", "").alias("name"), kind.alias("kind"), "payload")
 
 
+def scan_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, n_rows, payload): every JSON document, and every CSV table with a header, below ``path``.
+
+    A CSV file's kind is ``errors`` if its header is that of the error report, else ``csv``; ``n_rows`` counts its records, and those
+    of a folder Spark wrote together. JSON documents have no row count, CSV tables no payload.
+    """
+    suffixes = {r["suffix"] for r in S.discover_files(spark, path, ["json", "csv"]).select("suffix").distinct().collect()}
+    if not suffixes:
+        raise FileNotFoundError(f"no reports below {path}")
+    columns = "name string, kind string, n_rows bigint, payload string"
+    found = spark.createDataFrame([], columns)
+    if "json" in suffixes:
+        documents = scan_metric_files(spark, path)
+        found = found.unionByName(documents.withColumn("n_rows", F.lit(None).cast("bigint")))
+    if "csv" in suffixes:
+        rows, headers = S.scan_delimited(spark, path, "*.[cC][sS][vV]", ",")
+        counts = rows.groupBy(S.SOURCE_FILE).agg(F.count("*").alias("n"))
+        files = headers.join(counts, S.SOURCE_FILE, "left")
+        name = F.regexp_replace(F.regexp_replace(S.SOURCE_FILE, r"/part-[^/]*$", ""), r"\.[cC][sS][vV]$", "")
+        # a folder that is itself a table is named by itself
+        name = F.when(F.startswith(S.SOURCE_FILE, F.lit("part-")), path.rstrip("/").rsplit("/", 1)[-1]).otherwise(name)
+        is_errors = F.col("names") == F.array(*map(F.lit, ERROR_COLUMNS))
+        kind = F.when(F.bool_and(is_errors), "errors").otherwise("csv")
+        tables = files.groupBy(name.alias("name")).agg(kind.alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"))
+        found = found.unionByName(tables.withColumn("payload", F.lit(None).cast("string")))
+    return found
+
+
 def parse_metrics(documents: DataFrame) -> DataFrame:
     """Flat bundles of the metric documents."""
     b = documents.where("kind = 'metrics'").select("name", F.from_json("payload", METRICS_SCHEMA).alias("b"))
@@ -210,19 +248,37 @@ def parse_metrics(documents: DataFrame) -> DataFrame:
 
 
 def write_history(history: DataFrame, run_dir: str) -> None:
-    history.write.mode("overwrite").json(f"{run_dir}/training_history")
+    """Records of all epochs so far, replacing those of before."""
+    path = f"{run_dir}/training_history"
+    version, folder = V.new_version(path)
+    history.write.json(folder)
+    V.publish(history.sparkSession, path, version)
 
 
 def scan_history(spark: SparkSession, run_dir: str) -> DataFrame:
     """Per-epoch records of a run; no rows if it has none."""
     try:
-        return spark.read.schema(HISTORY_SCHEMA).json(f"{run_dir}/training_history")
+        return spark.read.schema(HISTORY_SCHEMA).json(V.current(spark, f"{run_dir}/training_history"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
+def write_selection(spark: SparkSession, key: str, run_dir: str) -> None:
+    """Name what is being selected from, for `scan_selection` after a restart."""
+    V.replace_table(spark.range(1).select(F.lit(key).alias("key")), f"{run_dir}/selection")
+
+
+def scan_selection(spark: SparkSession, run_dir: str) -> str | None:
+    try:
+        return V.read_table(spark, f"{run_dir}/selection").first()["key"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 CONFIG_SCHEMA = T.StructType(
     [
         T.StructField("num_features", T.IntegerType()),
@@ -249,10 +305,14 @@ def scan_config(spark: SparkSession, run_dir: str) -> DataFrame:
 
 
 def save_model(model: PipelineModel, run_dir: str) -> None:
-    model.write().overwrite().save(f"{run_dir}/model")
+    """Save a model in place of an older one, which counts until this one is complete."""
+    path = f"{run_dir}/model"
+    version, folder = V.new_version(path)
+    model.write().save(folder)
+    V.publish(SparkSession.active(), path, version)
 
 
 def load_model(spark: SparkSession, run_dir: str) -> tuple[PipelineModel, dict]:
     """(model, settings) of a saved run."""
     config = scan_config(spark, run_dir).first().asDict()
-    return PipelineModel.load(f"{run_dir}/model"), config
+    return PipelineModel.load(V.current(spark, f"{run_dir}/model")), config

@@ -43,7 +43,7 @@ def test_prepare(spark, folders):
     assert (kept["n_total"], kept["n_language"], kept["dropped_short"], kept["dropped_duplicates"], kept["n_conflicting"]) == (
         N + 3, 183, 2, 1, 1,
     )
-    assert sum(r["n"] for r in out.split_balance.collect()) == 180 == spark.read.parquet(str(folders / "interim2")).count()
+    assert sum(r["n"] for r in out.split_balance.collect()) == 180 == A.scan_interim(spark, str(folders / "interim2")).count()
 
 
 def test_analyze(spark, folders):
@@ -141,7 +141,7 @@ def test_classify_files(spark, folders):
 def test_stream_equals_batch_and_continues(spark, folders):
     model, config = A.load_model(spark, str(folders / "run"))
     source, sink, checkpoint = (str(folders / n) for n in ("in", "out", "checkpoint"))
-    rows = spark.read.parquet(str(folders / "splits")).select("row_id", "label", "code")
+    rows = A.scan_splits(spark, str(folders / "splits")).select("row_id", "label", "code")
 
     def run():
         ST.classify_stream(spark, source, model, sink, checkpoint, max_files_per_trigger=1).awaitTermination()
@@ -183,3 +183,59 @@ def test_early_stopping_of_training(spark, folders):
     same = [MO.Candidate(0.1, 5)] * 5
     out = PH.train(spark, str(folders / "splits"), str(folders / "run2"), MO.RunConfig(num_features=256), same, limit_train=60)
     assert out.best_epoch == 1 and out.history.count() == 3
+
+
+def test_a_cut_off_selection_goes_on(spark, folders, monkeypatch):
+    splits, config = str(folders / "splits"), MO.RunConfig(num_features=512, early_stop_patience=3)
+    candidates = [MO.Candidate(r, 10) for r in (1.0, 0.1, 0.01, 0.001)]
+    fitted = []
+    plain = MO._regression
+    monkeypatch.setattr(MO, "_regression", lambda c: fitted.append(c.reg_param) or plain(c))
+
+    def run(name):
+        return PH.train(spark, splits, str(folders / name), config, candidates)
+
+    def shown(selection):
+        return [tuple(r)[:7] for r in selection.history.orderBy("epoch").collect()]
+
+    whole = run("whole")
+    assert fitted == [1.0, 0.1, 0.01, 0.001]
+
+    def cut(candidate):
+        if candidate.reg_param == 0.01:
+            raise KeyboardInterrupt
+        return plain(candidate)
+
+    monkeypatch.setattr(MO, "_regression", cut)
+    with pytest.raises(KeyboardInterrupt):
+        run("cut")
+    assert A.scan_history(spark, str(folders / "cut")).count() == 2
+    fitted.clear()
+    monkeypatch.setattr(MO, "_regression", lambda c: fitted.append(c.reg_param) or plain(c))
+    resumed = run("cut")
+    assert fitted == [0.01, 0.001]
+    assert shown(resumed) == shown(whole) and (resumed.best_epoch, resumed.best_val_loss) == (whole.best_epoch, whole.best_val_loss)
+    rows = A.scan_split(spark, splits, "test")
+
+    def scores(model):
+        return [r["prob_ai"] for r in MO.score(rows, model).orderBy("row_id").collect()]
+
+    assert scores(resumed.model) == scores(whole.model)
+    fitted.clear()
+    again = run("cut")
+    assert fitted == [] and shown(again) == shown(whole)
+    PH.train(spark, splits, str(folders / "cut"), config, candidates[1:])
+    assert fitted == [0.1, 0.01, 0.001], "other candidates are another selection"
+
+
+def test_reports_of_all_kinds_are_listed(spark, folders, tmp_path):
+    splits, predictions = str(folders / "splits"), str(folders / "predictions-listed")
+    PH.evaluate(spark, splits, str(folders / "run"), predictions, str(tmp_path / "one"), threshold=1.1)
+    top, summary = PH.analyze_errors(spark, predictions, splits, csv_path=str(tmp_path / "sub" / "wrong"), summary_path=str(tmp_path / "sum"))
+    (tmp_path / "plain.CSV").write_text('a,b\n1,"x\ny"\n2,z\n')
+    listed = {tuple(r) for r in PH.list_reports(spark, str(tmp_path)).collect()}
+    n = summary.first()["n_errors"]
+    assert n and listed == {("one", "metrics", None), ("sum", "error_summary", None), ("sub/wrong", "errors", n), ("plain", "csv", 2)}
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        PH.list_reports(spark, str(tmp_path / "none"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark import constants as C
 from quillmark.operators import normalize as N
+from quillmark.sources import artifacts as A
 from quillmark.sources import files as S
 
 
@@ -326,3 +327,30 @@ def test_a_scan_per_format_not_per_layout(spark, tmp_path):
     assert sorted(rows(df, "code", "label")) == sorted(expected)
     united = S.union_files(spark, str(tmp_path))
     assert len(united.columns) == 7 + 5 + 200 + 3 and united.count() == 500
+
+
+def test_a_table_replaces_its_own_source(spark, tmp_path):
+    path = str(tmp_path / "table")
+    A.write_interim(spark.range(10).withColumnRenamed("id", "row_id"), path)
+    A.write_interim(A.scan_interim(spark, path).where("row_id % 2 = 0"), path)
+    A.write_interim(A.scan_interim(spark, path).withColumn("x", F.col("row_id") * 2), path)
+    assert sorted(rows(A.scan_interim(spark, path), "row_id", "x")) == [(i, 2 * i) for i in range(0, 10, 2)]
+
+
+def test_a_cut_off_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    good = spark.range(10).selectExpr("id AS row_id", "'s' || id % 2 AS split")
+    A.write_splits(good, path)
+    bad = spark.range(1000).repartition(8).selectExpr("id AS row_id", "if(id = 999, raise_error('cut'), 'x') AS split")
+    with pytest.raises(Exception, match="cut"):
+        A.write_splits(bad, path)
+    (tmp_path / "table" / "versions" / "half").mkdir()
+    (tmp_path / "table" / "versions" / "half" / "part-0.parquet").write_bytes(b"PAR1 half")
+    assert A.scan_splits(spark, path, ["s0", "s1"]).count() == 10
+    with pytest.raises(FileNotFoundError):
+        A.scan_interim(spark, str(tmp_path / "none"))
+
+
+def test_a_plain_folder_is_read_as_it_is(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    assert A.scan_interim(spark, str(tmp_path / "plain")).count() == 3
