@@ -162,9 +162,19 @@ class _Stock:
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences that hold pieces of these lengths), for so many pieces of each length."""
+    """(lengths, number of sequences that hold pieces of these lengths), for so many pieces of each length.
+
+    Exact complements can use up small pieces that best fit would need later; so plans with singles, pairs and triples, without
+    triples, without pairs, and by best fit alone are made from the same counts, and the one with the fewest sequences is taken.
+    """
+    plans = [_plan(counts, capacity, kinds) for kinds in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, kinds: int) -> list[tuple[tuple[int, ...], int]]:
+    """Gaps filled exactly by up to ``kinds`` pieces, the largest pieces' gaps first; what is left by best fit."""
     stock, plan = _Stock(counts, capacity), []
-    for find in (stock.single, stock.pair, stock.triple):
+    for find in (stock.single, stock.pair, stock.triple)[:kinds]:
         for length in range(capacity, 0, -1):
             while stock.left[length]:
                 stock.left[length] -= 1

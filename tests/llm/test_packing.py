@@ -1,7 +1,9 @@
 """Packing against direct tokenization, and the plan's bounds."""
 
+import bisect
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,3 +80,32 @@ def test_exact_complements():
     full = [(sorted(lengths), n) for lengths, n in plan if sum(lengths) == 2048]
     assert ([2048], 3) in full and ([48, 2000], 4) in full and ([8, 40, 2000], 1) in full
     assert packing.packing_plan({}) == []
+
+
+def best_fit(lengths, capacity=2048):
+    """Sequences that best fit takes, the longest pieces first."""
+    gaps, used = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        if at < len(gaps):
+            gap = gaps.pop(at) - length
+        else:
+            used, gap = used + 1, capacity - length
+        if gap:
+            bisect.insort(gaps, gap)
+    return used
+
+
+@pytest.mark.parametrize("mix", ["any", "middle", "lognormal", "two kinds", "few lengths"])
+def test_never_worse_than_best_fit(mix):
+    rng = np.random.default_rng(1)
+    lengths = {
+        "any": lambda: rng.integers(1, 2049, 6000), "middle": lambda: rng.integers(500, 1001, 6000),
+        "lognormal": lambda: np.clip(np.exp(rng.normal(5.5, 1.2, 6000)).astype(int) + 1, 1, 2048),
+        "two kinds": lambda: np.concatenate([rng.integers(1, 100, 3000), rng.integers(1000, 2049, 3000)]),
+        "few lengths": lambda: rng.choice([700, 1400, 683, 682, 300], 6000),
+    }[mix]().tolist()
+    plan = packing.packing_plan(Counter(lengths))
+    assert Counter(x for held, n in plan for x in held * n) == Counter(lengths)
+    assert all(sum(held) <= 2048 for held, _ in plan)
+    assert sum(n for _, n in plan) <= best_fit(lengths)
