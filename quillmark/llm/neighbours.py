@@ -87,13 +87,14 @@ class Forest:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) with finite components, not all zero, as long as the usable vector of the smallest id."""
+    """(vec_id, embedding) with finite components, not all zero, of the length that most of them have (the shorter of equally common)."""
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     ) & F.exists("embedding", lambda x: x != 0)
     found = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(good)
-    size = found.agg(F.min_by(F.size("embedding"), "vec_id")).first()[0]
-    return found.where(F.size("embedding") == F.lit(size or 0))
+    size = F.size("embedding")
+    common = found.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    return found.where(size == F.lit(common["size"] if common else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
