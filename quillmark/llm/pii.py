@@ -64,7 +64,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *s) for s in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]  # a part may have any number of zeros before it
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             if len(m[0]) >= 13:
@@ -107,10 +108,16 @@ def _terms_beside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[in
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text) of all rows: what a row's spans belong to is its id with its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, beside) of every text; null: empty.
+    """(doc_id, digest, n_email, n_ip, n_card, n_phone, base, beside) of every row, also of those without id; null text: empty.
 
-    ``base`` lists kind:start:end; ``beside`` the terms near entities, with their places.
+    ``digest`` is that of the text. ``base`` lists kind:start:end; ``beside`` the terms near entities, with their places.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +132,16 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 base.append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
                 beside.append([dict(zip(("entity", "term", "start", "end"), x)) for x in _terms_beside(text, spans)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(beside, beside_type)],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "beside"],
+                [
+                    batch.column("doc_id"), batch.column("digest"), *[pa.array(c, pa.int64()) for c in counts],
+                    pa.array(base, pa.string()), pa.array(beside, beside_type),
+                ],
+                ["doc_id", "digest", "n_email", "n_ip", "n_card", "n_phone", "base", "beside"],
             )
 
-    return texts(docs).mapInArrow(
+    return _texts(docs).mapInArrow(
         run,
-        "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
+        "doc_id bigint, digest string, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
         "beside array<struct<entity:bigint,term:string,start:int,end:int>>",
     )
 
@@ -172,56 +182,70 @@ def _hashed(beside: DataFrame) -> DataFrame:
             hashes = _term_hash(batch.column(at).to_pylist()) if batch.num_rows else np.empty(0, np.int64)
             yield batch.set_column(at, "term", pa.array(hashes, pa.int64()))
 
-    return beside.mapInArrow(run, "doc_id bigint, entity bigint, term bigint, start int, end int")
+    return beside.mapInArrow(run, "doc_id bigint, digest string, entity bigint, term bigint, start int, end int")
 
 
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """All texts' spans as ``find_spans`` gives them, and (doc_id, start, end, share, kind) of terms that disclose an entity.
+    """All texts' spans as ``find_spans`` gives them, and (doc_id, digest, start, end, share, kind) of terms that disclose an entity.
 
     ``share`` is how much of the entity's information the term tells: PMI(term, entity) / -log p(entity), counted over all
-    texts. ``kind`` is term (removed) or context (generalised).
+    texts with an id. An entity that all texts hold has no information, and no term tells of it. ``kind`` is term (removed) or
+    context (generalised).
     """
     spans = stored(find_spans(docs), "personal")
     beside = stored(
-        _hashed(spans.where(F.size("beside") > 0).select("doc_id", F.explode("beside").alias("x")).select("doc_id", "x.*")), "beside"
+        _hashed(spans.where(F.size("beside") > 0).select("doc_id", "digest", F.explode("beside").alias("x")).select("doc_id", "digest", "x.*")),
+        "beside",
     )
-    n = spans.count()
+    n = spans.where("doc_id IS NOT NULL").count()
     together = beside.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("both")).where(F.col("both") >= EVIDENCE)
     entities = beside.groupBy("entity").agg(F.count_distinct("doc_id").alias("entity_texts"))
     counted = together.join(entities, "entity").join(term_counts(docs), "term")
-    told = F.log(F.col("both") * F.lit(float(n)) / (F.col("texts") * F.col("entity_texts"))) / F.log(F.lit(float(n)) / F.col("entity_texts"))
+    pmi = F.log(F.col("both") * F.lit(float(n)) / (F.col("texts") * F.col("entity_texts")))
+    told = F.try_divide(pmi, F.log(F.lit(float(n)) / F.col("entity_texts")))
     shares = counted.select("entity", "term", told.alias("share")).where(F.col("share") >= generalise)
-    found = beside.join(shares, ["entity", "term"]).groupBy("doc_id", "start", "end").agg(F.max("share").alias("share"))
+    found = beside.join(shares, ["entity", "term"]).groupBy("doc_id", "digest", "start", "end").agg(F.max("share").alias("share"))
     return spans, found.withColumn("kind", F.when(F.col("share") >= remove, "term").otherwise("context"))
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of every text: base spans, and those with disclosing terms.
-
-    Spans are kind:start:end in code points, the end exclusive, by kind (email, ip, card, phone, context, term) and then
-    start. Null or empty text: none. Rows without doc_id are left out; rows with one doc_id share their added spans. Empty
-    table: no rows. Further columns of ``docs`` don't matter.
-    """
+def _all_spans(docs: DataFrame) -> DataFrame:
+    """`all_spans` with each text's digest, rows without id among them (``id`` is then the least number there is)."""
     spans, terms = disclosing_terms(docs)
+    key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")
     each = F.sort_array(F.collect_list(F.struct("kind", "start", "end")))
-    added = terms.groupBy("doc_id").agg(
+    added = terms.groupBy(key, "digest").agg(
         F.array_join(F.transform(each, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("added")
     )
-    both = spans.drop("beside").join(added, "doc_id", "left")
+    both = spans.drop("beside").withColumn("id", key).join(added, ["id", "digest"], "left")
     return both.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base",
+        "id", "digest", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base",
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("added")).alias("spans"),
     )
 
 
+def all_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) of every text: base spans, and those with disclosing terms.
+
+    Spans are kind:start:end in code points, the end exclusive, by kind (email, ip, card, phone, context, term) and then
+    start. Null or empty text: none. Rows without doc_id are left out; unlike texts of one doc_id have their own spans each. Empty
+    table: no rows. Further columns of ``docs`` don't matter.
+    """
+    return _all_spans(docs).where("doc_id IS NOT NULL").drop("id", "digest")
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced: entities by their kind, disclosing terms by [TERM] or nothing.
 
-    Texts without spans, null ones and rows without doc_id stay as they are; all other columns too.
+    Texts without spans and null ones stay as they are; all other columns too. Rows without doc_id are treated as well, though
+    they are no evidence for what discloses an entity.
     """
-    held = all_spans(docs).where("spans <> ''").groupBy(F.col("doc_id").alias("__id")).agg(F.max("spans").alias("__spans"))
+    held = _all_spans(docs).where("spans <> ''").groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(
+        F.max("spans").alias("__spans")
+    )
     names = docs.columns
-    both = docs.join(held, docs["doc_id"].cast("bigint") == F.col("__id"), "left").select(*[docs[c] for c in names], "__spans")
+    own = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63))) == F.col("__id")
+    same = F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__digest")
+    both = docs.join(held, own & same, "left").select(*[docs[c] for c in names], "__spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
