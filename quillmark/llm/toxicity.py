@@ -183,7 +183,7 @@ def severity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """(doc_id, severity, p_mild, p_strong, p_severe, toxic) of every text.
 
     ``severity`` is the expected grade, 0 to 3, ``p_*`` the probabilities of at least that grade; ``toxic`` is 1 where at
-    least the lowest grade is likelier than not. Null or blank text: as one without any word. Labels of one kind only or
+    least the lowest grade has a probability of 0.3 or more (`REJECT`). Null or blank text: as one without any word. Labels of one kind only or
     none, or that no feature is tied to: all 0. Of several labels of a document the highest holds. Rows without doc_id are left out; repeated rows each
     come out. Empty table: no rows. Further columns don't matter.
     """

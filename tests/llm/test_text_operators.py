@@ -230,8 +230,8 @@ def test_neighbours_with_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(600, 16)).round(3)
     vectors[100:300] = vectors[100]  # one vector holds a third
-    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
-    rows += [(700, None, ""), (720, [0.0] * 16, ""), (740, [1.0] * 15 + [None], ""), (760, [float("nan")] * 16, ""), (780, [1.0] * 3, ""), (None, [1.0] * 16, ""), rows[40]]
+    rows = [(-20, [1.0, 2.0], "another length, and the smallest id"), *((i, v.tolist(), "x") for i, v in enumerate(vectors))]
+    rows += [(700, None, ""), (720, [0.0] * 16, ""), (740, [1.0] * 15 + [None], ""), (760, [float("nan")] * 16, ""), (780, [1.0] * 3, ""), (None, [1.0] * 16, ""), rows[41]]
     got = {}
     for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, ids string")).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -289,3 +289,62 @@ def test_registered_names():
     found = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
     assert sorted(found) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest()  # digests of empty texts are those of no bytes
+
+
+# ---- personal data: rows that used to fail
+
+
+def test_an_entity_in_every_text_tells_nothing(docs_of):
+    found = pii.all_spans(docs_of([(i, "write zorblatt at a@b.org now") for i in range(3)])).collect()
+    assert {r.spans for r in found} == {"email:18:25"}
+
+
+def test_long_runs_of_digits(docs_of):
+    text = "0" * 5000 + "1.2.3.4 and 9" + "9" * 6000 + ".1.1.1"
+    row = pii.all_spans(docs_of([(1, text)])).first()
+    assert row.n_ip == 1 and row.base == f"ip:0:{5007}"
+
+
+def test_texts_are_cut_at_their_own_places(docs_of):
+    rows = [(1, "mail a@b.org"), (1, "some other start c@d.org"), (None, "no id: e@f.org"), (None, None), (2, "1.2.3.4")]
+    out = sorted((r.doc_id or 0, r.text or "") for r in pii.sanitise(docs_of(rows)).collect())
+    assert out == [(0, ""), (0, "no id: [EMAIL]"), (1, "mail [EMAIL]"), (1, "some other start [EMAIL]"), (2, "[IP]")]
+    assert pii.all_spans(docs_of(rows)).count() == 3
+
+
+def test_disclosing_terms_against_brute_force(docs_of):
+    """Point-wise mutual information over all texts, as a share of what the entity itself tells."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        who = rng.randrange(12)
+        near = [f"nick{who}" if rng.random() < 0.7 else "someone", rng.choice(["wrote", "called", f"city{who % 4}"])]
+        text = f"filler words come first {' '.join(near)} u{who}@x.org and {rng.choice(['then', 'later'])} nothing"
+        rows.append((i, text if rng.random() < 0.8 else f"nick{who} and city{who % 4} without any address"))
+    texts = {i: t for i, t in rows}
+    words_of = {i: set(re.findall(r"[a-z0-9]+", t)) for i, t in texts.items()}
+    beside = {}  # (entity, term) -> texts
+    for i, t in texts.items():
+        for m in re.finditer(r"u[0-9]+@x\.org", t):
+            terms = re.findall(r"[a-z0-9]+", t[: m.start()])[-8:] + re.findall(r"[a-z0-9]+", t[m.end():])[:8]
+            for term in terms:
+                if len(term) >= 3:
+                    beside.setdefault((m[0], term), set()).add(i)
+    entity_texts = {}
+    for (entity, _), where in beside.items():
+        entity_texts.setdefault(entity, set()).update(where)
+    n, expected = len(texts), set()
+    for (entity, term), where in beside.items():
+        if len(where) < pii.EVIDENCE:
+            continue
+        with_term = sum(term in w for w in words_of.values())
+        of_entity = len(entity_texts[entity])
+        share = np.log(len(where) * n / (with_term * of_entity)) / np.log(n / of_entity)
+        if share >= pii.GENERALISE:
+            kind = "term" if share >= pii.REMOVE else "context"
+            for i in where:
+                for m in re.finditer(rf"\b{term}\b", texts[i]):
+                    expected.add((i, kind, *m.span()))
+    _, terms = pii.disclosing_terms(docs_of(rows))
+    got = {(r.doc_id, r.kind, r.start, r.end) for r in terms.collect()}
+    assert expected and got == expected
