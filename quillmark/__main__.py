@@ -40,8 +40,10 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=C.SEED)
     p.add_argument("--limit-train", type=int)
     p.add_argument("--limit-validation", type=int)
+    p.add_argument("--encoded", action="store_true", help="splits is a table that tokenize has stored")
     p = phase("evaluate", "splits", "run", "predictions", "metrics")
-    p.add_argument("--split", choices=C.SPLITS, default="test")
+    p.add_argument("--split", choices=[*C.SPLITS, PH.ALL], default="test", help="all: every split, and all together")
+    p.add_argument("--encoded", action="store_true", help="with all: splits is a table that tokenize has stored")
     p.add_argument("--threshold", type=float)
     p = phase("errors", "predictions", "splits", "csv", "summary")
     p.add_argument("--split", choices=C.SPLITS, default="test")
@@ -83,9 +85,14 @@ def _run(spark, a: argparse.Namespace) -> dict:
             max_tokens=a.max_length, decision_threshold=a.threshold, early_stop_patience=a.patience, random_seed=a.seed
         )
         chosen = PH.train(
-            spark, a.splits, a.run, config, limit_train=a.limit_train, limit_validation=a.limit_validation
+            spark, a.splits, a.run, config, limit_train=a.limit_train, limit_validation=a.limit_validation,
+            encoded=a.encoded,
         )
         return {"history": chosen.history}
+    if a.phase == "evaluate" and (a.split == PH.ALL or a.encoded):
+        splits = C.SPLITS if a.split == PH.ALL else [a.split]
+        out = PH.evaluate_splits(spark, a.splits, a.run, a.predictions, a.metrics, splits, a.threshold, a.encoded)
+        return vars(out)
     if a.phase == "evaluate":
         return vars(PH.evaluate(spark, a.splits, a.run, a.predictions, a.metrics, a.split, a.threshold))
     if a.phase == "errors":
@@ -97,7 +104,7 @@ def _run(spark, a: argparse.Namespace) -> dict:
             verdicts.write.mode("overwrite").json(a.out)
             return {"rejected": rejects}
         return {"verdicts": verdicts, "rejected": rejects}
-    return {"runs": PH.compare_runs(spark, a.reports)}
+    return {"runs": PH.compare_runs(spark, a.reports), "reports": PH.list_reports(spark, a.reports)}
 
 
 if __name__ == "__main__":

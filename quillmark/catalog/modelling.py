@@ -110,6 +110,19 @@ def score_probabilities(spark, sf_dir):
     return scored.select("row_id", "label", _near("prob_ai").alias("prob_ai"), "prediction")
 
 
+@B.register("train_encoded", f"""
+WITH {_SHARES} SELECT row_id, label, split, round(p + 0.00003, 4)::DOUBLE AS prob_ai FROM known""")
+def train_encoded(spark, sf_dir):
+    """Chosen, saved, loaded and scored on the stored encoded table alone; texts of two words."""
+    splits = _splits(spark, sf_dir, _two_words(spark, sf_dir))
+    encoded, run, predictions = (scratch_path(spark, n) for n in ("encoded", "run", "predictions"))
+    PH.tokenize(spark, splits, encoded, scratch_path(spark, "vocab"), 16, 100)
+    PH.train(spark, encoded, run, CONFIG, [EXACT], encoded=True)
+    PH.evaluate_splits(spark, encoded, run, predictions, encoded=True)
+    scored = spark.read.parquet(predictions)
+    return scored.select("row_id", "label", F.col("split").cast("string").alias("split"), _near("prob_ai").alias("prob_ai"))
+
+
 @B.register("hashed_token_total", f"""
 WITH {B.SNIPS} SELECT count(*) AS n_rows, sum(len({B.SQL_TOKENS}))::BIGINT AS n_tokens FROM snips""")
 def hashed_token_total(spark, sf_dir):

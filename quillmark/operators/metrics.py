@@ -52,7 +52,8 @@ def score_table(
     counted = df.groupBy(*by, F.col(prob).alias("prob")).agg(
         F.count_if(ai).alias("pos"), F.count_if(human).alias("neg"), F.count_if(~known).alias("other")
     )
-    return Scores(stored(counted, "scores"), tuple(by)) if overall is None else with_overall(Scores(stored(counted, "scores"), tuple(by)), overall)
+    scores = Scores(stored(counted, "scores"), tuple(by))
+    return scores if overall is None else with_overall(scores, overall)
 
 
 def with_overall(scores: Scores, name: str) -> Scores:

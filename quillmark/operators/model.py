@@ -47,22 +47,30 @@ DEFAULT_CANDIDATES = (Candidate(1e-1), Candidate(1e-2), Candidate(1e-3))
 Predictor = Transformer | Callable[[pd.Series], pd.Series]
 
 
-def _hashing(config: RunConfig) -> list[Transformer]:
+#: What a model reads: texts, or the ids that the tokenizer has stored for them; and the model's own name for it.
+SOURCES = {"code": "__code", "input_ids": "__ids"}
+
+
+def _hashing(config: RunConfig, source: str = "code") -> list[Transformer]:
     """All tokens of ``__code`` as hashed counts, uncut: a bag of words has no length limit. Nothing to fit.
 
+    Of stored ids, all but marks and padding: those of a text's first tokens, as many as were encoded.
     Columns of the model have names of their own, so that none of the scored table's is in the way.
     """
-    tokens = f"regexp_extract_all(__code, r'{X.TOKEN_PATTERN}', 0) AS __tokens"
+    tokens = {
+        "code": f"regexp_extract_all(__code, r'{X.TOKEN_PATTERN}', 0) AS __tokens",
+        "input_ids": f"transform(filter(__ids, i -> i >= {C.UNKNOWN_ID}), i -> cast(i AS string)) AS __tokens",
+    }[source]
     return [
         SQLTransformer(statement=f"SELECT *, {tokens} FROM __THIS__"),
         HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=config.num_features),
     ]
 
 
-def _counts(df: DataFrame, config: RunConfig, name: str, label: str = "label") -> DataFrame:
+def _counts(df: DataFrame, config: RunConfig, name: str, label: str = "label", source: str = "code") -> DataFrame:
     """(label, __tf) stored in the shared folder: fitting passes many times over these, once over texts."""
-    rows = df.select(F.col(label).cast("double").alias("label"), F.col("code").alias("__code"))
-    return stored(PipelineModel(_hashing(config)).transform(rows).select("label", "__tf"), name)
+    rows = df.select(F.col(label).cast("double").alias("label"), F.col(source).alias(SOURCES[source]))
+    return stored(PipelineModel(_hashing(config, source)).transform(rows).select("label", "__tf"), name)
 
 
 def hashed_token_total(df: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
@@ -87,22 +95,30 @@ def _regression(candidate: Candidate) -> LogisticRegression:
 
 
 def fit_classifier(
-    train: DataFrame, config: RunConfig = RunConfig(), candidate: Candidate = Candidate(), label: str = "label"
+    train: DataFrame, config: RunConfig = RunConfig(), candidate: Candidate = Candidate(), label: str = "label",
+    source: str = "code",
 ) -> PipelineModel:
-    """Hashed tokens weighted by IDF, then a regression; all fitted on the given rows only (the train split)."""
-    counts = _counts(train, config, "train-counts", label)
+    """Hashed tokens weighted by IDF, then a regression; all fitted on the given rows only (the train split).
+
+    ``source="input_ids"`` fits on a stored encoded table, whose texts aren't needed any more.
+    """
+    counts = _counts(train, config, "train-counts", label, source)
     idf = _fit_idf(counts)
-    return PipelineModel([*_hashing(config), idf, _regression(candidate).fit(idf.transform(counts))])
+    return PipelineModel([*_hashing(config, source), idf, _regression(candidate).fit(idf.transform(counts))])
 
 
-def score(df: DataFrame, predictor: Predictor, threshold: float = C.THRESHOLD, code: str = "code") -> DataFrame:
+def score(
+    df: DataFrame, predictor: Predictor, threshold: float = C.THRESHOLD, code: str = "code", ids: str = "input_ids"
+) -> DataFrame:
     """Add ``prob_ai`` and ``prediction``, in place of earlier ones; the rows keep all other columns as they are.
 
     ``predictor`` is a fitted MLlib model, or a pandas UDF body from texts to probabilities (typed as an
-    iterator of batches it can load its model once per worker). Either way no row moves.
+    iterator of batches it can load its model once per worker). Either way no row moves. A model fitted on encoded tables reads
+    ``ids`` instead of texts.
     """
     if isinstance(predictor, Transformer):
-        scored = predictor.transform(df.withColumn("__code", F.col(code)))
+        given = {SOURCES[s]: F.col(c) for s, c in (("code", code), ("input_ids", ids)) if c in df.columns}
+        scored = predictor.transform(df.withColumns(given))
         scored = scored.withColumn("prob_ai", vector_to_array("__probability")[1])
     else:
         scored = df.withColumn("prob_ai", F.pandas_udf(predictor, "double")(F.col(code)))
@@ -121,20 +137,21 @@ class Selection:
 
 
 def _selection_key(
-    train: DataFrame, validation: DataFrame, config: RunConfig, candidates: Sequence[Candidate], run_id: str
+    train: DataFrame, validation: DataFrame, config: RunConfig, candidates: Sequence[Candidate], run_id: str, source: str
 ) -> str:
     """What a selection depends on: settings, and a checksum of the rows."""
 
     def checksum(rows: DataFrame) -> str:
-        row = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("label", "code")).alias("x"), F.sum(F.xxhash64("code") % 1_000_003).alias("s"))
+        row = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("label", source)).alias("x"), F.sum(F.xxhash64(source) % 1_000_003).alias("s"))
         return str(tuple(row.first()))
 
-    return repr((run_id, asdict(config), [asdict(c) for c in candidates], checksum(train), checksum(validation)))
+    return repr((run_id, source, asdict(config), [asdict(c) for c in candidates], checksum(train), checksum(validation)))
 
 
 def select_best_model(
     train: DataFrame, validation: DataFrame, config: RunConfig = RunConfig(),
     candidates: Sequence[Candidate] = DEFAULT_CANDIDATES, run_dir: str | None = None, run_id: str = "run",
+    source: str = "code",
 ) -> Selection:
     """Try the candidates in order, keep the one with the lowest validation loss, stop when patience ends.
 
@@ -147,7 +164,7 @@ def select_best_model(
     spark = train.sparkSession
     history: list[tuple] = []
     if run_dir:
-        key = _selection_key(train, validation, config, candidates, run_id)
+        key = _selection_key(train, validation, config, candidates, run_id, source)
         if A.scan_selection(spark, run_dir) == key:
             # As many rows as candidates were tried.
             history = [tuple(r) for r in A.scan_history(spark, run_dir).orderBy("epoch").collect()]
@@ -165,8 +182,8 @@ def select_best_model(
         best = A.load_model(spark, run_dir)[0]
     left = [] if bad >= config.early_stop_patience else list(enumerate(candidates, start=1))[len(history):]
     if left:
-        train_counts = _counts(train, config, "train-counts")
-        val_counts = _counts(validation, config, "validation-counts")
+        train_counts = _counts(train, config, "train-counts", source=source)
+        val_counts = _counts(validation, config, "validation-counts", source=source)
         idf = _fit_idf(train_counts)
     for epoch, candidate in left:
         started = time.time()
@@ -186,7 +203,8 @@ def select_best_model(
         history.append((run_id, epoch, train_loss, val_loss, bundle, None, candidate.reg_param, seconds))
         improved = val_loss < best_loss - C.MIN_IMPROVEMENT
         if improved:
-            best, best_epoch, best_loss, bad = PipelineModel([*_hashing(config), idf, fitted]), epoch, val_loss, 0
+            best = PipelineModel([*_hashing(config, source), idf, fitted])
+            best_epoch, best_loss, bad = epoch, val_loss, 0
         else:
             bad += 1
         if run_dir:

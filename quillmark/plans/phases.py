@@ -104,13 +104,24 @@ def tokenize(
 def train(
     spark: SparkSession, split_path: str, run_dir: str, config: MO.RunConfig = MO.RunConfig(),
     candidates: Sequence[MO.Candidate] = MO.DEFAULT_CANDIDATES, limit_train: int | None = None,
-    limit_validation: int | None = None, run_id: str = "run",
+    limit_validation: int | None = None, run_id: str = "run", encoded: bool = False,
 ) -> MO.Selection:
-    """Fit the candidates on train, choose on validation, save the best."""
+    """Fit the candidates on train, choose on validation, save the best.
+
+    ``encoded``: ``split_path`` is a table that `tokenize` has stored, and the model reads its ids; texts aren't tokenized again.
+    """
     seed = config.random_seed
-    train_rows = SP.subsample(A.scan_split(spark, split_path, "train"), limit_train, seed)
-    val_rows = SP.subsample(A.scan_split(spark, split_path, "validation"), limit_validation, seed)
-    return MO.select_best_model(train_rows, val_rows, config, candidates, run_dir, run_id)
+    train_rows = SP.subsample(_split_rows(spark, split_path, ["train"], encoded), limit_train, seed)
+    val_rows = SP.subsample(_split_rows(spark, split_path, ["validation"], encoded), limit_validation, seed)
+    source = "input_ids" if encoded else "code"
+    return MO.select_best_model(train_rows, val_rows, config, candidates, run_dir, run_id, source)
+
+
+def _split_rows(spark: SparkSession, path: str, splits: Sequence[str], encoded: bool) -> DataFrame:
+    if not encoded:
+        return A.scan_splits(spark, path, splits)
+    rows = A.scan_tokenized(spark, path, splits).withColumn("split", F.col("split").cast("string"))
+    return rows.where(F.col("split").isin(*splits))
 
 
 @dataclass(frozen=True)
@@ -153,16 +164,17 @@ ALL = "all"
 
 def evaluate_splits(
     spark: SparkSession, split_path: str, run_dir: str, predictions_path: str, metrics_path: str | None = None,
-    splits: Sequence[str] = C.SPLITS, threshold: float | None = None,
+    splits: Sequence[str] = C.SPLITS, threshold: float | None = None, encoded: bool = False,
 ) -> Evaluation:
     """Score several splits in one pass and measure each, and `ALL` of them together.
 
     Predictions are stored by split; the splits are told apart in one table of scores, and the overall measures come from a second
     grouping of it. Every table of the result has a column ``split``. Reports are written below ``metrics_path``, one per split.
+    ``encoded`` as in `train`.
     """
     model, config = A.load_model(spark, run_dir)
     limit = MO.effective_threshold(threshold, config)
-    rows = A.scan_splits(spark, split_path, splits)
+    rows = _split_rows(spark, split_path, splits, encoded)
     scored = MO.score(rows, model, limit).select("row_id", "label", "prob_ai", "prediction", "split")
     scored.write.mode("overwrite").partitionBy("split").parquet(predictions_path)
     predictions = spark.read.parquet(predictions_path).withColumn("split", F.col("split").cast("string"))
@@ -184,7 +196,10 @@ def analyze_errors(
     Predictions and texts are joined once, without the texts; those of the errors that are shown are fetched afterwards.
     """
     snippets = A.scan_split(spark, split_path, split).select("row_id", "code")
-    table = E.error_rows(spark.read.parquet(predictions_path), snippets)
+    predictions = spark.read.parquet(predictions_path)
+    if "split" in predictions.columns:  # those of several splits
+        predictions = predictions.where(F.col("split") == split).drop("split")
+    table = E.error_rows(predictions, snippets)
     top, summary = table.top(n), stored(table.summary(), "summary")
     if csv_path:
         A.write_error_rows(top, csv_path, n)

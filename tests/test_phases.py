@@ -239,3 +239,17 @@ def test_reports_of_all_kinds_are_listed(spark, folders, tmp_path):
     with pytest.raises(FileNotFoundError):
         (tmp_path / "none").mkdir()
         PH.list_reports(spark, str(tmp_path / "none"))
+
+
+def test_training_on_the_encoded_table(spark, folders):
+    """Ids of all tokens tell a model as much as the texts do."""
+    splits, encoded = str(folders / "splits"), str(folders / "encoded")
+    PH.tokenize(spark, splits, encoded, str(folders / "vocab-all"), max_length=512, vocab_size=5_000)
+    config, candidates = MO.RunConfig(num_features=1 << 14), [MO.Candidate(0.01, 20)]
+    by_ids = PH.train(spark, encoded, str(folders / "run-ids"), config, candidates, encoded=True)
+    assert by_ids.best_val_loss < 0.3
+    out = PH.evaluate_splits(spark, encoded, str(folders / "run-ids"), str(folders / "ids-predictions"), encoded=True)
+    bundles = {r["split"]: r for r in out.bundle.collect()}
+    assert bundles["test"]["accuracy"] > 0.9 and bundles["all"]["n_samples"] == 180
+    top, summary = PH.analyze_errors(spark, str(folders / "ids-predictions"), splits)
+    assert summary.first()["n_test"] == 27 and top.count() == summary.first()["n_errors"]
