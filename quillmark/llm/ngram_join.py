@@ -14,7 +14,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import echoes
@@ -24,7 +24,7 @@ from quillmark.session import stored
 
 #: From so many documents on a token is frequent.
 FREQUENT = 16
-#: So many documents of a list are compared with the whole list in the first turn; each turn has twice as many.
+#: About so many documents of a list are compared with the whole list in the first turn; each turn has twice as many.
 MOST_PIVOTS = 32
 #: Documents of a list that a document is compared with at once, about.
 LIST_CHUNK = 512
@@ -241,11 +241,12 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
             posts = now.select("signature", "doc_id", "size", "common")
         else:
             # Where that joins nothing more, it is compared with the whole list, some documents at a time.
-            turn = Window.partitionBy("signature").orderBy(F.xxhash64("doc_id"), "doc_id")
-            heads = now.where("component <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= pivots)
-            pairs = _against_lists(heads, now, percent)
-            posts = now.where(F.col("others") > pivots).join(heads.select("signature", "doc_id"), ["signature", "doc_id"], "left_anti")
-            posts = posts.select("signature", "doc_id", "size", "common")
+            # Which ones follows from their hashes and the list's length, so that no task sees a whole list; by documents, not by
+            # lists, so that all lists of a group of near copies choose the same ones.
+            place = F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(1 << 30)) * F.col("others")
+            now = now.withColumn("head", (F.col("component") != F.col("main")) & (place < F.lit(pivots << 30)))
+            pairs = _against_lists(now.where("head"), now, percent)
+            posts = now.where((F.col("others") > pivots) & ~F.col("head")).select("signature", "doc_id", "size", "common")
             pivots, turns = pivots * 2, STAR_TURNS
         known = linked
         pairs = _ordered(pairs).join(verified.select("a", "b"), ["a", "b"], "left_anti")
