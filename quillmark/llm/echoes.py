@@ -115,13 +115,12 @@ class _Pack:
             keys = keys_of(hashes[direct], self.buckets, self.width)
             yield self._row(-1, answer=_answers(docs, sizes, owner[direct], keys if self.frequent is None else keys + FREQUENT))
         hashes, owner = hashes[sent], owner[sent]
-        cuts = np.searchsorted(_bucket(hashes, self.buckets), np.arange(self.buckets + 1))
-        heavy_cuts = np.searchsorted(_bucket(heavy, self.buckets), np.arange(self.buckets + 1))
+        light_at, heavy_at = _bucket(hashes, self.buckets), _bucket(heavy, self.buckets)
+        present = np.union1d(light_at, heavy_at)  # only these: there are far more buckets than a pack has
+        cuts = [np.searchsorted(at, present, side).tolist() for at in (light_at, heavy_at) for side in ("left", "right")]
         rows = []
-        for b in range(self.buckets):
-            part, known = slice(cuts[b], cuts[b + 1]), slice(heavy_cuts[b], heavy_cuts[b + 1])
-            if part.start == part.stop and known.start == known.stop:
-                continue
+        for b, *edges in zip(present.tolist(), *cuts):
+            part, known = slice(*edges[:2]), slice(*edges[2:])
             used, local = np.unique(owner[part], return_inverse=True)
             rows.append((
                 b, docs[used].tobytes(), sizes[used].tobytes(), local.astype(np.uint16).tobytes(),

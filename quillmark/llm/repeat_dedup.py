@@ -1,10 +1,12 @@
 """Repeated byte strings by common-prefix intervals of enhanced suffix arrays.
 
 Every window of ``WINDOW`` bytes has a minimizer, the smallest hash of the byte n-grams in it; equal windows have equal
-ones. Neighbouring windows with one minimizer make a chunk. Chunks whose minimizer occurs in several documents meet by
-it; for each bounded share of minimizers a suffix array with common-prefix lengths is built over the distinct chunks,
-and a scan with a stack gives the tree of intervals of suffixes with a common prefix. An interval at least ``WINDOW``
-deep has all occurrences of a repeated string, not only neighbouring ones.
+ones. Neighbouring windows with one minimizer make a chunk. Of chunks whose minimizer occurs in several documents, those
+that a smaller document has as a whole are settled by their digests; no bytes are sent for them. Where a minimizer still
+has unlike chunks, they meet by it: for each bounded share of minimizers a suffix array with common-prefix lengths is
+built over the distinct chunks, and a scan with a stack gives the tree of intervals of suffixes with a common prefix. An
+interval at least ``WINDOW`` deep has all occurrences of a repeated string, not only neighbouring ones; those whose
+occurrences all go on alike to the left belong to a longer repeat and are passed over.
 """
 
 from __future__ import annotations
@@ -91,26 +93,62 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def _held(batch: pa.RecordBatch, column: str, chunks: _Chunks, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks have their value of ``own`` in their text's list in ``column``, and which have it there as frequent."""
+    keep, frequent = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    edge = np.searchsorted(chunks.text, np.arange(batch.num_rows + 1))
+    for i, keys in enumerate(batch.column(column)):
+        part = slice(edge[i], edge[i + 1])
+        if not keys.is_valid or part.start == part.stop:
+            continue
+        keys = keys.values.to_numpy()
+        keep[part] = np.isin(own[part], keys)
+        hot = keys[keys >= echoes.FREQUENT] - echoes.FREQUENT
+        if len(hot) and column != "settled":  # whole digests carry no mark
+            frequent[part] = np.isin(own[part], hot)
+            keep[part] |= frequent[part]
+    return keep, frequent
+
+
 def _marked(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tuple[np.ndarray, _Chunks]]:
     """Doc ids and chunks of texts with the minimizers they share."""
     for batch, found in pieces(batches):
         chunks = _Chunks(found)
-        keep, single = np.zeros(len(chunks.start), bool), np.zeros(len(chunks.start), bool)
-        own = echoes.keys_of(chunks.group, buckets, _WIDTH)
-        edge = np.searchsorted(chunks.text, np.arange(len(found) + 1))
-        for i, keys in enumerate(batch.column("keys")):
-            part = slice(edge[i], edge[i + 1])
-            if not keys.is_valid or part.start == part.stop:
-                continue
-            keys = keys.values.to_numpy()
-            hot = keys >= echoes.FREQUENT
-            keep[part] = np.isin(own[part], keys & (echoes.FREQUENT - 1))
-            if hot.any():
-                single[part] = np.isin(own[part], keys[hot] - echoes.FREQUENT)
-        chunks.cut(keep, single)
+        chunks.cut(*_held(batch, "keys", chunks, echoes.keys_of(chunks.group, buckets, _WIDTH)))
         yield batch.column("doc_id").to_numpy(), chunks
 
 
+def _by_text(values: np.ndarray, chunks: _Chunks, keep: np.ndarray, texts_n: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Of each text the distinct values of the chunks to keep."""
+    values, edge = values[keep], np.searchsorted(chunks.text[keep], np.arange(texts_n + 1))
+    for a, b in zip(edge[:-1], edge[1:]):
+        yield np.unique(values[a:b]), b - a
+
+
+def _settled(marked: DataFrame, minimizers: int) -> DataFrame:
+    """``marked`` with the digests of chunks that a smaller document has too, and the minimizers of unlike chunks.
+
+    Of each distinct chunk only the smallest document counts for the latter; where a minimizer is left with one document,
+    none of its chunks has to be compared by its bytes.
+    """
+
+    def digests(batch: pa.RecordBatch, found: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
+        chunks = _Chunks(found)
+        keep, _ = _held(batch, "keys", chunks, echoes.keys_of(chunks.group, minimizers, _WIDTH))
+        return _by_text(chunks.digest(), chunks, keep, len(found))
+
+    def groups(batch: pa.RecordBatch, found: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
+        chunks = _Chunks(found)
+        keep, _ = _held(batch, "keys", chunks, echoes.keys_of(chunks.group, minimizers, _WIDTH))
+        done, _ = _held(batch, "settled", chunks, chunks.digest().view(np.int64))
+        return _by_text(chunks.group, chunks, keep & ~done, len(found))
+
+    known = echoes.answers(echoes.packed(marked, digests, minimizers, 8, None), 8, None)
+    marked = marked.join(known.select("doc_id", F.col("keys").alias("settled")), "doc_id", "left")
+    unlike = echoes.answers(echoes.packed(marked, groups, minimizers, _WIDTH, HOT), _WIDTH, HOT)
+    return marked.join(unlike.select("doc_id", F.col("keys").alias("unlike")), "doc_id", "left").drop("keys")
+
+
 def _span_batch(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((starts, docs))
     docs, starts, ends = docs[order], starts[order], ends[order]
@@ -120,8 +158,29 @@ def _span_batch(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(docs[at], pa.int64()), *lists], ["doc_id", "starts", "ends"])
 
 
+def _answered(docs: np.ndarray, start: np.ndarray, windows: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of chunks that need no comparison, neighbouring ones joined, spread over the buckets below zero."""
+    order = np.lexsort((start, docs))
+    docs, start, windows = docs[order], start[order], windows[order].astype(np.int64)
+    if not len(docs):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (start[1:] != start[:-1] + windows[:-1])]))
+    docs, start, windows = docs[new], start[new], np.add.reduceat(windows, new)
+    return [
+        (
+            -1 - int(docs[a] % buckets), docs[a : a + 4096].tobytes(), b"", start[a : a + 4096].astype(np.int32).tobytes(),
+            windows[a : a + 4096].astype(np.uint32).tobytes(), b"", b"", b"",
+        )
+        for a in range(0, len(docs), 4096)
+    ]
+
+
 def _packed_chunks(marked: DataFrame, minimizers: int, buckets: int) -> DataFrame:
-    """Chunks by bucket. Of equal chunks in a pack only those of the smallest document go on; the others are answered."""
+    """Chunks by bucket. Of equal chunks in a pack only those of the smallest document go on; the others are answered.
+
+    Of texts from ``_settled`` the settled chunks are answered and only those with unlike ones to meet go on.
+    """
+    settled = "settled" in marked.columns
 
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         docs, start, windows, before, group, digest = (np.concatenate(x) for x in list(zip(*held))[:6])
@@ -133,35 +192,40 @@ def _packed_chunks(marked: DataFrame, minimizers: int, buckets: int) -> DataFram
         least = docs[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         answered = order[docs[order] > least]
         sent = order[docs[order] == least]
-        rows = []
-        if len(answered):
-            answered = answered[np.argsort(docs[answered], kind="stable")]
-            for a in range(0, len(answered), 4096):
-                part = answered[a : a + 4096]
-                rows.append((
-                    -1 - int(docs[part[0]] % buckets), docs[part].tobytes(), b"", start[part].astype(np.int32).tobytes(),
-                    windows[part].astype(np.uint16).tobytes(), b"", b"", b"",
-                ))
+        rows = _answered(docs[answered], start[answered], windows[answered], buckets)
         bucket = ((group >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         sent = sent[np.argsort(bucket[sent], kind="stable")]
-        cuts = np.searchsorted(bucket[sent], np.arange(buckets + 1))
-        for b in range(buckets):
-            part = sent[cuts[b] : cuts[b + 1]]
-            if len(part):
-                used, local = np.unique(docs[part], return_inverse=True)
-                rows.append((
-                    b, used.tobytes(), local.astype(np.uint32).tobytes(), start[part].astype(np.int32).tobytes(),
-                    windows[part].astype(np.uint16).tobytes(), before[part].tobytes(), group[part].tobytes(),
-                    pa.compress(data[_ragged(at[part], sizes[part])].tobytes(), "zstd", asbytes=True),
-                ))
+        present, cuts = np.unique(bucket[sent], return_index=True)
+        for b, part in zip(present.tolist(), np.split(sent, cuts[1:])):
+            used, local = np.unique(docs[part], return_inverse=True)
+            rows.append((
+                b, used.tobytes(), local.astype(np.uint32).tobytes(), start[part].astype(np.int32).tobytes(),
+                windows[part].astype(np.uint16).tobytes(), before[part].tobytes(), group[part].tobytes(),
+                pa.compress(data[_ragged(at[part], sizes[part])].tobytes(), "zstd", asbytes=True),
+            ))
+        return shaped(rows)
+
+    def shaped(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), *[pa.binary()] * 7]
         names = [c.split()[0] for c in _CHUNKS.split(", ")]
         for a in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64]), types)], names)
 
+    def unlike(batches: Iterable[pa.RecordBatch], done: list[tuple]) -> Iterator[tuple[np.ndarray, _Chunks]]:
+        for batch, found in pieces(batches):
+            chunks, ids = _Chunks(found), batch.column("doc_id").to_numpy()
+            known, _ = _held(batch, "settled", chunks, chunks.digest().view(np.int64))
+            done.append((ids[chunks.text[known]], (chunks.start - chunks.begins[chunks.text])[known], chunks.windows[known]))
+            keep, single = _held(batch, "unlike", chunks, echoes.keys_of(chunks.group, minimizers, _WIDTH))
+            chunks.cut(keep & ~known, single)
+            yield ids, chunks
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for ids, chunks in _marked(batches, minimizers):
+        held, size, done = [], 0, []
+        for ids, chunks in unlike(batches, done) if settled else _marked(batches, minimizers):
+            for part in done:
+                yield from shaped(_answered(*part, buckets))
+            done.clear()
             if not len(chunks.start):
                 continue
             data = chunks.buf[_ragged(chunks.start, chunks.windows + WINDOW - 1)]
@@ -267,11 +331,12 @@ class _Bucket:
         del sums
         self.digests, head, self.kind = np.unique(digest, return_index=True, return_inverse=True)
         self.count = self.windows[head]
-        #: Of each distinct chunk's windows, one after another: the smallest document.
+        #: Of each distinct chunk: its first window among all distinct chunks' windows, the smallest document.
         self.begin = np.cumsum(self.count) - self.count
-        smallest = np.full(len(head), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, self.kind, self.doc)
-        self.least = np.repeat(smallest, self.count)
+        self.least = np.full(len(head), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.kind, self.doc)
+        #: Of each window: bytes from there on that a smaller document than ``least`` has too.
+        self.reach = np.zeros(self.count.sum(), np.int64)
         # a chunk that is the only one of its minimizer has no other to share a part with
         group = whole["group"][head]
         _, kind, many = np.unique(group, return_inverse=True, return_counts=True)
@@ -291,44 +356,58 @@ class _Bucket:
         #: Of each suffix in order: its window among all distinct chunks' windows.
         self.order = self.begin[self.several][of[order]] + order - begin[of[order]]
         self.intervals = interval_tree(common, WINDOW)
-        before = np.where(order > begin[of[order]], data[order - 1], whole["before"][picked][of[order]])
+        inside = order > begin[of[order]]
+        before = np.where(inside, data[order - 1], whole["before"][picked][of[order]])
         self.changes = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))
-        outer = np.array([(a, b) for a, b, _, outermost in self.intervals if outermost], np.int64).reshape(-1, 2)
-        if len(outer):
-            outer = outer[np.argsort(outer[:, 0])]
-            edges = np.column_stack([outer[:, 0], outer[:, 1] + 1]).ravel()
-            values = np.append(self.least[self.order], np.iinfo(np.int64).max)
-            low = np.minimum.reduceat(values, edges)[::2]
-            inside = _ragged(outer[:, 0], outer[:, 1] - outer[:, 0] + 1)
-            self.least[self.order[inside]] = np.repeat(low, outer[:, 1] - outer[:, 0] + 1)
+        self._reach(self.several[of[order]], np.where(inside, before.astype(np.int64), -1 - order))
+
+    def _reach(self, kind: np.ndarray, before: np.ndarray) -> None:
+        """Reach of the windows from the intervals that can't be made longer to the left within all their chunks.
+
+        Where all occurrences follow the same byte inside their chunks, the interval of the string with that byte has the
+        same ones and covers them. The first window of a chunk has no such byte (``before`` is unique there).
+        """
+        changes = np.cumsum(np.concatenate([[0], before[1:] != before[:-1]]))
+        found = np.array([x[:3] for x in self.intervals], np.int64).reshape(-1, 3)
+        found = found[changes[found[:, 1]] > changes[found[:, 0]]]
+        docs = self.least[kind]
+        for a in range(0, len(found), 20_000):
+            first, last, depth = found[a : a + 20_000].T
+            size = last - first + 1
+            place = _ragged(first, size)
+            low = np.repeat(np.minimum.reduceat(docs[place], np.cumsum(size) - size), size)
+            hit = low < docs[place]
+            np.maximum.at(self.reach, self.order[place[hit]], np.repeat(depth, size)[hit])
 
 
 def _spans_of(table: pa.Table) -> pa.Table:
-    """Spans of the windows that a smaller document holds too."""
+    """Spans of the chunks and repeats that a smaller document holds too."""
     if table.column("bucket")[0].as_py() < 0:
         docs, start, windows = (
-            np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
-            for c, kind in (("docs", np.int64), ("start", np.int32), ("windows", np.uint16))
+            np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]).astype(np.int64)
+            for c, kind in (("docs", np.int64), ("start", np.int32), ("windows", np.uint32))
         )
         return pa.Table.from_batches([_span_batch(docs, start, start + windows + WINDOW - 1)])
     bucket = _Bucket(table)
-    docs, starts, ends = [], [], []
-    for a in range(0, len(bucket.doc), 100_000):
-        part = slice(a, a + 100_000)
+    whole = bucket.doc > bucket.least[bucket.kind]
+    docs, starts = [bucket.doc[whole]], [bucket.start[whole]]
+    ends = [(bucket.start + bucket.windows + WINDOW - 1)[whole]]
+    rest = np.flatnonzero(~whole)
+    for a in range(0, len(rest), 100_000):
+        part = rest[a : a + 100_000]
         count = bucket.windows[part]
-        hit = bucket.least[_ragged(bucket.begin[bucket.kind[part]], count)] < np.repeat(bucket.doc[part], count)
-        place = _ragged(bucket.start[part], count)
-        owner = np.repeat(np.arange(len(count)), count)
-        hit = np.flatnonzero(hit)
-        if len(hit):
-            place, owner = place[hit], owner[hit]
-            new = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1])])
-            last = np.concatenate([new[1:], [True]])
-            docs.append(bucket.doc[part][owner[new]])
-            starts.append(place[new])
-            ends.append(place[last] + WINDOW)
-    none = [np.empty(0, np.int64)]
-    return pa.Table.from_batches([_span_batch(*(np.concatenate(x or none) for x in (docs, starts, ends)))])
+        reach = bucket.reach[_ragged(bucket.begin[bucket.kind[part]], count)]
+        hit = np.flatnonzero(reach)
+        if not len(hit):
+            continue
+        owner = np.repeat(np.arange(len(part)), count)[hit]
+        place = (owner << 32) + _ragged(bucket.start[part], count)[hit]
+        end = np.maximum.accumulate(place + reach[hit])
+        new = np.concatenate([[True], place[1:] > end[:-1]])
+        docs.append(bucket.doc[part][owner[new]])
+        starts.append(place[new] & 0xFFFFFFFF)
+        ends.append(end[np.concatenate([new[1:], [True]])] & 0xFFFFFFFF)
+    return pa.Table.from_batches([_span_batch(*map(np.concatenate, (docs, starts, ends)))])
 
 
 def _sharing(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -349,7 +428,7 @@ def _sharing(docs: DataFrame) -> tuple[DataFrame, int, int]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, starts, ends): bytes covered by windows that a document with a smaller id holds too; spans may overlap."""
     marked, minimizers, buckets = _sharing(docs)
-    spans = _packed_chunks(marked, minimizers, buckets).groupBy("bucket").applyInArrow(_spans_of, _SPANS)
+    spans = _packed_chunks(_settled(marked, minimizers), minimizers, buckets).groupBy("bucket").applyInArrow(_spans_of, _SPANS)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     return spans.groupBy("doc_id").agg(flat("starts"), flat("ends"))
 

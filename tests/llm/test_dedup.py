@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import ngram_join, passage_dedup, repeat_dedup
+from quillmark.llm import echoes, ngram_join, passage_dedup, repeat_dedup
 from quillmark.llm.graph import components
 from quillmark.llm.repeat_dedup import interval_tree, suffix_array
 from tests.llm.conftest import ODD
@@ -138,6 +138,43 @@ def test_bytes(docs_of, rows, hot, monkeypatch):
     assert sorted(tuple(r) for r in cut.collect()) == plain_bytes([r for r in rows if r[0] is not None])
 
 
+def test_long_passages_in_many_documents(docs_of):
+    """500 bytes in 300 documents, whole, cut short at either side, with a changed byte, and twice in one text."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(100))[:500]
+    rows = []
+    for i in range(300):
+        a, b = (0, 500) if i % 3 else (rng.randint(0, 200), rng.randint(300, 500))
+        body = passage[a:b]
+        if i % 5 == 0:
+            at = rng.randrange(len(body))
+            body = body[:at] + "#" + body[at + 1 :]
+        rows.append((i, " ".join([word(), body, word(), body if i % 50 == 0 else "", word()])))
+    rng.shuffle(rows)
+    cut = repeat_dedup.cut_repeats(docs_of(rows)).withColumn("kept", F.sha2("kept", 256))
+    assert sorted(tuple(r) for r in cut.collect()) == plain_bytes(rows)
+
+
+def test_a_pack_visits_only_its_own_buckets():
+    import time
+
+    import numpy as np
+
+    def seconds(buckets):
+        best = 9.0
+        for _ in range(3):
+            pack = echoes._Pack(buckets, 4, 256)
+            pack.add(1, 2000, np.random.default_rng(1).integers(0, 2**63, 2000).astype(np.uint64))
+            start = time.perf_counter()
+            rows = sum(b.num_rows for b in pack.send())
+            best = min(best, time.perf_counter() - start)
+            assert rows <= 2000
+        return best
+
+    assert seconds(1 << 21) < 10 * seconds(1 << 11) + 0.05
+
+
 def test_suffix_array_and_intervals():
     import numpy as np
 
