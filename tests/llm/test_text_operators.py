@@ -64,6 +64,56 @@ def test_host_votes_beat_a_page(spark):
     assert got[9] == "the story"
 
 
+LONG = "Many words that go on for quite a while so that this is a text to read. " * 4
+KEPT = [
+    f"<article><p>Lead of it.</p><section class='a'><p>{LONG}</p></section><section class='b'><p>{LONG}b</p></section></article>",
+    f"<body><p>Lead of it.</p><ul><li>{LONG}</li><li>{LONG}b</li></ul></body>",
+    f"<body><div id='w'><p>Lead of it.</p><blockquote>{LONG}</blockquote></div></body>",
+    f"<body><h1>Lead of it.</h1><div class='content'><p>{LONG}</p><p>{LONG}b</p></div></body>",
+    f"<body><div class='intro'><p>Lead of it.</p></div><div class='more'><p>{LONG}</p><p>{LONG}b</p></div></body>",
+    f"<article><header><h1>Lead of it.</h1></header><p>{LONG}</p></article>",
+    f"<article><div class='entry-header'><h1>Lead of it.</h1></div><div class='entry'><p>{LONG}</p></div></article>",
+    *(f"<body><div class='{c}'><p>Lead of it.</p><p>{LONG}</p></div></body>"
+      for c in ("has-sidebar", "no-header", "share-price", "related-work", "comment-free")),
+    *(f"<body><{t}><p>Lead of it.</p><p>{LONG}</p></body>" for t in ("noscript", "template", "svg", "object")),
+    f"<body><svg><text>a</text></svg><object/><noscript>x</noscript><p>Lead of it.</p><p>{LONG}</p></body>",
+    f"<body><h1>Site</h1><article><h1>Lead of it.</h1><p>{LONG}</p></article><p>Other things.</p></body>",
+]
+GONE = [
+    *(f"<div class='{c}'><p>Unwanted.</p></div>" for c in
+      ("site-header", "cookie-notice", "menu-1", "left-sidebar", "sidebar-left", "reader-comments", "comment-list", "ad-slot-top", "newsletter")),
+    "<nav><ul><li>Unwanted.</li></ul></nav>", "<header><h1>Unwanted.</h1></header>", "<footer>Unwanted.</footer>",
+    "<ul><li><a href='x'>Unwanted.</a></li></ul>", "<svg><text>Unwanted.</text></svg>",
+]
+
+
+def test_articles_stay_whole_without_furniture(spark):
+    reference = "<ul><li><a href='x'>A source of it.</a></li></ul>"
+    rows = [(i, f"http://host{i}/", h) for i, h in enumerate(KEPT)]
+    rows += [(100 + i, f"http://gone{i}/", f"<body>{g}<div class='content'><p>{LONG}</p></div>{g}</body>") for i, g in enumerate(GONE)]
+    rows.append((200, "http://list/", f"<article><p>{LONG}</p>{reference}</article>"))
+    got = {r.page_id: r.text for r in html_text.extract_text(pages_of(spark, rows)).collect()}
+    for i, h in enumerate(KEPT):
+        blocks = ["Lead of it.", LONG.strip()] + ([LONG + "b"] if LONG + "b" in h else [])
+        assert got[i] == "\n\n".join(blocks), h
+    for i, g in enumerate(GONE):
+        assert got[100 + i] == LONG.strip(), g
+    assert got[200] == LONG.strip() + "\n\nA source of it."
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(depth):
+        start = time.perf_counter()
+        deep = html_text.Page("<div class='x'>" * depth + "deep" + "</i></div>" * depth)
+        assert deep.text(max(deep.scores(), key=deep.scores().get)) == "deep"
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 40 * seconds(4_000)
+
+
 # ---- personal data
 
 
@@ -287,7 +337,7 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
 
 def test_registered_names():
     found = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
-    assert sorted(found) == list(range(1, 11))
+    assert sorted(found) == list(range(1, 14))
     assert hashlib.sha256(b"").hexdigest()  # digests of empty texts are those of no bytes
 
 
