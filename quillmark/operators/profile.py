@@ -146,18 +146,23 @@ def length_histogram(
     )
 
 
-def tag_split(df: DataFrame, splits: DataFrame, code: str = "code", split: str = "split") -> DataFrame:
+def tag_split(
+    df: DataFrame, splits: DataFrame, code: str = "code", split: str = "split", missing: bool = False
+) -> DataFrame:
     """Add the split each text belongs to, by exact text; later splits win, no match is ``unknown``.
 
+    A missing text is ``unknown``, unless ``missing``: then it has the split of missing texts.
+
     The split side is reduced to one narrow row per digest and stored. Its shuffle then lies directly
     below the join, as that of ``df`` does, which is what lets adaptive execution split the partition of
     a text with very many copies; an aggregate in between would prevent it.
     """
     order = F.array_position(F.array(*[F.lit(s) for s in C.SPLITS]), F.col(split))
-    tags = splits.groupBy(X.digest(code).alias("_digest")).agg(F.max_by(split, order).alias("split"))
+    digest = F.coalesce(X.digest(code), F.lit(b"")) if missing else X.digest(code)
+    tags = splits.groupBy(digest.alias("_digest")).agg(F.max_by(split, order).alias("split"))
     return (
         df.drop("split")
-        .withColumn("_digest", X.digest(code))
+        .withColumn("_digest", digest)
         .join(stored(tags, "split-tags"), "_digest", "left")
         .withColumn("split", F.coalesce("split", F.lit(C.UNKNOWN)))
         .drop("_digest")

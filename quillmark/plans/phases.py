@@ -74,7 +74,7 @@ class Analysis:
 def analyze(spark: SparkSession, interim_path: str, split_path: str) -> Analysis:
     """Tables and plot data of the cleaned dataset. Lengths are computed in one scan of the texts."""
     cleaned = A.scan_interim(spark, interim_path)
-    tagged = P.with_label_name(P.tag_split(cleaned, A.scan_code_only(spark, split_path)))
+    tagged = P.with_label_name(P.tag_split(cleaned, A.scan_code_only(spark, split_path), missing=True))
     counts_path = scratch_path(spark, "length-counts")
     P.length_counts(P.length_features(P.with_label_name(cleaned))).write.parquet(counts_path)
     counts = spark.read.parquet(counts_path)
