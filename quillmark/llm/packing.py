@@ -8,6 +8,7 @@ rank among those of their length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,9 +30,65 @@ KEPT_WORDS = 1_000_000
 #: An invisible separator that stands between words that are looked up at once.
 _MARK = "\u2063"
 
+#: How the vocabulary splits words, where runs of letters and of signs and single digits can be looked up by themselves.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLIT = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed",
+    "invert": True,
+}
+_SUFFIX = "</w>"
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD, _WHOLE = range(6)
+#: Kinds of bytes. The lead byte of the letters from U+00C0 to U+00FF counts as a letter, what follows it is looked at apart. Quotes
+#: may begin a contraction, and "<" a special token.
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[0x27, 0x3C]] = _ODD
+
+
+def _units(found: list[bytes], parts: bool) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """What is looked up of some texts, in order: its bytes, whether it is a whole word, and the place of each text's end.
+
+    A text's end is a unit of its own, a line feed. With ``parts`` words of ASCII and U+00C0 to U+00FF are lower-cased and cut into
+    runs of letters, digits and runs of signs; words that hold anything else are units as they are.
+    """
+    joined = b"\n".join(found) + b"\n"
+    buf = np.frombuffer(joined, np.uint8).copy()
+    kind = np.frombuffer(joined.translate(_KIND.tobytes()), np.uint8).copy()
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in found), np.int64, len(found))) - 1
+    latin = np.flatnonzero(buf == 0xC3) + 1
+    latin = latin[(buf[latin] != 0x97) & (buf[latin] != 0xB7)]  # the signs of times and division
+    kind[latin] = _LETTER
+    keep = kind != _SPACE
+    edge = np.flatnonzero(np.diff(keep.view(np.int8), prepend=np.int8(0)))
+    starts, stops = edge[::2], edge[1::2]
+    whole = np.full(len(starts), not parts)
+    whole[np.searchsorted(starts, np.flatnonzero(kind == _ODD), "right") - 1] = True
+    if whole.any():
+        inside = np.zeros(len(buf), np.int8)
+        inside[starts[whole]] = 1
+        inside[stops[whole]] = -1
+        kind[np.cumsum(inside, dtype=np.int8).view(bool)] = _WHOLE
+    buf[(buf >= 0x41) & (buf <= 0x5A) & (kind == _LETTER)] += 0x20
+    buf[latin[(buf[latin] <= 0x9E) & (kind[latin] == _LETTER)]] += 0x20
+    first = np.ones(len(buf), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first = (first | (kind == _DIGIT)) & keep
+    first[ends] = keep[ends] = True
+    place = np.flatnonzero(first)
+    data = buf[keep]
+    offsets = np.append(np.flatnonzero(first[keep]), len(data)).astype(np.int32)
+    units = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return units, kind[place] == _WHOLE, np.searchsorted(place, ends)
+
 
 class WordIds:
-    """Token ids of texts, word by word: the vocabulary never joins what ASCII white space separates."""
+    """Token ids of texts by words and parts of words: the vocabulary never joins what ASCII white space separates."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,12 +98,49 @@ class WordIds:
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         #: The mark's one id, which no text without the mark has; None if the vocabulary has no such id.
         self.mark = mark[0] if len(mark) == 1 else None
+        #: The same model for parts of words; None if the vocabulary splits words in another way.
+        self.parts = self._parts(path)
         self.clear()
 
+    def _parts(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        setup = json.loads(self.tokenizer.to_str())
+        model, split = setup["model"], setup["pre_tokenizer"] or {}
+        alphabet = pre_tokenizers.ByteLevel.alphabet()
+        if (
+            model["type"] != "BPE" or model["end_of_word_suffix"] != _SUFFIX or model["dropout"] or model["ignore_merges"]
+            or model["continuing_subword_prefix"] or setup["normalizer"] != _NORMALIZER
+            or [x if x["type"] == "Split" else x["type"] for x in split.get("pretokenizers", [])] != [_SPLIT, "ByteLevel"]
+            or split["pretokenizers"][1] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            or not all(c in model["vocab"] and c + _SUFFIX in model["vocab"] for c in alphabet)
+            or not all(x["content"].startswith("<") for x in setup["added_tokens"])
+        ):
+            return None
+        parts = Tokenizer.from_file(path)
+        parts.normalizer = None
+        parts.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        #: Of each id, whether a part ends with it.
+        self.closing = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.closing[[i for token, i in model["vocab"].items() if token.endswith(_SUFFIX)]] = True
+        return parts
+
     def clear(self) -> None:
         self.known = {b"\n": 0}  # no word; stands for the id that ends a text
         self.flat, self.at, self.size = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
+    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of words, and how many each has."""
+        sizes, flat = [], []
+        for a in range(0, len(parts), 4000):
+            text = b" ".join(parts[a : a + 4000]).decode("utf-8")
+            ids = np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            sizes.append(np.diff(np.flatnonzero(self.closing[ids]), prepend=-1))
+            flat.append(ids)
+        return np.concatenate([np.empty(0, np.int64), *sizes]), np.concatenate([np.empty(0, np.uint32), *flat])
+
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that don't hold the mark, and how many each has: many at once, the mark between them."""
         sizes, flat = [], []
@@ -58,36 +152,43 @@ class WordIds:
             flat.append(ids[ids != self.mark])
         return np.concatenate([np.empty(0, np.int64), *sizes]), np.concatenate([np.empty(0, np.uint32), *flat])
 
-    def learn(self, words: list[bytes]) -> None:
-        """Take in words that aren't known."""
+    def learn(self, parts: list[bytes], words: list[bytes]) -> None:
+        """Take in parts of words and whole words that aren't known."""
         mark = _MARK.encode("utf-8")
         plain = [w for w in words if mark not in w] if self.mark is not None else []
         odd = [w for w in words if mark in w] if self.mark is not None else words
-        size, flat = self._encode(plain)
         each = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in odd], add_special_tokens=False)]
-        size = np.append(size, np.fromiter(map(len, each), np.int64, len(each)))
-        flat = np.append(flat, np.fromiter(chain.from_iterable(each), np.uint32))
-        self.known.update(zip(plain + odd, range(len(self.at), len(self.at) + len(size))))
+        sizes, flats = zip(
+            self._encode_parts(parts), self._encode(plain),
+            (np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(chain.from_iterable(each), np.uint32)),
+        )
+        size = np.concatenate(sizes)
+        self.known.update(zip(chain(parts, plain, odd), range(len(self.at), len(self.at) + len(size))))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, *flats])
 
     def __call__(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its last 0, and where each text ends."""
-        split = [x.split() for x in found]
-        words = [w for text in split for w in (*text, b"\n")]
+        units, whole, last = _units(found, self.parts is not None)
+        coded = units.dictionary_encode()
+        kind, (_, offsets, data) = coded.indices.to_numpy(), coded.dictionary.buffers()
+        cuts, data = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
+        distinct = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         if len(self.known) > KEPT_WORDS:
             self.clear()
-        places = list(map(self.known.get, words))
-        new = {w for w, i in zip(words, places) if i is None}
+        at = list(map(self.known.get, distinct))
+        new = [i for i, place in enumerate(at) if place is None]
         if new:
-            self.learn(list(new))
-            places = map(self.known.__getitem__, words)
-        index = np.fromiter(places, np.int64, len(words))
+            is_word = np.zeros(len(distinct), bool)
+            is_word[kind] = whole
+            self.learn([distinct[i] for i in new if not is_word[i]], [distinct[i] for i in new if is_word[i]])
+            for i in new:
+                at[i] = self.known[distinct[i]]
+        index = np.array(at, np.int64)[kind]
         size = self.size[index]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[index] - ends + size, size)]
-        last = np.cumsum(np.fromiter((len(x) + 1 for x in split), np.int64, len(split))) - 1
         return ids, ends[last]
 
 

@@ -56,6 +56,26 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         assert again.tolist() == ids[a:b].tolist()
 
 
+def test_words_are_looked_up_by_their_parts():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words(["Straße, strAße. STRAßE (12) 21 don't it\u2019s".encode()])
+    assert set(words.known) == {b"\n", *(w.encode() for w in ("straße", ",", ".", "(", ")", "1", "2", "don't", "it\u2019s"))}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parts_have_the_tokenizers_ids(seed):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words, rng = Tokenizer.from_file(path), packing.WordIds(path), random.Random(seed)
+    signs = [*"aAzZ09_.,'$<>|&;\"-\\", *"ÀÖ×Øß÷öøÿÞ", *"'s'LL", "\u0301", "\u0327", "\u00a0", "\u0085", "\u2028", "\x00", "\x1c", "\x7f", "\u00aa",
+             "\u00b5", "\u0130", "\u03a3", "\u2063", "\u4e2d", "\U0001f600", "Å", "\u0661", "<|endoftext|>", "the", "Ing", " ", "\t", "\n", "\r", "\v", "\f"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(400)]
+    ids, ends = words([t.encode() for t in texts])
+    for a, b, text in zip([0, *ends[:-1]], ends, texts):
+        assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
