@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import echoes
-from quillmark.llm.textops import mix, pieces, rolling, stretch, texts
+from quillmark.llm.textops import mix, pieces, powers, rolling, stretch, texts
 
 WINDOW, GRAM = 50, 24
 _REACH = WINDOW - GRAM + 1
@@ -27,6 +27,8 @@ _BASE = 0x5851F42D4C957F2D
 _WIDTH = 4
 #: Windows of a minimizer that at least so many documents have meet by their own bytes, one by one.
 HOT = 256
+#: Windows whose hashes are worked out at once, so that they stay in the processor's cache.
+_BLOCK = 1 << 15
 #: Bytes of chunks that a task packs together, and bytes of text for each bucket.
 PACK, BUCKET = 8 << 20, 4 << 20
 _CHUNKS = "bucket int, docs binary, doc binary, start binary, windows binary, before binary, group binary, bytes binary"
@@ -48,26 +50,39 @@ class _Chunks:
         self.group = np.empty(0, np.uint64)
         if n < WINDOW:
             return
-        at = np.arange(n - GRAM + 1)
-        grams = stretch(self.sums, at, at + GRAM)
-        bits = np.uint64(int(n).bit_length())
-        low = ((grams >> bits) << bits) | at.astype(np.uint64)  # equal hashes: the first
+        count = n - WINDOW + 1
+        head, valid = np.zeros(count, bool), np.ones(count, bool)
+        head[self.begins[sizes >= WINDOW]] = True
+        over = np.maximum(self.begins, self.ends - WINDOW + 1)  # windows from here on reach into the next text
+        valid[_ragged(over, np.maximum(np.minimum(self.ends, count) - over, 0))] = False
+        bits, last = np.uint64(int(n).bit_length()), np.uint64(n)
+        starts, places = [], []
+        for a in range(0, count, _BLOCK):
+            b = min(a + _BLOCK, count)
+            place = self._lowest(a, b, bits)
+            first = np.diff(place, prepend=last) != 0
+            first |= head[a:b]
+            first &= valid[a:b]
+            found = np.flatnonzero(first)
+            starts.append(found + a)
+            places.append(place[found])
+            last = place[-1]
+        self.start, place = np.concatenate(starts), np.concatenate(places).view(np.int64)
+        self.text = np.searchsorted(self.ends, self.start, "right")
+        self.windows = np.minimum(np.append(self.start[1:], count), self.ends[self.text] - WINDOW + 1) - self.start
+        # small hashes are chosen: spread them anew
+        self.group = mix(stretch(self.sums, place, place + GRAM) ^ np.uint64(_BASE))
+
+    def _lowest(self, a: int, b: int, bits: np.uint64) -> np.ndarray:
+        """The places of the smallest hashes in the windows from ``a`` up to ``b``; of equal hashes the first."""
+        end = b + _REACH - 1
+        down = powers(len(self.sums))[1][a:end]
+        grams = mix((self.sums[a + GRAM : end + GRAM] - self.sums[a:end]) * down + np.uint64(GRAM))
+        low = ((grams >> bits) << bits) | np.arange(a, end, dtype=np.uint64)
         for step in (1, 2, 4, 8):
             low = np.minimum(low[:-step], low[step:])
         low = np.minimum(low[: len(low) - (_REACH - 16)], low[_REACH - 16 :])
-        valid = np.zeros(n + 1, np.int8)
-        whole = sizes >= WINDOW
-        valid[self.begins[whole]] += 1
-        valid[self.ends[whole] - WINDOW + 1] -= 1
-        starts = np.flatnonzero(np.cumsum(valid[:-1]))
-        if not len(starts):
-            return
-        place = (low[starts] & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        self.start = starts[first]
-        self.windows = np.diff(np.append(first, len(starts)))
-        self.group = mix(grams[place[first]] ^ np.uint64(_BASE))  # small hashes are chosen: spread them anew
-        self.text = np.searchsorted(self.ends, self.start, "right")
+        return low & ((np.uint64(1) << bits) - np.uint64(1))
 
     def cut(self, keep: np.ndarray, single: np.ndarray) -> None:
         """Keep some chunks; ``single`` ones are cut into their windows, which then meet by their own hash."""
@@ -93,20 +108,38 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are in ``ascending``, which isn't empty."""
+    at = np.searchsorted(ascending, values)
+    at[at == len(ascending)] = 0
+    return ascending[at] == values
+
+
 def _held(batch: pa.RecordBatch, column: str, chunks: _Chunks, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which chunks have their value of ``own`` in their text's list in ``column``, and which have it there as frequent."""
     keep, frequent = np.zeros(len(own), bool), np.zeros(len(own), bool)
-    edge = np.searchsorted(chunks.text, np.arange(batch.num_rows + 1))
-    for i, keys in enumerate(batch.column(column)):
-        part = slice(edge[i], edge[i + 1])
-        if not keys.is_valid or part.start == part.stop:
+    edge = np.searchsorted(chunks.text, np.arange(batch.num_rows + 1)).tolist()
+    lists = batch.column(column)
+    values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    filled = lists.is_valid().to_pylist()
+    marked = column != "settled" and bool((values[cuts[0] : cuts[-1]] >= echoes.FREQUENT).any())  # whole digests carry no mark
+    for a, b, c, d, known in zip(edge, edge[1:], cuts, cuts[1:], filled):
+        if a == b or c == d or not known:
             continue
-        keys = keys.values.to_numpy()
-        keep[part] = np.isin(own[part], keys)
-        hot = keys[keys >= echoes.FREQUENT] - echoes.FREQUENT
-        if len(hot) and column != "settled":  # whole digests carry no mark
-            frequent[part] = np.isin(own[part], hot)
-            keep[part] |= frequent[part]
+        keys = np.sort(values[c:d])
+        keep[a:b] = _among(own[a:b], keys)
+        hot = keys[np.searchsorted(keys, echoes.FREQUENT) :] - echoes.FREQUENT if marked else ()
+        if len(hot):
+            frequent[a:b] = _among(own[a:b], hot)
+            keep[a:b] |= frequent[a:b]
     return keep, frequent
 
 
@@ -122,7 +155,7 @@ def _by_text(values: np.ndarray, chunks: _Chunks, keep: np.ndarray, texts_n: int
     """Of each text the distinct values of the chunks to keep."""
     values, edge = values[keep], np.searchsorted(chunks.text[keep], np.arange(texts_n + 1))
     for a, b in zip(edge[:-1], edge[1:]):
-        yield np.unique(values[a:b]), b - a
+        yield _distinct(values[a:b]), b - a
 
 
 def _settled(marked: DataFrame, minimizers: int) -> DataFrame:
@@ -419,7 +452,7 @@ def _sharing(docs: DataFrame) -> tuple[DataFrame, int, int]:
         chunks = _Chunks(found)
         edge = np.searchsorted(chunks.text, np.arange(len(found) + 1))
         for a, b in zip(edge[:-1], edge[1:]):
-            yield np.unique(chunks.group[a:b]), b - a
+            yield _distinct(chunks.group[a:b]), b - a
 
     shared = echoes.answers(echoes.packed(texts(docs), hasher, minimizers, _WIDTH, HOT), _WIDTH, HOT)
     return texts(docs).join(shared.select("doc_id", "keys"), "doc_id"), minimizers, max(64, -(-size // BUCKET))

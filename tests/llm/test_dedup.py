@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import echoes, ngram_join, passage_dedup, repeat_dedup
 from quillmark.llm.graph import components
 from quillmark.llm.repeat_dedup import interval_tree, suffix_array
+from quillmark.llm.textops import rolling, stretch
 from tests.llm.conftest import ODD
 
 
@@ -204,3 +206,27 @@ def test_maximal_repeats_are_repeats(docs_of):
     for (_, length), places in groups.items():
         assert length >= 50 and len({i for i, _ in places}) > 1
         assert len({texts[i][s : s + length] for i, s in places}) == 1
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 15])
+def test_chunks_hold_each_window_once_by_its_smallest_hash(monkeypatch, block):
+    monkeypatch.setattr(repeat_dedup, "_BLOCK", block)
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"ab", k=k)) for k in (0, 49, 50, 51, 0, 300, 7, 120, 30, 50)] + [b"x" * 200]
+    chunks = repeat_dedup._Chunks(texts)
+    expected, begin = [], 0
+    for n, text in enumerate(texts):
+        size = repeat_dedup.GRAM
+        whole = b"".join(texts)
+        sums, bits = rolling(np.frombuffer(whole, np.uint8)), np.uint64(len(whole).bit_length())
+        last = None
+        for at in range(begin, begin + len(text) - 49):
+            places = np.arange(at, at + repeat_dedup._REACH)
+            hashes = stretch(sums, places, places + size) >> bits
+            place = int(places[np.argmin(hashes)])
+            if place != last:
+                expected.append([n, at, 0])
+            expected[-1][2] += 1
+            last = place
+        begin += len(text)
+    assert list(map(list, zip(chunks.text.tolist(), chunks.start.tolist(), chunks.windows.tolist()))) == expected
