@@ -180,6 +180,12 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
 
     Any two similar classes are joined by a path of links; pairs that others connect already aren't all compared.
     """
+    membership, links, _ = _linked(docs, size, percent)
+    return membership, links
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership, links, and the components ``(id, component)`` of the links."""
     members = stored(shingle_sets(docs, size), "sets")
     classes = members.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     membership = members.join(classes, "digest", "left").select(
@@ -211,13 +217,19 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
     pairs = posts.select(
         F.col("pivot.doc_id").alias("a"), F.col("pivot.size").alias("a_size"), F.col("pivot.common").alias("a_common"), *_side_columns("b")
     )
-    verified = stored(_verified(_ordered(pairs.where(_fit(percent))), sets, percent), "pairs")
-    posts, pivots, turns = posts.drop("pivot"), MOST_PIVOTS, 0
-    known = -1
+    verified = stored(_verified(_ordered(pairs.where(_fit(percent))), sets, percent).withColumn("turn", F.lit(0)), "pairs")
+    posts, pivots, turns, rounds = posts.drop("pivot").withColumn("component", F.col("doc_id")), MOST_PIVOTS, 0, 0
+    groups = None
     while True:
         links = verified.where("linked").select("a", "b", "shared", "of")
-        groups = components(links).withColumnRenamed("id", "doc_id")
-        now = posts.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        # Without a new link the components are what they were.
+        grown = groups is None or not verified.where(F.col("linked") & (F.col("turn") == rounds)).isEmpty()
+        now, rounds = posts, rounds + 1
+        if grown:
+            groups = components(links)
+            now = posts.drop("component").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+                "component", F.coalesce("component", "doc_id")
+            )
         parts = now.groupBy("signature", "component").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("signature").agg(
             F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("length"), F.count("*").alias("parts")
@@ -225,9 +237,9 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
         mixed = mixed.select("signature", F.col("largest.component").alias("main"), (F.col("length") - F.col("largest.n")).alias("others"))
         now = stored(now.join(mixed, "signature"), "signatures")
         if now.isEmpty():
-            return membership, links
-        linked, turns = links.count(), turns + 1
-        if linked > known and turns < STAR_TURNS:
+            return membership, links, groups
+        turns += 1
+        if grown and turns < STAR_TURNS:
             # What lies outside a list's largest component is compared with one of that component, another one each turn.
             turn = F.xxhash64("signature", "doc_id", F.lit(turns))
             one = now.where("component = main").groupBy("signature").agg(
@@ -238,7 +250,7 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
                 *_side_columns("b"),
             )
             pairs = pairs.where(_fit(percent))
-            posts = now.select("signature", "doc_id", "size", "common")
+            posts = now.select("signature", "doc_id", "size", "common", "component")
         else:
             # Where that joins nothing more, it is compared with the whole list, some documents at a time.
             # Which ones follows from their hashes and the list's length, so that no task sees a whole list; by documents, not by
@@ -246,11 +258,10 @@ def ngram_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Data
             place = F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(1 << 30)) * F.col("others")
             now = now.withColumn("head", (F.col("component") != F.col("main")) & (place < F.lit(pivots << 30)))
             pairs = _against_lists(now.where("head"), now, percent)
-            posts = now.where((F.col("others") > pivots) & ~F.col("head")).select("signature", "doc_id", "size", "common")
+            posts = now.where((F.col("others") > pivots) & ~F.col("head")).select("signature", "doc_id", "size", "common", "component")
             pivots, turns = pivots * 2, STAR_TURNS
-        known = linked
         pairs = _ordered(pairs).join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        verified = stored(verified.unionByName(_verified(pairs, sets, percent)), "pairs")
+        verified = stored(verified.unionByName(_verified(pairs, sets, percent).withColumn("turn", F.lit(rounds))), "pairs")
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -261,8 +272,7 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     doc_id are left out. Rows with the same doc_id and n-grams give one row, other rows of one id link as that id. Empty
     table: no rows. Further columns of ``docs`` don't matter.
     """
-    membership, links = ngram_links(docs, size, percent)
-    groups = components(links)
+    membership, _, groups = _linked(docs, size, percent)
     return membership.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")
     )

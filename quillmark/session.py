@@ -49,10 +49,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """The same rows as a table in the shared folder: computed once, safe when executors are lost."""
+    """The same rows as a table in the shared folder: computed once, safe when executors are lost.
+
+    The schema is known, so no job reads it from the files again; only partition columns are left to the reader.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    reader = df.sparkSession.read
+    return (reader if partition_by else reader.schema(df.schema)).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:

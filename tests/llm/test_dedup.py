@@ -12,6 +12,7 @@ from quillmark.llm import echoes, ngram_join, passage_dedup, repeat_dedup
 from quillmark.llm.graph import components
 from quillmark.llm.repeat_dedup import interval_tree, suffix_array
 from quillmark.llm.textops import rolling, stretch
+from quillmark.session import stored
 from tests.llm.conftest import ODD
 
 
@@ -87,6 +88,37 @@ def test_links_are_between_classes(docs_of):
     assert found and all(r.a < r.b and {r.a, r.b} <= firsts and 100 * r.shared >= 80 * r.of for r in found)
 
 
+def test_components_are_found_only_after_new_links(docs_of, monkeypatch):
+    """Each search for components costs the driver some ten jobs; none is made on links that were searched before."""
+    seen = []
+    monkeypatch.setattr(ngram_join, "components", lambda links: seen.append(links.count()) or components(links))
+    rows = corpus(2)
+    assert {tuple(r) for r in ngram_join.ngram_components(docs_of(rows)).collect()} == plain_components(rows)
+    assert seen and all(a < b for a, b in zip(seen, seen[1:]))
+
+
+def test_stored_tables_are_read_without_a_job(spark):
+    """The schema of a table just written is known; reading it from the files would take a job each time."""
+    rows = spark.range(5).selectExpr("id", "named_struct('x', array(id)) AS s", "cast(null AS string) AS t")
+    known = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    again = stored(rows, "rows")
+    alone = [i for i in spark.sparkContext.statusTracker().getJobIdsForGroup(None) if i not in known]
+    assert len(alone) == 1  # the write
+    assert again.dtypes == rows.dtypes and sorted(again.collect()) == sorted(rows.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_edges(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)]
+    label = {i: i for e in edges for i in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(label.items())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 4)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
